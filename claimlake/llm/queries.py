@@ -4,11 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from claimlake.llm import langid, mixing, packing, quality_classifier, quality_rules, token_counts, token_output
 from claimlake.llm.common import documents
 from claimlake.llm.exact_dedup import exact_duplicates
 from claimlake.llm.near_dedup import near_duplicates
+from claimlake.llm.sharding import document_shards
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +39,43 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir), keep="largest")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_shards(documents(spark, sf_dir))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows, with the checksums of their id and position vectors in place of the vectors."""
+    packed = token_output.packed_ids(documents(spark, sf_dir))
+    digests = {"ids_crc32": F.crc32("input_ids"), "positions_crc32": F.crc32("position_ids")}
+    return packed.withColumns(digests).drop("input_ids", "position_ids")
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
+        op2_quality_rules,
+        op3_token_counts,
+        op4_quality_classifier,
         op5_minhash_near_dedup,
         op6_exact_dedup,
+        op7_sharding,
+        op8_token_output,
+        op9_source_mixing,
+        op10_best_fit_packing,
+        pipeline,
     )
 }
 
@@ -32,4 +84,7 @@ ORACLES: dict[str, str] = {
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
        sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",
+    "op9_source_mixing": mixing.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
