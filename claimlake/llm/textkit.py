@@ -55,6 +55,8 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
     """(first row, last row + 1, bytes, offsets) of a binary column, about CHUNK bytes at a time."""
     done = 0
     for array in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if not len(array):
+            continue
         array = array.cast(pa.large_binary()) if array.null_count == 0 else array.fill_null(b"").cast(pa.large_binary())
         offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
         data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] else np.zeros(0, np.uint8)
@@ -98,7 +100,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[n
     n = len(hashes)
     weights = np.power(np.full(size, _STEP, np.uint64), np.arange(size, dtype=np.uint64))
     rolled = np.zeros(max(0, n - size + 1), np.uint64)
-    for k in range(size):
+    for k in range(size if n >= size else 0):
         rolled += hashes[k : n - size + 1 + k] * weights[k]
     rolled = mix(rolled)
     out = []
