@@ -59,7 +59,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     four = np.zeros(len(hashes), np.uint64)
-    for k in range(4):
+    for k in range(min(4, len(hashes))):
         four[: len(hashes) - k] += hashes[k:] * np.uint64(2 * k + 3)
     windows = np.maximum(n - 3, 0)
     inside = np.arange(len(hashes)) < (first[1:][doc] - 3 if len(doc) else 0)
