@@ -607,7 +607,7 @@ _both("inherited_ranking", "orders", "select o_custkey, o_orderkey, row_number()
 _both("inherited_lag_lead", "events", "select event_id, lag(event_id, 1) over w as before, lead(event_id, 2, -1) over w as after, first_value(event_id) over w as first from {events} window w as (partition by user_id order by event_id)")
 _both("inherited_frames", "orders", "select o_orderkey, count(*) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as n3, sum(o_custkey) over (partition by o_custkey order by o_orderkey range between 1000 preceding and current row) as near from {orders}")
 _both("inherited_semi", "customer orders", "select c_custkey from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey and o_orderstatus = 'F')")
-_both("inherited_anti", "customer orders", "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey)")
+_both("inherited_anti", "customer orders", "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 _both("inherited_intersect", "lineitem part", "select l_partkey as k from {lineitem} intersect select p_partkey from {part} where p_size > 25")
 _both("inherited_except_all", "orders customer", "select o_custkey as k from {orders} except all select c_custkey from {customer}")
 _both("inherited_full_join", "supplier nation", "select n_name, s_suppkey from {supplier} full join {nation} on s_nationkey = n_nationkey and n_regionkey = 1")

@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,26 +64,25 @@ def lifted(found: DataFrame) -> DataFrame:
     return found.select("path", "name", "content").mapInPandas(run, CANDIDATES)
 
 
-@F.udf("string")
-def _nfc(text: str | None) -> str | None:
-    return None if text is None else unicodedata.normalize("NFC", text)
+def _nfc(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def normalise(text: Column) -> Column:
-    """NFC (by a Python function, only where there is a character outside ASCII) and LF line ends."""
-    return newlines(F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text))
+    """NFC (by an Arrow function, as no expression has it) and LF line ends."""
+    return newlines(F.when(text.rlike(r"[^\x00-\x7F]"), F.arrow_udf(_nfc, "string")(text)).otherwise(text))
 
 
 def ingest(found: DataFrame) -> DataFrame:
     """doc_id, text, file_name."""
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     doc_id = ids.b32_id("doc:", F.col("path"), F.left(text, F.lit(2048)))
     return found.select(doc_id.alias("doc_id"), text.alias("text"), F.col("name").alias("file_name"))
 
 
 def plan_job(found: DataFrame) -> DataFrame:
     """One row: files, bytes, lines, chunks and the estimated seconds of a run with a model."""
-    lines = F.size(F.split(F.decode("content", F.lit("UTF-8")), "\n", -1))
+    lines = F.size(F.split(F.decode("content", "UTF-8"), "\n", -1))
     total = found.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"), F.coalesce(F.sum(lines), F.lit(0)).alias("n_lines"))
     total = total.withColumn("n_chunks", chunk_estimate(F.col("n_lines")))
     return total.withColumn("seconds", F.col("n_chunks") * SECONDS_PER_CHUNK + 2 * SECONDS_PER_TIER)
