@@ -29,6 +29,8 @@ RULES: dict[str, tuple[str, float, float]] = {
 }
 KEEP_AT = 0.5
 WINDOW = 8
+#: What most of a text is made of; statistics of other characters look at the rest only.
+_PLAIN = "abcdefghijklmnopqrstuvwxyz \n"
 _SPACES = " \t\n\x0b\x0c\r"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MARKS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -38,25 +40,36 @@ def _without(text: str, characters: str) -> Column:
     return F.translate(F.col(text), characters, "")
 
 
+def _count(text: str, characters: str) -> Column:
+    """Of ASCII characters: each is one byte less."""
+    return (F.octet_length(text) - F.octet_length(_without(text, characters))).cast("long")
+
+
+def _hash_ahead(hashes: Column, distance: int) -> Column:
+    """Each hash joined with the one ``distance`` further on; as many fewer at the end."""
+    return F.zip_with(hashes, F.slice(hashes, F.lit(distance + 1), F.greatest(F.size(hashes) - distance, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+
 def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and the base statistics of each row; null counts as the empty text."""
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    df = df.withColumns({"w": F.array_remove(F.split("t", r"[\x20\x09-\x0D]+", -1), ""), "lines": F.split("t", "\n", -1)})
+    df = df.withColumns({"w": F.array_remove(F.split("t", r"[\x20\x09-\x0D]+", -1), ""), "lines": F.split("t", "\n", -1), "odd": _without("t", _PLAIN)})
     df = df.select(
         "id",
         F.char_length(_without("t", _SPACES)).cast("long").alias("word_chars"),
-        (F.octet_length("t") - F.octet_length(_without("t", "#*$%&|<>"))).cast("long").alias("n_symbols"),
-        (F.octet_length("t") - F.octet_length(_without("t", _CAPITALS))).cast("long").alias("n_upper"),
-        (F.octet_length("t") - F.octet_length(_without("t", "!"))).cast("long").alias("n_exclaim"),
-        (F.octet_length("t") - F.octet_length(_without("t", _MARKS))).cast("long").alias("n_marks"),
+        _count("odd", "#*$%&|<>").alias("n_symbols"),
+        _count("odd", _CAPITALS).alias("n_upper"),
+        _count("odd", "!").alias("n_exclaim"),
+        _count("odd", _MARKS).alias("n_marks"),
         F.size("lines").cast("long").alias("n_lines"),
         F.filter("lines", lambda x: F.translate(x, _SPACES, "") != "").alias("full"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
     df = df.withColumns({"n_words": F.size("h").cast("long"), "n_dup_lines": (F.size("full") - F.size(F.array_distinct("full"))).cast("long"), "n_distinct": F.size(F.array_distinct("h")).cast("long")}).drop("full")
-    h = F.col("h")
-    window = F.when(F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[h[i + k] for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("win", window).drop("h")
+    # Hashes of 2, 4 and then 8 words; zip_with leaves nulls hashed at the end, which the slice takes off.
+    for distance in (1, 2, 4):
+        df = df.withColumn("h", _hash_ahead(F.col("h"), distance))
+    df = df.withColumn("win", F.slice("h", F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(0)))).drop("h")
     # Few texts repeat a window; only theirs are sorted.
     pairs = F.when(F.size("win") > F.size(F.array_distinct("win")), F.sort_array(F.transform("win", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
     df = df.withColumn("s", pairs).drop("win")
