@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds over an edge table.
 
-Each round is two grouped minima and two equi-joins, so it is spread by node; a hub's edges are split by AQE's
-skew join. Rounds are written tables in the shared folder. Nothing is gathered on the driver but two numbers.
+Each round is two grouped minima and two equi-joins, so it is spread by node; the edges of the few nodes that have
+very many are joined where they are. Rounds are written tables in the shared folder. Nothing is gathered on the driver but two numbers.
 """
 
 from __future__ import annotations
@@ -12,12 +12,22 @@ from pyspark.sql import functions as F
 from claimlake.llm.common import drop, table
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Nodes with more edges than this take part in the join by broadcast; the bound rises with the edges so that no more
+#: than MOST_HUBS nodes can have so many.
+HUB_EDGES, MOST_HUBS = 1000, 100_000
+
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
     far = near.where("v > u") if large else near
-    linked = far.join(least, far.u == least.w).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # A hub's edges stay where they are: they would be one task's.
+    hubs = least.where(F.col("n") > hub).select(F.col("w").alias("h"), F.col("m").alias("hm"))
+    routed = far.join(F.broadcast(hubs), far.u == hubs.h, "left")
+    of_hub = routed.where("h is not null").select(F.col("v").alias("u"), F.col("hm").alias("v"))
+    rest = routed.where("h is null").select("u", "v").join(least.select("w", "m"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = of_hub.union(rest)
     if not large:
         linked = linked.union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
     return linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -30,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = print_of(now)
     while before[0]:
-        after = table(_star(_star(now, True), False), "edges")
+        hub = max(HUB_EDGES, 2 * before[0] // MOST_HUBS)
+        after = table(_star(_star(now, True, hub), False, hub), "edges")
         drop(now)
         now, seen = after, print_of(after)
         if seen == before:
