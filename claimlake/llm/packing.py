@@ -25,7 +25,7 @@ from claimlake.llm.tokens import encode, load, vocabulary
 
 CAPACITY, END = 1024, 2
 #: Pieces of one length that one window ranks, on average.
-RANK_BLOCK = 50_000
+RANK_BLOCK = 10_000
 
 
 class Complements:
@@ -132,13 +132,14 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece long, start long, length long, ids_crc32 long"
     pieces = table(rows.mapInArrow(partial(_pieces, path=path or vocabulary(), capacity=capacity, end=end), schema), "pieces")
-    salts = max(1, -(-pieces.count() // RANK_BLOCK))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    slots = plan(counts, capacity)
+    # A length has as many salts as its count asks for, so pairs of both stay in proportion to the pieces.
+    salts = F.element_at(F.array(*[F.lit(-(-counts.get(n, 1) // RANK_BLOCK)) for n in range(1, capacity + 1)]), F.col("length").cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), salts))
     sizes = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = table(sizes.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))), "bases")
-    counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``capacity`` rows
-    slots = plan(counts, capacity)
+    bases = sizes.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0)))
     own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
     ranked = salted.withColumn("own", F.row_number().over(own)).join(bases.select("length", "salt", "base"), ["length", "salt"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
