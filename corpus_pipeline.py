@@ -15,10 +15,12 @@ from claimlake.llm.exact_dedup import exact_duplicates
 from claimlake.llm.mixing import mixed
 from claimlake.llm.near_dedup import near_duplicates
 from claimlake.llm.packing import packed
+from claimlake.runtime import ready
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects: null, without a letter, or far from every language."""
+    ready(spark)
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
     return docs.where(~langid.classify(F.col("text"), model, spark)["rejected"])
 
