@@ -87,9 +87,9 @@ def main(args: list[str] | None = None) -> int:
         if name == "serve":
             sub.add_argument("--port", type=int, default=8080)
             sub.add_argument("--token")
-    commands.add_parser("spokes")
+    commands.add_parser("plugins")
     o = parser.parse_args(args)
-    if o.command == "spokes":
+    if o.command == "plugins":
         good, bad = registry.plugins()
         print(json.dumps({"loaded": sorted(good), "failed": bad}))
         return 0

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import within_validity
+from claimlake.runtime import deep
 
 #: Kinds of constraint from the strongest to the weakest.
 PRECEDENCE = ("ROE", "FSCM", "ACM", "WCS", "FPCON", "EMCON", "JRFL", "GUIDANCE")
@@ -44,7 +45,7 @@ def matches(requests: DataFrame, claims: DataFrame, *, now: Column | None = None
 def authority_chain(actors: DataFrame, claims: DataFrame, most: int = 100) -> DataFrame:
     """actor, chain (from the actor up), cycle: DELEGATES_TO leads from a subject to its object, the last one
     recorded counts, and a chain stops where it would repeat."""
-    spark = actors.sparkSession
+    spark = deep(actors.sparkSession)
     view = uuid.uuid4().hex
     last = claims.where(F.upper("predicate") == "DELEGATES_TO").groupBy("subject").agg(F.max_by("object", F.struct(*ORDER)).alias("object"))
     last.createOrReplaceTempView(f"delegation_{view}")

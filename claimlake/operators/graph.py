@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.runtime import deep
+
 
 def list_references(refs: DataFrame) -> DataFrame:
     return refs.orderBy(F.col("confidence").desc_nulls_last(), "src_claim_id", "dst_object_id")
@@ -47,7 +49,7 @@ def broken_references(refs: DataFrame, claims: DataFrame) -> DataFrame:
 def lineage_closure(lineage: DataFrame, most: int = 100) -> DataFrame:
     """root, cur, depth: everything that a shard supersedes, directly or through others; a cycle ends where it would
     come back. A recursive common table expression carries the path."""
-    spark = lineage.sparkSession
+    spark = deep(lineage.sparkSession)
     view = f"lineage_{uuid.uuid4().hex}"
     lineage.select("shard_id", "supersedes_shard_id").createOrReplaceTempView(view)
     return spark.sql(

@@ -13,7 +13,7 @@ from claimlake.operators import extract
 
 Generator = Callable[[DataFrame], DataFrame]
 GENERATORS: dict[str, Generator] = {}
-PLUGINS = "claimlake.spokes"
+PLUGINS = "claimlake.plugins"
 
 
 def generator(name: str) -> Callable[[Generator], Generator]:

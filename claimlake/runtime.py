@@ -16,3 +16,9 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
     return spark
+
+
+def deep(spark: SparkSession) -> SparkSession:
+    """Recursive queries end by their own condition and their levels, not at a million rows."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions.scalar import epoch_iso, normal_timestamp
+from claimlake.runtime import deep
 
 _CLAUDE = "array<struct<uuid string, name string, created_at string, chat_messages array<struct<uuid string, sender string, text string, created_at string>>>>"
 _MESSAGE = "struct<id string, author struct<role string>, role string, create_time double, content struct<parts array<string>>>"
@@ -47,7 +48,7 @@ def tree_path(nodes: DataFrame) -> DataFrame:
 
     from pyspark.sql.window import Window
 
-    spark, view = nodes.sparkSession, f"tree_{uuid.uuid4().hex}"
+    spark, view = deep(nodes.sparkSession), f"tree_{uuid.uuid4().hex}"
     last = F.row_number().over(Window.partitionBy("path", "conv", "parent").orderBy(F.desc_nulls_last("create_time"), F.desc("node")))
     best = nodes.withColumn("k", last).where("k = 1").select("path", "conv", "node", "parent")
     known = nodes.select("path", "conv", F.col("node").alias("parent"))
