@@ -81,14 +81,14 @@ class Session:
     # --- mounts --------------------------------------------------------------------------------------------------
     def mount(self, path: str, secret: bytes | None = None, into: str | None = None) -> Mount:
         """Mounts a shard, or an envelope after opening it below ``into``. Mounting twice is mounting once."""
-        kind, origin = shards.transport(path), path
+        kind, origin = shards.transport(self.spark, path), path
         if kind == "envelope":
             if secret is None or into is None:
                 raise shards.ShardError("LAYOUT", "an envelope needs a secret and a folder to open it in")
             path = envelope.open_envelope(self.spark, path, secret, into)
         elif kind == "unknown":
             raise shards.ShardError("LAYOUT", f"{path} is neither a shard nor an envelope")
-        manifest = shards.read_manifest(path)
+        manifest = shards.read_manifest(self.spark, path)
         root = manifest["integrity"]["merkle_root"]
         mount_id = str(uuid.uuid5(NAMESPACE, json.dumps({"merkle_root": root, "shard_id": manifest["shard_id"]}, sort_keys=True)))
         with self._lock:
@@ -100,7 +100,7 @@ class Session:
                 frames = {n: df for n in shards.PLACES if (df := shards.core_table(self.spark, path, n)) is not None}
                 if "claims" not in frames:
                     raise shards.ShardError("LAYOUT", "claims are missing")
-                frames |= {n: self.spark.read.parquet(p) for n, p in shards.extension_paths(path).items()}
+                frames |= {n: self.spark.read.parquet(p) for n, p in shards.extension_paths(self.spark, path).items()}
             except shards.ShardError as error:
                 self._record(mount_id, origin, "failed", str(error))
                 raise

@@ -5,18 +5,20 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-import os
-import time
-from pathlib import Path
+import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake import schema
 from claimlake.functions import ids
+from claimlake.functions.scalar import byte_exact
 from claimlake.operators import validate
+from claimlake.sources import store
 
 SPEC = "1.0.0"
+SEALED = ("graph", "evidence", "content", "ext")
 PLACES = {"claims": "graph", "entities": "graph", "provenance": "graph", "spans": "evidence"}
 
 
@@ -36,26 +38,18 @@ def merkle_root(leaves: list[bytes]) -> str:
     return level[0].hex()
 
 
-def _files(path: Path) -> list[Path]:
-    skip = ("manifest.json", "_SUCCESS")
-    return sorted(p for p in path.rglob("*") if p.is_file() and p.name not in skip and not p.name.endswith(".crc") and "sig" not in p.relative_to(path).parts[:1])
-
-
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path (below the shard) and sha256 of each of its files, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    relative = F.regexp_replace("path", r"^.*?" + Path(path).name + "/", "")
-    kept = files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"))
-    return kept.where("not (path = 'manifest.json' or startswith(path, 'sig/') or endswith(path, '_SUCCESS') or endswith(path, '.crc'))")
+    """path (below the shard) and sha256 of each sealed file, hashed where they are read."""
+    parts = [f"{path}/{n}" for n in store.names(spark, path) if n in SEALED]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(parts)
+    folder = re.escape(path.rstrip("/").rsplit("/", 1)[-1])
+    relative = F.regexp_replace("path", f"^.*?/{folder}/(?=(?:{'|'.join(SEALED)})/)", "")
+    return files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256")).where("not (endswith(path, '_SUCCESS') or endswith(path, '.crc'))")
 
 
-def root_of(path: str | Path) -> str:
-    path = Path(path)
-    leaves = []
-    for p in _files(path):
-        with p.open("rb") as f:
-            leaves.append(f"{p.relative_to(path)}:{hashlib.file_digest(f, 'sha256').hexdigest()}".encode())
-    return merkle_root(leaves)
+def root_of(spark: SparkSession, path: str) -> str:
+    """The Merkle root; the driver sees one hash for each file."""
+    return merkle_root([f"{r['path']}:{r['sha256']}".encode() for r in file_hashes(spark, path).orderBy("path").collect()])
 
 
 def compile_shard(candidates: DataFrame, sources: DataFrame, out: str, *, namespace: str = "default", extensions: dict[str, DataFrame] | None = None, key: bytes | None = None) -> dict:
@@ -82,26 +76,21 @@ def compile_shard(candidates: DataFrame, sources: DataFrame, out: str, *, namesp
     for name, df in (extensions or {}).items():
         key_cols = schema.KEYS.get(name.split("@")[0], df.columns[:1])
         df.sortWithinPartitions(*key_cols).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/ext/{name}.parquet")
-    os.makedirs(f"{out}/content", exist_ok=True)
-    listed = []
-    for row in hashed.select("source_hash", "text").dropDuplicates(["source_hash"]).toLocalIterator():
-        Path(out, "content", f"{row['source_hash']}.txt").write_bytes(row["text"].encode())
-        listed.append({"hash": row["source_hash"], "path": f"content/{row['source_hash']}.txt"})
-    root = root_of(out)
-    manifest = {"spec_version": SPEC, "shard_id": f"shard_{root}", "namespace": namespace, "integrity": {"merkle_root": root}, "sources": sorted(listed, key=lambda s: s["hash"])}
-    Path(out, "manifest.json").write_text(json.dumps(manifest, sort_keys=True))
+    hashed.select("source_hash", "text").dropDuplicates(["source_hash"]).withColumn("size", F.octet_length("text").cast("long")).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/content/sources.parquet")
+    root = root_of(spark, out)
+    manifest = {"spec_version": SPEC, "shard_id": f"shard_{root}", "namespace": namespace, "integrity": {"merkle_root": root}}
+    body = json.dumps(manifest, sort_keys=True).encode()
+    store.write_bytes(spark, f"{out}/manifest.json", body)
     if key:
-        os.makedirs(f"{out}/sig", exist_ok=True)
-        Path(out, "sig", "manifest.hmac").write_text(hmac.new(key, Path(out, "manifest.json").read_bytes(), "sha256").hexdigest())
-    spark.catalog.clearCache()
+        store.write_bytes(spark, f"{out}/sig/manifest.hmac", hmac.new(key, body, "sha256").hexdigest().encode())
     return manifest
 
 
-def read_manifest(path: str) -> dict:
+def read_manifest(spark: SparkSession, path: str) -> dict:
     try:
-        manifest = json.loads(Path(path, "manifest.json").read_text())
-    except (OSError, ValueError) as error:
-        raise ShardError("MANIFEST", str(error)) from error
+        manifest = json.loads(store.read_bytes(spark, f"{path}/manifest.json"))
+    except (Py4JJavaError, ValueError) as error:
+        raise ShardError("MANIFEST", str(error).splitlines()[0]) from error
     if manifest.get("spec_version") != SPEC:
         raise ShardError("MANIFEST", f"spec_version is {manifest.get('spec_version')!r}")
     if not manifest.get("shard_id") or not (manifest.get("integrity") or {}).get("merkle_root"):
@@ -110,18 +99,21 @@ def read_manifest(path: str) -> dict:
 
 
 def core_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    where = Path(path, PLACES[name], f"{name}.parquet")
-    return spark.read.parquet(str(where)) if where.exists() else None
+    where = f"{path}/{PLACES[name]}/{name}.parquet"
+    return spark.read.parquet(where) if store.exists(spark, where) else None
 
 
-def extension_paths(path: str) -> dict[str, str]:
+def extension_paths(spark: SparkSession, path: str) -> dict[str, str]:
     """name without version -> file, in order of file names."""
-    return {schema.extension_name(p.name.removesuffix(".parquet"))[0]: str(p) for p in sorted(Path(path, "ext").glob("*.parquet"))}
+    return {schema.extension_name(n.removesuffix(".parquet"))[0]: f"{path}/ext/{n}" for n in store.names(spark, f"{path}/ext") if n.endswith(".parquet")}
 
 
 def verify(spark: SparkSession, path: str, key: bytes | None = None) -> None:
     """Raises ShardError at the first rule that a shard breaks."""
-    manifest = read_manifest(path)
+    manifest = read_manifest(spark, path)
+    strange = [n for n in store.names(spark, path) if n not in (*SEALED, "sig", "manifest.json") and n[0] not in "._"]
+    if strange:
+        raise ShardError("LAYOUT", f"{strange} do not belong to a shard")
     for name in PLACES:
         df = core_table(spark, path, name)
         if df is None:
@@ -134,42 +126,44 @@ def verify(spark: SparkSession, path: str, key: bytes | None = None) -> None:
             raise ShardError("NULL", f"{name}.{broken['column']}: {broken['n']}")
     claims, entities, provenance, spans = (core_table(spark, path, n) for n in ("claims", "entities", "provenance", "spans"))
     for table, column, parent, parent_key in ((provenance, "claim_id", claims, "claim_id"), (claims, "subject", entities, "entity_id")):
-        if validate.orphans(table, column, parent, parent_key).limit(1).count():
+        if not validate.orphans(table, column, parent, parent_key).isEmpty():
             raise ShardError("ORPHAN", f"{column} without {parent_key}")
-    sizes = []
-    for source in manifest.get("sources", []):
-        where = Path(path, source["path"])
-        if not where.exists():
-            raise ShardError("SOURCE", f"{source['path']} is missing")
-        if hashlib.sha256(where.read_bytes()).hexdigest() != source["hash"]:
-            raise ShardError("SOURCE", f"{source['path']} has another hash")
-        sizes.append((source["hash"], where.stat().st_size))
-    bad = validate.span_bounds(spans, spark.createDataFrame(sizes, "source_hash string, size long")).first()
+    if not store.exists(spark, f"{path}/content/sources.parquet"):
+        raise ShardError("SOURCE", "content is missing")
+    sources = spark.read.parquet(f"{path}/content/sources.parquet")
+    changed = sources.where(F.sha2("text", 256) != F.col("source_hash")).first()
+    if changed:
+        raise ShardError("SOURCE", f"{changed['source_hash']} has another hash")
+    bad = validate.span_bounds(spans, sources).first()
     if bad:
         raise ShardError("BOUNDS", f"{bad['reason']} {bad['source_hash']} {bad['byte_start']}..{bad['byte_end']}")
-    if root_of(path) != manifest["integrity"]["merkle_root"]:
+    texts = sources.select("source_hash", F.col("text").alias("_source"))
+    unlike = spans.join(texts, "source_hash").where(~byte_exact(F.col("_source"), F.col("byte_start"), F.col("byte_end"), F.col("text"))).first()
+    if unlike:
+        raise ShardError("BOUNDS", f"span {unlike['span_id']} is not what its source says")
+    if root_of(spark, path) != manifest["integrity"]["merkle_root"]:
         raise ShardError("MERKLE", "the files do not give the manifest's root")
     if key:
-        where = Path(path, "sig", "manifest.hmac")
-        want = hmac.new(key, Path(path, "manifest.json").read_bytes(), "sha256").hexdigest()
-        if not where.exists() or not hmac.compare_digest(where.read_text(), want):
+        where = f"{path}/sig/manifest.hmac"
+        want = hmac.new(key, store.read_bytes(spark, f"{path}/manifest.json"), "sha256").hexdigest()
+        try:
+            found = store.read_bytes(spark, where).decode(errors="replace")
+        except Py4JJavaError:  # missing, or damaged below its checksum
+            found = ""
+        if not hmac.compare_digest(found.encode(), want.encode()):
             raise ShardError("SIGNATURE", "the manifest's signature does not hold")
 
 
-def transport(path: str) -> str:
-    p = Path(path)
-    return "envelope" if (p / "envelope.json").exists() else "shard" if (p / "manifest.json").exists() else "unknown"
+def transport(spark: SparkSession, path: str) -> str:
+    return "envelope" if store.exists(spark, f"{path}/envelope.json") else "shard" if store.exists(spark, f"{path}/manifest.json") else "unknown"
 
 
 def store_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Shards of a local store: name, shard_id, namespace, decision, modified; the latest first."""
+    """Shards of a store: name, shard_id, namespace, decision, modified; the latest first."""
     rows = []
-    for p in Path(root).iterdir():
-        if (p / "manifest.json").exists():
-            m = json.loads((p / "manifest.json").read_text())
-            rows.append((p.name, m.get("shard_id"), m.get("namespace"), (m.get("namespace") or "").startswith("decision"), (p / "manifest.json").stat().st_mtime))
+    for name in store.names(spark, root):
+        where = f"{root}/{name}/manifest.json"
+        if store.exists(spark, where):
+            m = json.loads(store.read_bytes(spark, where))
+            rows.append((name, m.get("shard_id"), m.get("namespace"), (m.get("namespace") or "").startswith("decision"), store.modified(spark, where)))
     return spark.createDataFrame(rows, "name string, shard_id string, namespace string, decision boolean, modified double").orderBy(F.desc("modified"), "name")
-
-
-def now() -> float:
-    return time.time()

@@ -46,14 +46,20 @@ def test_compiled_shard_verifies_and_its_bytes_prove_its_claims(spark, shard):
         assert TEXT.encode()[r["byte_start"] : r["byte_end"]].decode() == r["evidence"]
 
 
-def _damage(path: Path, code: str) -> None:
+def _damage(spark, path: Path, code: str) -> None:
     manifest = json.loads((path / "manifest.json").read_text())
     if code == "MANIFEST":
         (path / "manifest.json").write_text(json.dumps({**manifest, "spec_version": "9"}))
     elif code == "LAYOUT":
         shutil.rmtree(path / "evidence")
     elif code == "SOURCE":
-        (path / manifest["sources"][0]["path"]).write_bytes(b"other")
+        from pyspark.sql import functions as F
+
+        where = path / "content" / "sources.parquet"
+        df = spark.read.parquet(str(where)).withColumn("text", F.lit("other"))
+        rows = spark.createDataFrame(df.collect(), df.schema)
+        shutil.rmtree(where)
+        rows.write.parquet(str(where))
     elif code == "MERKLE":
         (path / "content" / "more.txt").write_text("x")
     elif code == "SIGNATURE":
@@ -62,7 +68,7 @@ def _damage(path: Path, code: str) -> None:
 
 @pytest.mark.parametrize("code", ["MANIFEST", "LAYOUT", "SOURCE", "MERKLE", "SIGNATURE"])
 def test_damage_is_named(spark, copy, code):
-    _damage(copy, code)
+    _damage(spark, copy, code)
     with pytest.raises(shards.ShardError) as error:
         shards.verify(spark, str(copy), b"k")
     assert error.value.code == code
