@@ -145,4 +145,4 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
     key = max(counts.values(), default=0) + 1
     out = ranked.mapInArrow(partial(_assign, slots=slots, key=key), f"{schema}, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("piece", F.col("piece").cast("int")).withColumnRenamed("id", id_col)
