@@ -25,7 +25,7 @@ from claimlake.llm.tokens import encode, load, vocabulary
 
 CAPACITY, END = 1024, 2
 #: Pieces of one length that one window ranks, on average.
-RANK_BLOCK = 10_000
+RANK_BLOCK = 1_000
 
 
 class Complements:
