@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 from claimlake.functions.scalar import context_similarity, improvement_pct
 from claimlake.operators.scan import ordered_scan
 
-CONTEXT_AT_LEAST, IMPROVEMENT_AT_LEAST, SAMPLES = 0.7, 0.05, 10
+#: Thresholds of adoption, promotion and shadow tests.
+CONTEXT_AT_LEAST, IMPROVEMENT_AT_LEAST, SAMPLES = 0.6, 0.1, 10
 WINDOW_SECONDS, RECENT, PROMOTE, DEMOTE = 300, 5, 0.1, -0.05
 SHADOWS, SHADOW_SAMPLES, RING = 5, 50, 100
 

@@ -19,6 +19,25 @@ COMMON = set("what when where which that this have from with about show find tel
 LIMIT = 50
 DEFAULT_YEAR = "2026"
 TITLE = "has_title"
+#: Phrases and patterns that tell what a question asks for; the first kind that fits counts. A pattern's
+#: group is the topic.
+PHRASES = {
+    "contradictions": ("contradict", "conflict", "inconsisten"),
+    "timeline": ("timeline", "history of", "chronolog"),
+    "staleness": ("stale", "outdat", "not review", "coverage", "old decision"),
+    "lineage": ("supersed", "replaced", "lineage", "version chain"),
+    "all_decisions": ("all decision", "what decision", "list decision", "every decision", "our decision"),
+    "list_titles": ("all conversations", "list all", "show all", "everything"),
+}
+PATTERNS = {
+    "timeline": r"(?:timeline|history)\s+(?:of|for)\s+(.+?)(?:\?|$)",
+    "changed_since": r"(?:changed since|new since|since|after|from)\s+(\d{4}-\d{2}-\d{2}|(?:" + "|".join(MONTHS) + r")\s*\d{0,4})",
+    "decisions_about": r"(?:decided?|decision).{0,20}(?:about|on|for|regarding)\s+(.+?)(?:\?|$)",
+    "topic": r"(?:about|regarding|related to|involving|mention(?:ing)?)\s+(.+?)(?:\?|$)",
+    "show_find": r"(?:show|find|search|get|list)\s+(?:me\s+)?(?:all\s+)?(.+?)(?:\?|$)",
+}
+LEADING = r"^(?:my|the|all|conversations?|about)\s+"
+ORDER = ("contradictions", "timeline", "staleness", "lineage", "changed_since", "decisions_about", "all_decisions", "list_titles", "topic", "show_find")
 
 
 @dataclass(frozen=True)
@@ -30,10 +49,6 @@ class Intent:
     limit: int = LIMIT
 
 
-def _has(q: str, *parts: str) -> bool:
-    return any(p in q for p in parts)
-
-
 def _since(text: str, year: str) -> str:
     for number, month in enumerate(MONTHS, 1):
         if month in text:
@@ -42,36 +57,24 @@ def _since(text: str, year: str) -> str:
     return text
 
 
+def _read(kind: str, q: str) -> str | None:
+    """The topic if ``q`` is of this kind, empty where the kind has none; None if it is not."""
+    if kind in PHRASES and not any(phrase in q for phrase in PHRASES[kind]):
+        return None
+    found = re.search(PATTERNS[kind], q) if kind in PATTERNS else None
+    if found is None:
+        return "" if kind in PHRASES else None
+    topic = clean_topic(found[1])
+    return (re.sub(LEADING, "", topic).strip() or None) if kind == "show_find" else topic
+
+
 def parse(question: str, limit: int = LIMIT, default_year: str = DEFAULT_YEAR) -> Intent:
-    """The first reading that fits, in this order."""
+    """The first kind in ORDER that a question is of; else its keywords; else the titles."""
     q = question.lower().strip()
-    if _has(q, "contradict", "conflict", "inconsisten"):
-        return Intent("contradictions", limit=limit)
-    if _has(q, "timeline", "history of", "chronolog"):
-        m = re.search(r"(?:timeline|history)\s+(?:of|for)\s+(.+?)(?:\?|$)", q)
-        return Intent("timeline", clean_topic(m[1]) if m else None, limit=limit)
-    if _has(q, "stale", "outdat", "not review", "coverage", "old decision"):
-        return Intent("staleness", limit=limit)
-    if _has(q, "supersed", "replaced", "lineage", "version chain"):
-        return Intent("lineage", limit=limit)
-    m = re.search(r"(?:changed since|new since|since|after|from)\s+(\d{4}-\d{2}-\d{2}|(?:" + "|".join(MONTHS) + r")\s*\d{0,4})", q)
-    if m:
-        return Intent("changed_since", since=_since(m[1].strip(), default_year), limit=limit)
-    m = re.search(r"(?:decided?|decision).{0,20}(?:about|on|for|regarding)\s+(.+?)(?:\?|$)", q)
-    if m:
-        return Intent("decisions_about", clean_topic(m[1]), limit=limit)
-    if _has(q, *(f"{w} decision" for w in ("all", "what", "list", "every", "our"))):
-        return Intent("all_decisions", limit=limit)
-    if _has(q, "all conversations", "list all", "show all", "everything"):
-        return Intent("list_titles", limit=limit)
-    m = re.search(r"(?:about|regarding|related to|involving|mention(?:ing)?)\s+(.+?)(?:\?|$)", q)
-    if m:
-        return Intent("topic", clean_topic(m[1]), limit=limit)
-    m = re.search(r"(?:show|find|search|get|list)\s+(?:me\s+)?(?:all\s+)?(.+?)(?:\?|$)", q)
-    if m:
-        topic = re.sub(r"^(?:my|the|all|conversations?|about)\s+", "", clean_topic(m[1])).strip()
-        if topic:
-            return Intent("show_find", topic, limit=limit)
+    for kind in ORDER:
+        topic = _read(kind, q)
+        if topic is not None:
+            return Intent(kind, since=_since(topic, default_year), limit=limit) if kind == "changed_since" else Intent(kind, topic or None, limit=limit)
     words = tuple(w for w in re.split(r"\W+", q) if len(w) > 3 and w not in COMMON)
     return Intent("keyword", words=words[:4], limit=limit) if words else Intent("titles", limit=limit)
 

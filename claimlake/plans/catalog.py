@@ -506,7 +506,7 @@ def decision_candidates(spark, sf):
 @register(
     """with b as (select n_nationkey as id, n_regionkey % 3 as domain, n_nationkey % 4 as scenario, [n_regionkey, n_nationkey % 2 + 10] as tags from nation),
 scored as (select b.id as bundle_id, t.id as target_id, ((b.domain = t.domain)::int::double + (b.scenario = t.scenario)::int::double + len(list_intersect(b.tags, t.tags))::double / len(list_distinct(list_concat(b.tags, t.tags)))) / 3 as score from b, b t)
-select bundle_id, target_id, score from scored where score >= 0.7 and bundle_id <> target_id"""
+select bundle_id, target_id, score from scored where score >= 0.6 and bundle_id <> target_id"""
 )
 def context_similarity(spark, sf):
     n = read(spark, sf, "nation")
@@ -517,7 +517,7 @@ def context_similarity(spark, sf):
 @register(
     """with s as (select user_id, count(*) as n, avg(v) as mean, var_pop(v) as variance from (select user_id, (event_id % 20)::double / 100 as v from events where event_id % 3 = 0) group by user_id),
 b as (select distinct user_id as bundle_id, (user_id % 10)::double / 10 as context_score from events)
-select b.bundle_id, b.context_score, coalesce(s.n, 0)::bigint as n, case when b.context_score < 0.7 then 'reject' when coalesce(s.mean, 0.1) < 0.05 then 'reject' when coalesce(s.n, 0) < 10 then 'test_more' else 'adopt' end as recommendation,
+select b.bundle_id, b.context_score, coalesce(s.n, 0)::bigint as n, case when b.context_score < 0.6 then 'reject' when coalesce(s.mean, 0.1) < 0.1 then 'reject' when coalesce(s.n, 0) < 10 then 'test_more' else 'adopt' end as recommendation,
  case when s.n > 0 then round(1 / (1 + s.variance), 9) else 0.5 end as stability from b left join s on s.user_id = b.bundle_id"""
 )
 def bundle_evaluation(spark, sf):

@@ -9,9 +9,17 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Arrow batches by rows and bytes where the session has Spark's defaults: texts are long, and a batch is held by the
+#: executor and, copied, by its Python worker, once for each task that runs.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Puts the package's folder on the workers' path. On a cluster whose nodes do not have that folder, ship the
-    package with ``--py-files``; then this changes nothing."""
+    """Puts the package's folder on the workers' path and keeps Arrow batches small. On a cluster whose nodes do not
+    have that folder, ship the package with ``--py-files``."""
+    for key, (default, value) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
