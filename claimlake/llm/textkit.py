@@ -23,7 +23,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C13)  # odd
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _STEP = np.uint64(0xD1342543DE82EF97)
 #: Bytes of text taken together; a longer document is taken alone and whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

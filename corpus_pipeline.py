@@ -6,6 +6,8 @@ to the shared folder and rereads them. All stages but the last return the column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ from claimlake.runtime import ready
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects: null, without a letter, or far from every language."""
-    ready(spark)
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
     return docs.where(~langid.classify(F.col("text"), model, spark)["rejected"])
 
@@ -50,7 +51,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
+def _stage(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    return lambda spark, docs, sf_dir: fn(ready(spark), docs, sf_dir)
+
+
+STAGES = [(name, _stage(fn)) for name, fn in (("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack))]
 
 #: Hashed n-grams, min-hashes and token ids have no counterpart in SQL.
 ORACLE_SQL = None
