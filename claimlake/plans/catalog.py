@@ -598,14 +598,14 @@ def _both(name: str, tables: str, sql: str) -> None:
     _inherited(name, tables, sql.format(**{t: f"cl_{t}" for t in names}), sql.format(**{t: t for t in names}))
 
 
-_both("inherited_rollup", "lineitem", "select l_returnflag, l_linestatus, count(*) as n, sum(cast(l_quantity as bigint)) as qty from {lineitem} group by rollup (l_returnflag, l_linestatus)")
+_both("inherited_rollup", "lineitem", "select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as bigint)) as bigint) as qty from {lineitem} group by rollup (l_returnflag, l_linestatus)")
 _both("inherited_cube", "orders", "select o_orderstatus, o_orderpriority, count(*) as n from {orders} group by cube (o_orderstatus, o_orderpriority)")
 _both("inherited_grouping_sets", "orders", "select o_orderstatus, o_orderpriority, count(*) as n from {orders} group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
 _both("inherited_having", "orders", "select o_custkey, count(*) as n from {orders} group by o_custkey having count(*) > 12")
 _both("inherited_filter", "events", "select user_id, count(*) filter (where event_type = 'click') as clicks, count(*) as n from {events} group by user_id")
-_both("inherited_ranking", "orders", "select o_custkey, o_orderkey, row_number() over w as rn, rank() over w as rk, dense_rank() over w as dr, ntile(4) over w as nt from {orders} window w as (partition by o_custkey order by o_orderkey)")
+_both("inherited_ranking", "orders", "select o_custkey, o_orderkey, cast(row_number() over w as bigint) as rn, cast(rank() over w as bigint) as rk, cast(dense_rank() over w as bigint) as dr, cast(ntile(4) over w as bigint) as nt from {orders} window w as (partition by o_custkey order by o_orderkey)")
 _both("inherited_lag_lead", "events", "select event_id, lag(event_id, 1) over w as before, lead(event_id, 2, -1) over w as after, first_value(event_id) over w as first from {events} window w as (partition by user_id order by event_id)")
-_both("inherited_frames", "orders", "select o_orderkey, count(*) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as n3, sum(o_custkey) over (partition by o_custkey order by o_orderkey range between 1000 preceding and current row) as near from {orders}")
+_both("inherited_frames", "orders", "select o_orderkey, count(*) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as n3, cast(sum(o_custkey) over (partition by o_custkey order by o_orderkey range between 1000 preceding and current row) as bigint) as near from {orders}")
 _both("inherited_semi", "customer orders", "select c_custkey from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey and o_orderstatus = 'F')")
 _both("inherited_anti", "customer orders", "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 _both("inherited_intersect", "lineitem part", "select l_partkey as k from {lineitem} intersect select p_partkey from {part} where p_size > 25")
