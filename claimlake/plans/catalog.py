@@ -13,6 +13,7 @@ from claimlake.operators import adaptive, bind, chunk, constraints, decisions, d
 from claimlake.plans import projections as p
 from claimlake.plans.projections import read, with_ctes
 from claimlake.sources import chat, documents, shards
+from claimlake.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -548,6 +549,42 @@ def vector_topk(spark, sf):
     return vector.top_k_for_id(read(spark, sf, "embeddings"), 0)
 
 
+# --- streams, worked off once ---------------------------------------------------------------------------------------------------
+def _event_stream(spark, sf):
+    schema = read(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", "4").parquet(sf).withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@register("select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n from events group by 1, 2 having time_bucket(interval '1 day', ts) + interval '1 day' <= (select max(ts) from events) - interval '1 hour'")
+def stream_windowed_counts(spark, sf):
+    counts = logs.windowed_counts(_event_stream(spark, sf), "at", "event_type", "value", "1 day", "1 hour")
+    return logs.run_once(counts).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@register("select count(*) as n, count(distinct event_id) as n_ids from events")
+def stream_deduplicated(spark, sf):
+    twice = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return logs.run_once(logs.deduplicated(twice, "at", ["event_id"], "3650 days").select("event_id")).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))
+
+
+@register("select user_id::varchar as stream_id, previous, event_id as seq from (select user_id, event_id, lag(event_id) over (partition by user_id order by event_id) as previous from events) where previous is not null and event_id <> previous + 1")
+def stream_sequence_gaps(spark, sf):
+    stream = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("seq"))
+    return logs.run_once(logs.sequence_gaps(stream))
+
+
+@register(
+    """with recursive r as (select user_id::varchar as rule_id, epoch(ts) as ts, (event_id % 7)::double as value from events), o as (select *, row_number() over (partition by rule_id order by ts, value) as i from r),
+w(rule_id, i, until, num) as (select rule_id, i, ts + 86400, 0 from o where i = 1 union all
+  select o.rule_id, o.i, case when o.ts > w.until then o.ts + 86400 else w.until end, case when o.ts > w.until then w.num + 1 else w.num end from w join o on o.rule_id = w.rule_id and o.i = w.i + 1)
+select rule_id, num::bigint as "window", n, total from (select o.rule_id, w.num, count(*) as n, sum(o.value) as total, max(w.num) over (partition by o.rule_id) as last from w join o on o.rule_id = w.rule_id and o.i = w.i group by o.rule_id, w.num) where num < last"""
+)
+def stream_rule_windows(spark, sf):
+    ts = F.unix_timestamp("at").cast("double")
+    stream = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("rule_id"), ts.alias("ts"), (F.col("event_id") % 7).cast("double").alias("value"))
+    return logs.run_once(logs.rule_windows(stream, 86400)).select("rule_id", "window", "n", "total")
+
+
 # --- identifiers and sealing -----------------------------------------------------------------------------------------------------
 GROUP = "lpad(to_base(('0x' || substr(h, {0}, 5))::bigint, 32), 4, '0')"
 B32 = "translate(upper(concat(" + ", ".join(GROUP.format(5 * i + 1) for i in range(6)) + ")), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'abcdefghijklmnopqrstuvwxyz234567')"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +32,38 @@ def deep(spark: SparkSession) -> SparkSession:
     """Recursive queries end by their own condition and their levels, not at a million rows."""
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark
+
+
+#: Used only where the session names no shared folder, as in tests on one machine.
+DEFAULT_SHARED = "/tmp/checkpoints/claimlake"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; set here only where the session has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = known.get() if known.isDefined() else None
+    if not found:
+        spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
+        found = DEFAULT_SHARED
+    return found.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _at_end(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the session may be gone before the interpreter ends
+        pass
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, removed when the driver's interpreter ends."""
+    path = f"{shared_dir(spark)}/claimlake-{uuid.uuid4().hex}"
+    atexit.register(_at_end, spark, path)
+    return path

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from claimlake.runtime import scratch
+
 
 def read_stream(spark: SparkSession, path: str, schema: str, format: str = "json", **options: str) -> DataFrame:
     """A folder of JSON lines or Parquet files that grows."""
@@ -22,6 +24,15 @@ def append(stream: DataFrame, path: str, checkpoint: str, once: bool = False):
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def run_once(stream: DataFrame) -> DataFrame:
+    """Works off what a stream's source holds, exactly once, into a table of the shared folder, and gives that table.
+    Windows that the watermark has not passed stay in the state."""
+    spark = stream.sparkSession
+    folder = scratch(spark)
+    append(stream, f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
 def deduplicated(stream: DataFrame, ts: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """At-least-once input to first occurrences, forgotten once the watermark has passed."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
