@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlake.runtime import delete, scratch
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder, as in tests on one machine.
-DEFAULT_SHARED = "/tmp/checkpoints/claimlake"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else None
-    if not found:
-        spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
-        found = DEFAULT_SHARED
-    return found.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _at_end(spark: SparkSession, path: str) -> None:
-    try:
-        delete(spark, path)
-    except Exception:  # the session may be gone before the interpreter ends
-        pass
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: lineage ends here, a lost executor costs
     a reread, and no expensive plan runs twice. The files go when the driver's interpreter ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/claimlake-{uuid.uuid4().hex}/{name}"
+    path = f"{scratch(spark)}/{name}"
     df.write.parquet(path)
-    atexit.register(_at_end, spark, path.rsplit("/", 1)[0])
     out = spark.read.schema(df.schema).parquet(path)
     out._claimlake_path = path  # type: ignore[attr-defined]
     return out
