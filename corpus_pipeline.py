@@ -26,9 +26,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(~langid.classify(F.col("text"), model, spark)["rejected"])
 
 
+#: Up to so many ids of dropped documents are broadcast to the texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    keep = verdicts.where("kept").select(F.col("doc_id").alias("claimlake_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["claimlake_kept"]), "left_semi")
+    """The rows of ``docs`` whose id has a kept row. The ids that go are fewer than those that stay, and texts that
+    meet them by broadcast are not shuffled again."""
+    gone = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("not stays").select(F.col("doc_id").alias("claimlake_gone"))
+    gone = table(gone, "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["claimlake_gone"]), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
