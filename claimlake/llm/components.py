@@ -18,19 +18,24 @@ HUB_EDGES, MOST_HUBS = 1000, 100_000
 
 
 def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
+    """One half round as a table; what it is joined with is a table too, so plans stay small however many rounds."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
-    far = near.where("v > u") if large else near
-    # A hub's edges stay where they are: they would be one task's.
-    hubs = least.where(F.col("n") > hub).select(F.col("w").alias("h"), F.col("m").alias("hm"))
-    routed = far.join(F.broadcast(hubs), far.u == hubs.h, "left")
-    of_hub = routed.where("h is not null").select(F.col("v").alias("u"), F.col("hm").alias("v"))
-    rest = routed.where("h is null").select("u", "v").join(least.select("w", "m"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    linked = of_hub.union(rest)
+    least = table(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n"), "least")
+    rest = near.where("v > u") if large else near
+    linked = None
+    if (least.agg(F.max("n")).first()[0] or 0) > hub:  # a hub's edges stay where they are: they would be one task's
+        hubs = least.where(F.col("n") > hub).select(F.col("w").alias("h"), F.col("m").alias("hm"))
+        routed = rest.join(F.broadcast(hubs), F.col("u") == F.col("h"), "left")
+        linked = routed.where("h is not null").select(F.col("v").alias("u"), F.col("hm").alias("v"))
+        rest = routed.where("h is null").select("u", "v")
+    others = rest.join(least.select("w", "m"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = linked.union(others) if linked is not None else others
     if not large:
         linked = linked.union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = table(linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    drop(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,8 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = print_of(now)
     while before[0]:
         hub = max(HUB_EDGES, 2 * before[0] // MOST_HUBS)
-        after = table(_star(_star(now, True, hub), False, hub), "edges")
-        drop(now)
+        half = _star(now, True, hub)
+        after = _star(half, False, hub)
+        drop(half), drop(now)
         now, seen = after, print_of(after)
         if seen == before:
             break
