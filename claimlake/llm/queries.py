@@ -80,6 +80,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_minhash_near_dedup": """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), starts as (
+  select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from words where len(ws) > 0
+), shingles as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as s from starts
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)
+), ways as (
+  select a, b from links union all select b, a from links
+), reach(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, w.b from reach r join ways w on w.a = r.other
+), home as (
+  select doc_id, min(other) as component_id from reach group by doc_id
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join home h on h.doc_id = d.doc_id left join sizes s on s.doc_id = d.doc_id""",
     "op6_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
        sha256(coalesce(text, '')) as text_sha256
