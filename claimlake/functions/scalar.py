@@ -63,8 +63,8 @@ def is_safe_path(path: Column) -> Column:
 
 def occurrences(text: Column, needle: Column) -> Column:
     """Non-overlapping; an empty needle occurs nowhere."""
-    gone = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return F.when(needle == "", 0).otherwise((gone / F.length(needle)).cast("int"))
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))  # in bytes: lengths are known
+    return F.when(needle == "", 0).otherwise((gone / F.octet_length(needle)).cast("int"))
 
 
 def occurs_twice(text: Column, needle: Column) -> Column:
