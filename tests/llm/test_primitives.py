@@ -177,3 +177,19 @@ def test_estimate_learns_which_texts_are_bad():
 
 def test_crc_is_zlib():
     assert zlib.crc32(b"12") % 4 in range(4)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2)), max_size=40), st.lists(st.integers(0, 7), max_size=12))
+def test_runs_never_cut_a_key(keys, sizes):
+    from claimlake.llm.common import runs
+
+    keys = sorted(keys)
+    table = pa.table({"a": pa.array([k[0] for k in keys], pa.int64()), "b": pa.array([k[1] for k in keys], pa.int64())})
+    batches, at = [], 0
+    for size in [*sizes, len(keys)]:
+        batches += table.slice(at, size).combine_chunks().to_batches() or [pa.record_batch({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})]
+        at += size
+    parts = [list(zip(p["a"].to_pylist(), p["b"].to_pylist(), strict=True)) for p in runs(iter(batches), ["a", "b"])]
+    assert [k for p in parts for k in p] == keys
+    assert all(x[-1] != y[0] for x, y in zip(parts, parts[1:], strict=False))
