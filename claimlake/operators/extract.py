@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import DATE, MONEY, header_predicate
 
+#: Line ends that are appended to one another before they are put away.
+PART = 64
 COLUMNS = ("doc_id", "subject", "predicate", "object", "object_type", "evidence", "tier", "extraction_method")
 #: Patterns of statute sections, case citations, quotes, headings and references.
 SECTION = r"(?i)(?:California\s+)?(?:Family\s+Code|Fam\.?\s*Code)\s*§\s*(\d+(?:\([a-z]\))?)"
@@ -44,11 +46,16 @@ def lines(docs: DataFrame) -> DataFrame:
     array of lines, so nothing is shuffled."""
     split = docs.select("doc_id", F.split("text", "\n", -1).alias("ls"))
     sizes = F.transform("ls", lambda x: F.octet_length(x).cast("long"))
-    ends = F.aggregate(
-        sizes,
-        F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<bigint>").alias("all")),
-        lambda acc, n: F.struct((acc["end"] + 1 + n).alias("end"), F.array_append(acc["all"], acc["end"] + 1 + n).alias("all")),
-    )["all"]
+    none, nested = F.array().cast("array<bigint>"), F.array().cast("array<array<bigint>>")
+
+    def add(acc: Column, n: Column) -> Column:
+        """Appending copies an array, so ends are gathered in short parts, and the parts in an array."""
+        end = acc["end"] + 1 + n
+        full = F.size(acc["part"]) >= PART
+        return F.struct(end.alias("end"), F.array_append(F.when(full, none).otherwise(acc["part"]), end).alias("part"), F.when(full, F.array_append(acc["all"], acc["part"])).otherwise(acc["all"]).alias("all"))
+
+    start = F.struct(F.lit(-1).cast("long").alias("end"), none.alias("part"), nested.alias("all"))
+    ends = F.aggregate(sizes, start, add, lambda acc: F.flatten(F.array_append(acc["all"], acc["part"])))
     flat = split.withColumn("ends", ends).select("doc_id", F.posexplode(F.arrays_zip("ls", "ends")).alias("pos", "z"))
     return flat.select("doc_id", "pos", F.col("z.ls").alias("line"), (F.col("z.ends") - F.octet_length("z.ls")).alias("byte_start"), F.col("z.ends").alias("byte_end"))
 
