@@ -33,7 +33,7 @@ WINDOW = 8
 _PLAIN = "abcdefghijklmnopqrstuvwxyz \n"
 _SPACES = " \t\n\x0b\x0c\r"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_MARKS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _without(text: str, characters: str) -> Column:
