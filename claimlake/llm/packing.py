@@ -106,7 +106,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: in
     for batch in batches:
         rows: list[tuple] = []
         for doc, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-            ids = np.concatenate([encode(encoder, text.as_py() or ""), tail])
+            ids = np.concatenate([encode(encoder, text.as_py() or "", added=True), tail])
             first = len(ids) % capacity or capacity
             cuts = [0, *range(first, len(ids) + 1, capacity)]
             rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]

@@ -53,7 +53,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, by: str, rule: str) ->
         for doc, fields in zip(batch["id"], batch["fields"].to_pylist(), strict=True):
             text = "\n".join(f or "" for f in fields)
             raw = np.frombuffer(text.encode(), np.uint8)
-            ids = encode(encoder, text)
+            ids = encode(encoder, text, added=True)
             starts, ends = _spans(raw, widths[ids])
             if by == "lines":
                 character = np.cumsum((raw & 0xC0) != 0x80)

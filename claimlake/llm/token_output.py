@@ -101,7 +101,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int,
 
     for batch in batches:
         for doc, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-            ids = np.append(encode(encoder, text.as_py() or ""), np.uint32(end))
+            ids = np.append(encode(encoder, text.as_py() or "", added=True), np.uint32(end))
             for start in range(0, len(ids), capacity):
                 pieces.append((doc, start, ids[start : start + capacity]))
             held += len(ids)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 
 import numpy as np
 import tiktoken
@@ -17,6 +19,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _added(path: str) -> dict[str, int]:
+    """The added tokens of the JSON file beside the rank file, which has none itself; none where there is no such file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 def load(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The encoder and the number of bytes of each id; once per worker process."""
     if path not in _loaded:
@@ -24,13 +35,17 @@ def load(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        added = _added(path)
+        lengths = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
-        _loaded[path] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+        for token, rank in added.items():
+            lengths[rank] = len(token.encode())
+        _loaded[path] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), lengths
     return _loaded[path]
 
 
-def encode(encoder: tiktoken.Encoding, text: str) -> np.ndarray:
-    """Ids as uint32; the strings of special tokens are ordinary text."""
-    return encoder.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+def encode(encoder: tiktoken.Encoding, text: str, *, added: bool = False) -> np.ndarray:
+    """Ids as uint32. ``added``: the string of an added token is that token, as the JSON file has it and all operators
+    read it; else it is ordinary text."""
+    return encoder.encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=()) if text else np.zeros(0, np.uint32)

@@ -144,6 +144,28 @@ def test_token_counts_add_up(spark, sf, hard):
     assert Counter(r["doc_id"] for r in by_field) == Counter({i: 2 * n for i, n in Counter(r[0] for r in rows()).items()})
 
 
+def test_operators_read_added_tokens_like_the_unmodified_json_vocabulary(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = dict(enumerate(["hello <|endoftext|> world", "<|endoftext|>", "one\n<|endoftext|>two\n", "no such token"]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = {k: tokenizer.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    counted = Counter()
+    for r in token_counts.token_counts(docs).collect():
+        counted[r["doc_id"]] += r["n_tokens"]
+    assert counted == {k: len(v) for k, v in ids.items()}
+    got = {}
+    for r in token_output.packed_ids(docs).collect():
+        row = np.frombuffer(bytes(r["input_ids"]), "<u2").tolist()
+        got |= {doc: row[a:b] for doc, a, b in zip(r["doc_ids"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False)}
+    assert got == {k: [*v, token_output.END] for k, v in ids.items()}
+    crcs = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.packed(docs).collect()}
+    assert crcs == {k: (len(v) + 1, zlib.crc32(np.array([*v, packing.END], "<u4").tobytes())) for k, v in ids.items()}
+
+
 def links(texts):
     """doc -> component over (id, text), by all pairs."""
     sets = {}

@@ -1,5 +1,6 @@
 """Vectorised primitives against plain Python."""
 
+import functools
 import re
 import zlib
 
@@ -123,6 +124,23 @@ def test_tokens_are_those_of_the_json_vocabulary(text):
     assert widths[ids].sum() == len(text.encode())
 
 
+@functools.cache
+def unmodified():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["naïve café", "<|endoftext|>", "<|endoftext|", " ", "\n\n", "日本語", "it's 12345", "🙂"]), max_size=7).map("".join))
+def test_added_tokens_are_those_of_the_unmodified_json_vocabulary(text):
+    encoder, widths = tokens.load(tokens.vocabulary())
+    ids = tokens.encode(encoder, text, added=True)
+    assert ids.tolist() == unmodified().encode(text, add_special_tokens=False).ids
+    assert widths[ids].sum() == len(text.encode())
+
+
 @pytest.mark.parametrize(("rule", "want"), [("first", [0, 0, 2]), ("most", [0, 1, 2])])
 def test_boundary_tokens_follow_the_rule(rule, want):
     own, crossing = token_counts.attribute(np.array([0, 3, 9]), np.array([3, 9, 12]), np.array([0, 4, 9]), rule)
