@@ -22,6 +22,8 @@ from claimlake.llm.common import runs, table, text_bytes
 
 #: Bytes of records in a bucket, on average.
 BUCKET_BYTES = 8 << 20
+#: Starts of up to so many buckets are broadcast; more are joined by shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def fisher_yates(n: int, *seed: int) -> np.ndarray:
@@ -70,25 +72,32 @@ def sharded(records: DataFrame, keys: list[str], size: Column, shards: int, *, s
     dealt = scattered.repartition(bucket).sortWithinPartitions(bucket, F.xxhash64(F.lit(seed + 1), *keys), *keys)
     dealt = dealt.mapInArrow(partial(_shuffle, seed=seed, bucket=bucket, place=place), schema)
     at = F.col(first) + F.col(place)
-    out = dealt.join(starts, F.col(bucket) == F.col("of"))
+    few = buckets <= BROADCAST_BUCKETS  # records are not shuffled again to meet their bucket's start
+    out = dealt.join(F.broadcast(starts) if few else starts, F.col(bucket) == F.col("of"))
     return out.withColumns({shard: (at % shards).cast(IntegerType()), slot: F.floor(at / shards).cast("long")}).select(*[F.col(f"`{c}`") for c in records.columns], shard, slot)
 
 
+def _dealt(docs: DataFrame, shards: int, id_col: str, text_col: str, **options) -> tuple[DataFrame, list[str]]:
+    """Whole records with shard and slot, and the names of the two columns that were added to deal them by."""
+    keys = [id_col, _free("crc32", docs.columns), _free("size", docs.columns)]
+    text = text_bytes(F.col(text_col))
+    held = table(docs.withColumns({keys[1]: F.crc32(text), keys[2]: (F.octet_length(text) + 16).cast("long")}), "records")
+    return sharded(held, keys, F.col(keys[2]), shards, **options), keys[1:]
+
+
 def document_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """-> one row per row of ``docs``: id, size (UTF-8 bytes + 16; null: 16), text_crc32 (null as empty), law
-    "rows", shard, slot, grown_shard null. Other columns are not looked at."""
+    "rows", shard, slot, grown_shard null. Size and checksum are those of the whole records after the shuffle."""
+    out, _ = _dealt(docs, shards, id_col, text_col, **options)
+    shard, slot = out.columns[-2:]
     text = text_bytes(F.col(text_col))
-    narrow = docs.select(F.col(id_col), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = sharded(table(narrow, "records"), [id_col, "text_crc32", "size"], F.col("size"), shards, **options)
-    return out.select(id_col, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    digests = (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    return out.select(id_col, *digests, F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
     """Writes whole records, shuffled, as one folder ``shard=N`` for each shard; its files follow one another in slot
     order, and a shard of any size is written by as many tasks as it needs."""
-    keys = [id_col, _free("crc32", docs.columns), _free("size", docs.columns)]
-    text = text_bytes(F.col(text_col))
-    held = table(docs.withColumns({keys[1]: F.crc32(text), keys[2]: (F.octet_length(text) + 16).cast("long")}), "records")
-    out = sharded(held, keys, F.col(keys[2]), shards, **options).drop(*keys[1:])
+    out, added = _dealt(docs, shards, id_col, text_col, **options)
     shard, slot = out.columns[-2:]
-    out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    out.drop(*added).repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

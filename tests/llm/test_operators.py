@@ -12,6 +12,7 @@ from claimlake.llm.common import documents
 from claimlake.llm.components import components
 from claimlake.llm.exact_dedup import exact_duplicates
 from claimlake.llm.near_dedup import near_duplicates
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = (
@@ -263,6 +264,22 @@ def test_written_shards_hold_whole_records(spark, hard, tmp_path):
     assert back.count() == len(rows()) and {"text", "shard_", "slot_", "size"} <= set(back.columns)
 
 
+def test_shards_of_the_query_come_from_whole_records_and_are_the_written_ones(spark, sf, tmp_path, monkeypatch):
+    docs = documents(spark, sf)
+    sharding.write_shards(docs, str(tmp_path / "out"), 7, bucket_bytes=10_000)
+    written = {(r["doc_id"], r["shard"], r["slot"]) for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "shard", "slot").collect()}
+    got = sharding.document_shards(docs, 7, bucket_bytes=10_000).collect()
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == written and len(got) == len(written)
+    whole = sharding.sharded
+
+    def marked(records, *args, **options):
+        assert set(docs.columns) <= set(records.columns)
+        return whole(records, *args, **options).withColumn("text", F.lit("carried"))
+
+    monkeypatch.setattr(sharding, "sharded", marked)
+    assert {(r["size"], r["text_crc32"]) for r in sharding.document_shards(docs, 7).collect()} == {(7 + 16, zlib.crc32(b"carried"))}
+
+
 def test_token_output_round_trip(spark, sf, hard):
     import numpy as np
     from claimlake.llm.tokens import encode, load, vocabulary
