@@ -101,7 +101,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
-    encoder, _ = load(path)
+    encoder, widths = load(path)
+    dtype = "<u2" if max(len(widths) - 1, end) < 1 << 16 else "<u4"  # on the way; results have 32 bits
     tail = np.array([end], np.uint32)
     for batch in batches:
         rows: list[tuple] = []
@@ -109,8 +110,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: in
             ids = np.concatenate([encode(encoder, text.as_py() or "", added=True), tail])
             first = len(ids) % capacity or capacity
             cuts = [0, *range(first, len(ids) + 1, capacity)]
-            rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["id", "piece", "start", "length", "ids_crc32"])
+            rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), ids[a:b].astype(dtype).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], names=["id", "piece", "start", "length", "ids_crc32", "ids"])
 
 
 def _assign(batches: Iterator[pa.RecordBatch], slots: np.ndarray, key: int) -> Iterator[pa.RecordBatch]:
@@ -118,19 +120,23 @@ def _assign(batches: Iterator[pa.RecordBatch], slots: np.ndarray, key: int) -> I
     for batch in batches:
         columns = {c: batch[c].to_numpy() for c in ("length", "rank")}
         at = np.searchsorted(where, columns["length"] * key + columns["rank"], "right") - 1
-        out = [batch[c] for c in ("id", "piece", "start", "length", "ids_crc32")]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(slots[at, 3] + columns["rank"] - slots[at, 1]), pa.array(slots[at, 4])], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        held = zip(batch["ids"].to_pylist(), columns["length"].tolist(), strict=True)
+        ids = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in held]
+        out = [*[batch[c] for c in ("id", "piece", "start", "length")], pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+        names = ["id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
+        yield pa.RecordBatch.from_arrays([*out, pa.array(slots[at, 3] + columns["rank"] - slots[at, 1]), pa.array(slots[at, 4])], names=names)
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
-    """-> one row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """-> one row per piece: id, piece, start, length, ids (binary: little-endian, 32 bits), ids_crc32 (of these bytes),
+    sequence_id, offset.
 
     A document is its ids and ``end``; null counts as empty, so it is the one id ``end``. Only documents longer than
     ``capacity`` are cut; all pieces but the first have full length. Rows repeated under one id give their pieces
     each for itself; a null id stays null. An empty table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, piece long, start long, length long, ids_crc32 long"
+    schema = "id long, piece long, start long, length long, ids_crc32 long, ids binary"
     pieces = table(rows.mapInArrow(partial(_pieces, path=path or vocabulary(), capacity=capacity, end=end), schema), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     slots = plan(counts, capacity)
@@ -140,9 +146,10 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
     sizes = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "start", "ids")
     ranked = salted.withColumn("own", F.row_number().over(own)).join(bases.select("length", "salt", "base"), ["length", "salt"])
-    ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
+    ranked = ranked.select("id", "piece", "start", "length", "ids", (F.col("base") + F.col("own") - 1).alias("rank"))
     key = max(counts.values(), default=0) + 1
-    out = ranked.mapInArrow(partial(_assign, slots=slots, key=key), f"{schema}, sequence_id long, offset long")
+    schema = "id long, piece long, start long, length long, ids binary, ids_crc32 long, sequence_id long, offset long"
+    out = ranked.mapInArrow(partial(_assign, slots=slots, key=key), schema)
     return out.withColumn("piece", F.col("piece").cast("int")).withColumnRenamed("id", id_col)

@@ -55,11 +55,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir))
+    """The packed pieces, with the checksums of their ids in place of the ids."""
+    return packing.packed(documents(spark, sf_dir)).drop("ids")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    """The pieces that the last stage packs, with the checksums of their ids in place of the ids."""
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

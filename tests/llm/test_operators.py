@@ -350,6 +350,30 @@ def test_packing_round_trip(spark, sf, hard):
         assert len(rows_of) <= 1.02 * sum(r["length"] for r in got) / 128 + 1
 
 
+def test_packed_sequences_hold_their_ids(spark, sf, hard):
+    import numpy as np
+    import public_tokenizers
+    from claimlake.llm import queries
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for pack in (lambda docs: packing.packed(docs, capacity=128), lambda docs: corpus_pipeline.pack(spark, docs, sf)):
+        got, want, sequences = Counter(), Counter(), {}
+        for r in pack(hard).collect():
+            ids = np.frombuffer(bytes(r["ids"]), "<u4")
+            assert len(ids) == r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+            got[r["doc_id"]] += 1 if r["piece"] == 0 else 0
+            sequences.setdefault(r["sequence_id"], []).append((r["offset"], ids.tolist()))
+            want.update([(r["doc_id"], r["start"], tuple(ids.tolist()))])
+        whole = Counter((r["doc_id"], (*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, packing.END)) for r in hard.collect())
+        assert sum(len(ids) * n for (_, ids), n in whole.items()) == sum(len(i) for s in sequences.values() for _, i in s)
+        pieces = Counter(doc for doc, _ in whole.elements())
+        assert got == pieces
+        texts = {doc: ids for doc, ids in whole if pieces[doc] == 1}
+        assert all(texts[doc][start : start + len(ids)] == ids for doc, start, ids in want if doc in texts)
+    assert queries.op10_best_fit_packing(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_pipeline_against_brute_force(spark, sf):
     """Deduplication stages against all pairs on what the stage before kept; packing against the mixture."""
     docs = documents(spark, sf)
