@@ -1,8 +1,8 @@
 """Best-fit packing by exact-complement hashing.
 
 Pieces are known to the planner by length only, and lengths do not exceed the capacity, so a plan over counts has a
-fixed size for any corpus. From the longest length down, a piece's gap is looked up among single lengths, sums of
-two and sums of three under the counts that are still available; a combination that fills the gap exactly is used as
+fixed size for any corpus. From the longest length down, a piece's gap is looked up in an index of single lengths, sums of two
+and sums of three that loses an entry when its counts run out; a combination that fills the gap exactly is used as
 often as the counts allow. Where none exists, the longest piece that fits goes in (best fit) and the search repeats
 on the rest of the gap. The plan says for each length which ranks go to which sequences at which offset; a piece's
 rank among those of its length comes from salted windows, so no length or group of copies is one task's.
@@ -29,37 +29,64 @@ RANK_BLOCK = 1_000
 
 
 class Complements:
-    """Counts by length, and the exact fillings of a gap by one, two or three of the available pieces."""
+    """An index from a gap to what fills it exactly: the available lengths themselves, pairs under their sum and triples
+    under theirs (as one length and the sum of the other two, which is a key of the pairs). An entry leaves the index
+    when a count that it needs runs out; counts only fall, so each leaves once. Where the three of a triple include
+    equal lengths its counts are looked at when it is found."""
 
     def __init__(self, counts: np.ndarray):
+        n = len(counts)
         self.free = counts
+        self.pairs = np.zeros((n, (n + 1) // 2), bool)  # [sum, the smaller length]
+        some = np.flatnonzero(counts)
+        for a in some[2 * some < n].tolist():
+            partner = some[(some >= a) & (some < n - a)]
+            self.pairs[a + partner, a] = True
+            self.pairs[2 * a, a] = counts[a] > 1
+        self.n_pairs = self.pairs.sum(1)
+        self.triples = np.zeros((n, n), bool)  # [sum, one of the lengths]
+        for a in some.tolist():
+            self.triples[a + np.flatnonzero(self.n_pairs[: n - a]), a] = True
+
+    def take(self, length: int, number: int = 1) -> None:
+        before = self.free[length]
+        self.free[length] = now = before - number
+        if now <= 1 < before and 2 * length < len(self.free):
+            self._leave(np.array([2 * length]), np.array([length]))
+        if now == 0:
+            partner = np.arange(1, len(self.free) - length)
+            self._leave(partner + length, np.minimum(partner, length))
+            self.triples[:, length] = False
+
+    def _leave(self, sums: np.ndarray, smaller: np.ndarray) -> None:
+        held = self.pairs[sums, smaller]
+        self.pairs[sums[held], smaller[held]] = False
+        self.n_pairs[sums[held]] -= 1
+        for gone in sums[held][self.n_pairs[sums[held]] == 0].tolist():  # no triple has this sum for its pair any more
+            a = np.arange(len(self.free) - gone)
+            self.triples[a + gone, a] = False
 
     def fill(self, gap: int) -> list[int] | None:
-        free = self.free
-        if free[gap] > 0:
+        if self.free[gap] > 0:
             return [gap]
-        pair = self._pair(gap)
-        if pair:
-            return pair
-        lengths = np.flatnonzero(free[:gap])
-        for a in lengths[lengths >= -(-gap // 3)][::-1].tolist():  # the longest of three
-            free[a] -= 1
+        if self.n_pairs[gap]:
+            return self._pair(gap)
+        longest = np.flatnonzero(self.triples[gap])
+        for a in longest[longest >= -(-gap // 3)][::-1].tolist():
             pair = self._pair(gap - a, a)
-            free[a] += 1
             if pair:
                 return [a, *pair]
         return None
 
     def _pair(self, gap: int, most: int | None = None) -> list[int] | None:
-        """The pair with the largest smaller count; neither longer than ``most``."""
-        if gap < 2:
-            return None
-        low = np.arange(max(1, gap - most if most else 1), gap // 2 + 1)
+        """The pair with the largest smaller count; with ``most`` beside a piece of that length, neither longer."""
+        low = np.flatnonzero(self.pairs[gap])
+        low = low[gap - low <= most] if most else low
         if not len(low):
             return None
         high = gap - low
-        both = np.minimum(self.free[low], self.free[high])
-        both[low == high] = self.free[low[low == high]] // 2
+        counts = [self.free[x] - (x == most) for x in (low, high)]
+        both = np.where(low == high, counts[0] // 2, np.minimum(*counts))
         best = int(both.argmax())
         return [int(high[best]), int(low[best])] if both[best] > 0 else None
 
@@ -75,7 +102,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     for longest in range(capacity, 0, -1):
         while free[longest] > 0:
             row, gap = [longest], capacity - longest
-            free[longest] -= 1
+            index.take(longest)
             while gap:
                 exact = index.fill(gap)
                 if exact is None:
@@ -84,13 +111,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
                         break
                     exact = [int(fits[-1])]
                 for length in exact:
-                    free[length] -= 1
+                    index.take(length)
                     gap -= length
                 row += exact
             need = np.bincount(row, minlength=capacity + 1)
             where = np.flatnonzero(need)
             times = 1 + int((free[where] // need[where]).min())
-            free[where] -= need[where] * (times - 1)
+            if times > 1:
+                for length in where.tolist():
+                    index.take(length, int(need[length]) * (times - 1))
             offset = 0
             for length in row:
                 slots.append((length, used[length], times, sequence, offset))
@@ -107,7 +136,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: in
     for batch in batches:
         rows: list[tuple] = []
         for doc, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-            ids = np.concatenate([encode(encoder, text.as_py() or "", added=True), tail])
+            ids = np.concatenate([encode(encoder, text.as_py() or ""), tail])
             first = len(ids) % capacity or capacity
             cuts = [0, *range(first, len(ids) + 1, capacity)]
             rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), ids[a:b].astype(dtype).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]

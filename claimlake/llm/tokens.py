@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 
 import numpy as np
 import tiktoken
@@ -45,7 +46,33 @@ def load(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return _loaded[path]
 
 
-def encode(encoder: tiktoken.Encoding, text: str, *, added: bool = False) -> np.ndarray:
-    """Ids as uint32. ``added``: the string of an added token is that token, as the JSON file has it and all operators
-    read it; else it is ordinary text."""
-    return encoder.encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=()) if text else np.zeros(0, np.uint32)
+#: The white space of the vocabulary's pattern (Unicode's White_Space).
+SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+#: Runs of white space from here on are cut by hand: the pattern's look-ahead walks back over a run and gives up at a million.
+LONG_RUN = 100_000
+
+
+def encode(encoder: tiktoken.Encoding, text: str, *, added: bool = True) -> np.ndarray:
+    """Ids as uint32, of texts of any length. ``added``: the string of an added token is that token, as the JSON file
+    has it; else it is ordinary text."""
+    if not text:
+        return np.zeros(0, np.uint32)
+    if len(text) >= LONG_RUN:
+        found = [m for m in SPACES.finditer(text) if m.end() - m.start() >= LONG_RUN]
+        if found:
+            return _around(encoder, text, found, added)
+    return encoder.encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=())
+
+
+def _around(encoder: tiktoken.Encoding, text: str, found: list[re.Match], added: bool) -> np.ndarray:
+    """Ids of a text with long runs of white space. The pattern takes such a run as one word: whole where the text or
+    an added token ends it, else all but its last character, which goes with what follows."""
+    out, at = [], 0
+    special = tuple(encoder.special_tokens_set) if added else ()
+    for run in found:
+        start, end = run.span()
+        if end < len(text) and not text.startswith(special, end):
+            end -= 1
+        out += [encode(encoder, text[at:start], added=added), np.array(encoder._encode_single_piece(text[start:end]), np.uint32)]
+        at = end
+    return np.concatenate([*out, encode(encoder, text[at:], added=added)])

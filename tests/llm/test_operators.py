@@ -26,6 +26,7 @@ WORDY = " ".join(f"w{i}" for i in range(60))
 
 def rows():
     texts = [None, "", " \n\t", "###", "one two three", "one two three", "ONE two three", WORDY, WORDY + " end", WORDY + " end", LONG, LONG + "x", "été où ça naïve", "1234 5678"]
+    texts += ["a b" + " " * 1_200_000 + "x", "\n" * 1_200_000, "a" * 1_200_000, "hello <|endoftext|> world"]
     out = [(i, t, "en" if i % 2 else "fr", "a" if i % 3 else None, 0, *EXTRA) for i, t in enumerate(texts)]
     out += [(5, "one two three", None, "b", None, *EXTRA), (None, "one two three", "en", "a", 1, *EXTRA), (None, None, None, None, None, *EXTRA)]
     return out
@@ -135,7 +136,7 @@ def test_token_counts_add_up(spark, sf, hard):
     from claimlake.llm.tokens import encode, load, vocabulary
 
     encoder, _ = load(vocabulary())
-    want = {r["doc_id"]: len(encode(encoder, r["text"])) for r in documents(spark, sf).collect()}
+    want = {r["doc_id"]: len(encode(encoder, r["text"] or "")) for r in documents(spark, sf).collect()}
     for rule in token_counts.RULES:
         got = Counter()
         for r in token_counts.token_counts(documents(spark, sf), rule=rule).collect():
@@ -302,6 +303,15 @@ def test_token_output_round_trip(spark, sf, hard):
         assert pieces == want
 
 
+def test_token_output_does_not_depend_on_partitions(spark, sf):
+    docs = documents(spark, sf)
+    want = None
+    for n in (1, 3, 11):
+        got = Counter(map(str, token_output.packed_ids(docs.repartition(n), block_tokens=20_000).collect()))
+        assert want in (None, got)
+        want = got
+
+
 def test_token_output_matrix(spark, hard, tmp_path):
     token_output.write(token_output.packed_ids(hard), str(tmp_path / "m"))
     assert {len(r[0]) for r in spark.read.parquet(str(tmp_path / "m")).select("input_ids").collect()} == {2 * token_output.CAPACITY}

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from claimlake.llm import langid, quality_rules, textkit, token_counts, tokens
 from claimlake.llm.exact_dedup import PatriciaTrie
 from claimlake.llm.near_dedup import _forest, confirm
-from claimlake.llm.packing import plan
+from claimlake.llm.packing import Complements, plan
 from claimlake.llm.quality_classifier import FEATURES, features
 from claimlake.llm.sharding import fisher_yates
 from claimlake.llm.token_output import best_fit_decreasing
@@ -90,6 +90,30 @@ def test_plan_finds_exact_singles_pairs_and_triples():
     assert plan({}, 32).shape == (0, 5)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 4), max_size=10), st.data())
+def test_complements_index_every_exact_filling_under_the_counts(counts, data):
+    """Before and after pieces are taken, against all combinations."""
+    import itertools
+
+    free = np.zeros(25, np.int64)
+    for length, n in counts.items():
+        free[length] = n
+    index = Complements(free)
+    while True:
+        pieces = [length for length in range(25) for _ in range(min(3, free[length]))]
+        sums = {sum(c): len(c) for k in (3, 2, 1) for c in itertools.combinations(pieces, k)}
+        for gap in range(1, 25):
+            found = index.fill(gap)
+            assert (len(found) if found else None) == sums.get(gap)
+            if found:
+                assert sum(found) == gap and all(free[x] >= found.count(x) for x in found)
+        if not pieces:
+            break
+        length = data.draw(st.sampled_from(pieces))
+        index.take(length, data.draw(st.integers(1, int(free[length]))))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 16), max_size=40))
 def test_best_fit_decreasing_like_a_search_over_all_rows(lengths):
@@ -117,11 +141,30 @@ def test_tokens_are_those_of_the_json_vocabulary(text):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     encoder, widths = tokens.load(tokens.vocabulary())
     ids = tokens.encode(encoder, text)
     assert ids.tolist() == slow.encode(text, add_special_tokens=False).ids
     assert widths[ids].sum() == len(text.encode())
+    plain = tokens.encode(encoder, text, added=False)
+    assert widths[plain].sum() == len(text.encode()) and 50256 not in plain
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\u3000", "\x85", "  \n", "     ", "\t" * 7, "a", "é!", "7", "<|endoftext|>", "\x1c\x1c\x1c", "'s"]), max_size=12).map("".join))
+def test_long_runs_are_cut_as_the_pattern_cuts_them(text):
+    encoder, widths = tokens.load(tokens.vocabulary())
+    before, tokens.LONG_RUN = tokens.LONG_RUN, 2
+    try:
+        ids = tokens.encode(encoder, text)
+    finally:
+        tokens.LONG_RUN = before
+    assert ids.tolist() == unmodified().encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 10**7, "x" + "\n" * 10**7 + "y", "a" * 10**7, "x" + " " * 1_500_000 + "<|endoftext|>" + "\n \u3000" * 400_000 + " y"], ids=["spaces", "newlines", "letter", "mixed"])
+def test_texts_of_one_character_have_the_ids_of_the_unmodified_vocabulary(text):
+    encoder, _ = tokens.load(tokens.vocabulary())
+    assert (tokens.encode(encoder, text) == np.array(unmodified().encode(text, add_special_tokens=False).ids)).all()
 
 
 @functools.cache
@@ -136,7 +179,7 @@ def unmodified():
 @given(st.lists(st.sampled_from(["naïve café", "<|endoftext|>", "<|endoftext|", " ", "\n\n", "日本語", "it's 12345", "🙂"]), max_size=7).map("".join))
 def test_added_tokens_are_those_of_the_unmodified_json_vocabulary(text):
     encoder, widths = tokens.load(tokens.vocabulary())
-    ids = tokens.encode(encoder, text, added=True)
+    ids = tokens.encode(encoder, text)
     assert ids.tolist() == unmodified().encode(text, add_special_tokens=False).ids
     assert widths[ids].sum() == len(text.encode())
 
