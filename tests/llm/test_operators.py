@@ -210,7 +210,29 @@ def test_near_duplicates_in_blocks(spark):
     texts += [(200 + i, " ".join(words[3 * i :] + [f"t{k}" for k in range(3 * i)])) for i in range(30)]  # a chain
     df = spark.createDataFrame(texts, "doc_id long, text string")
     near_against_all_pairs(df)
-    near_against_all_pairs(df, list_block=16, group_block=2000)
+    near_against_all_pairs(df, list_block=16, group_members=12, group_block=2000)
+    near_against_all_pairs(df, list_block=5, group_members=100, group_block=900)
+
+
+def test_a_family_of_50000_different_near_copies_meets_in_bounded_blocks(spark, monkeypatch):
+    """One word in sixty differs, so copies with far changes are no links and the family holds together by chains."""
+    import random
+
+    from claimlake.llm import near_dedup
+
+    draw, words, most, dealt = random.Random(3), [f"w{i}" for i in range(60)], [], near_dedup._dealt
+
+    def watched(df, keys, fn):
+        most.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+        return dealt(df, keys, fn)
+
+    texts = []
+    for i in range(50_000):
+        at = draw.randrange(60)
+        texts.append((i, " ".join([*words[:at], f"z{i}", *words[at + 1 :]])))
+    monkeypatch.setattr(near_dedup, "_dealt", watched)
+    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8)).select("component_id").distinct().collect()
+    assert [r[0] for r in got] == [0] and max(most) < 3 * near_dedup.GROUP_MEMBERS
 
 
 def test_near_duplicates_of_hard_rows(hard):
@@ -225,9 +247,10 @@ def test_near_duplicates_of_hard_rows(hard):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
-    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+    for local in (1_000_000, 7, 0):
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), local_edges=local).collect()}
+        assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
+        assert components(spark.createDataFrame([], "u long, v long"), local_edges=local).collect() == []
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])

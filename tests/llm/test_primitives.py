@@ -11,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from claimlake.llm import langid, quality_rules, textkit, token_counts, tokens
+from claimlake.llm.components import stars
 from claimlake.llm.exact_dedup import PatriciaTrie
-from claimlake.llm.near_dedup import _forest, confirm
+from claimlake.llm.near_dedup import collisions, links
 from claimlake.llm.packing import Complements, plan
 from claimlake.llm.quality_classifier import FEATURES, features
 from claimlake.llm.sharding import fisher_yates
@@ -190,28 +191,37 @@ def test_boundary_tokens_follow_the_rule(rule, want):
     assert own.tolist() == want and crossing.tolist() == [False, True, False]
 
 
-def test_forest_connects_what_collides():
-    sig = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [1, 1, 2, 2], [9, 9, 9, 9]], np.uint8)
-    edges = _forest(sig, np.array([10, 10, 10, 10]), 3, 75)
-    assert len(edges) == 2 and {x for e in edges for x in e} == {0, 1, 2}
-    assert _forest(sig, np.array([10, 30, 10, 10]), 3, 75) == []  # sizes that rule the similarity out
+@settings(max_examples=120, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 40), st.integers(1, 3), st.booleans())
+def test_merged_lists_find_the_pairs_with_enough_collisions(seed, m, groups, small):
+    draw = np.random.default_rng(seed)
+    group = np.sort(draw.integers(0, groups if small else 1, m))
+    sig, n, label = draw.integers(0, 2, (m, 8)) + 100, draw.integers(8, 12, m), draw.integers(0, 4, m)
+    i, j = collisions(sig, group, n, label, 5, 75, small)
+    pairs = [(a, b) for a in range(m) for b in range(a + 1, m) if group[a] == group[b] and label[a] != label[b]]
+    want = [(a, b) for a, b in pairs if (sig[a] == sig[b]).sum() >= 5 and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b])]
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 24), min_size=8, max_size=20), min_size=1, max_size=24))
-def test_confirm_links_exactly(sets):
-    arrays = [np.array(sorted(s), np.uint64) for s in sets]
-    edges = confirm(arrays, np.zeros((len(sets), 8), np.uint8), 0, 75)
-
-    def parts(pairs):
-        label = list(range(len(sets)))
-        for a, b in pairs:
-            x, y = label[a], label[b]
-            label = [x if v == y else v for v in label]
-        return {frozenset(i for i, v in enumerate(label) if v == w) for w in label}
-
-    true = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
-    assert parts(edges) == parts(true) and len(edges) == len(sets) - len(parts(true))
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 24), max_size=20), min_size=2, max_size=40), st.booleans(), st.data())
+def test_links_are_those_of_the_full_sets(sets, small, data):
+    group = np.sort([data.draw(st.integers(0, 2 if small else 0)) for _ in sets])
+    label = np.array([data.draw(st.integers(0, 5)) for _ in sets])
+    i, j = links([np.array(sorted(s), np.uint64) for s in sets], group, label, 75, small)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if group[a] == group[b] and label[a] != label[b]]
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a, b in pairs if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), min_size=1, max_size=30))
+def test_stars_lead_to_the_smallest_node(edges):
+    node, root = stars(*np.array(edges).T)
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == label
 
 
 def test_features_are_finite_and_independent_of_neighbours():
