@@ -1,12 +1,12 @@
 """Exact duplicates by owners in compressed radix (Patricia) tries.
 
-Rows are dealt by (length, content hash) and sorted by it, so equal texts meet and arrive together. A task inserts
-whole byte strings, under their length and hash, into a compressed radix trie; a terminal node holds the owner's id
-and the number of rows. The head of the key makes every (length, hash) a subtree of its own; the input is sorted by
-it, so when the trie outgrows its budget, all subtrees but the one being filled are complete and are spilled to the
-output and freed. The same trie runs first on each input partition as a combiner, so that a text with a third of
-all rows crosses the shuffle once per task. Owners go back to the rows by (length, SHA-256), checked in the trie to
-stand for one byte string each.
+Rows are dealt by (length, content hash), so equal texts meet, and a task sorts its rows by length and bytes. It inserts
+whole byte strings, under their length, into a compressed radix trie in which texts share their common beginnings; a
+terminal node holds the owner's id and the number of rows. As keys arrive in byte order, everything to the left of the
+path of the last key is complete: when the trie outgrows its budget those subtrees are spilled to the output, one by
+one, and only the path stays. A trie runs first on each input partition as a combiner, so that a text with a third of
+all rows crosses the shuffle once per task. Owners go back to the rows by length and SHA-256; those of large groups are
+broadcast, so the rows of a frequent text are not gathered in one place.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.llm.common import text_bytes
+from claimlake.llm.common import table, text_bytes
 
 #: Bytes of text that one trie holds before its complete subtrees are spilled.
 BUDGET = 32 << 20
+#: Owners of groups of more rows than this are broadcast; the bound rises with the rows so that no more than MOST_LARGE
+#: groups can have so many.
+LARGE, MOST_LARGE = 1000, 100_000
 
 
 class Node:
@@ -78,13 +81,28 @@ class PatriciaTrie:
             node, at = fork, at + split
         node.add(owner, count, self.largest)
 
-    def spill(self) -> Iterator[tuple[bytes, int | None, int]]:
-        """All (key, owner, count), subtree by subtree, in byte order; the trie is empty afterwards."""
-        stack = [(b"", self.root)]
-        self.root, self.held = Node(b""), 0
+    def spill(self, last: bytes | None = None) -> Iterator[tuple[bytes, int | None, int]]:
+        """(key, owner, count) of subtree by subtree, in byte order; each is freed as it is given. With ``last``, the
+        largest key so far, the nodes of its path stay: keys to come may end in them or below."""
+        if last is None:
+            root, self.root, self.held = self.root, Node(b""), 0
+            yield from self._subtree(b"", root)
+            return
+        node, at = self.root, 0
+        while at < len(last):
+            for c in sorted(c for c in node.children if c != last[at]):
+                child = node.children.pop(c)
+                yield from self._subtree(last[:at], child, freed=True)
+            node = node.children[last[at]]
+            at += len(node.label)
+
+    def _subtree(self, prefix: bytes, node: Node, freed: bool = False) -> Iterator[tuple[bytes, int | None, int]]:
+        stack = [(prefix, node)]
         while stack:
             prefix, node = stack.pop()
             prefix += node.label
+            if freed:
+                self.held -= len(node.label) + 200
             if node.count:
                 yield prefix, node.owner, node.count
             stack += [(prefix, node.children[c]) for c in sorted(node.children, reverse=True)]
@@ -121,34 +139,31 @@ def _batch(rows: list[tuple[bytes, int | None, int]]) -> pa.RecordBatch:
 
 
 def _own(batches: Iterator[pa.RecordBatch], largest: bool, budget: int) -> Iterator[pa.RecordBatch]:
-    """A partition sorted by (length, hash) -> one row for each different text."""
-    trie, last = PatriciaTrie(largest), None
+    """A partition sorted by length and text -> one row for each different text."""
+    trie, last = PatriciaTrie(largest), b""
 
-    def spilled() -> pa.RecordBatch:
-        rows = [(len(k) - 16, hashlib.sha256(memoryview(k)[16:]).hexdigest(), owner, n) for k, owner, n in trie.spill()]
-        for x, y in zip(rows, rows[1:], strict=False):
-            if x[:2] == y[:2]:
-                raise ValueError("two different texts of one length and one SHA-256")
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["size", "sha", "owner", "n"])
+    def rows_of(spilled: Iterator[tuple[bytes, int | None, int]]) -> Iterator[pa.RecordBatch]:
+        rows = [(len(k) - 8, hashlib.sha256(memoryview(k)[8:]).hexdigest(), owner, n) for k, owner, n in spilled]
+        if rows:
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["size", "sha", "owner", "n"])
 
     for batch in batches:
-        for size, h, text, owner, n in zip(*(batch[c].to_pylist() for c in ("size", "h", "b", "owner", "n")), strict=True):
-            head = size.to_bytes(8, "big") + (h & (1 << 64) - 1).to_bytes(8, "big")
-            if head != last and trie.held > budget:
-                yield spilled()
-            last = head
-            trie.insert(head + text, owner, n)
-    if trie.root.children:
-        yield spilled()
+        for size, text, owner, n in zip(*(batch[c].to_pylist() for c in ("size", "b", "owner", "n")), strict=True):
+            last = size.to_bytes(8, "big") + text
+            trie.insert(last, owner, n)
+            if trie.held > budget + len(last):
+                yield from rows_of(trie.spill(last))
+    yield from rows_of(trie.spill())
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "smallest", budget: int = BUDGET) -> DataFrame:
     """-> one row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their bytes are; null counts as empty. The owner is the smallest (or largest) non-null id
-    of equal texts; without one keep_id is null. ``kept`` is true on the rows that carry the owner's id and, where
-    there is no owner, on every row; rows repeated under one id and text stand or fall together. An empty table
-    gives no rows; other columns are not looked at.
+    Texts are equal when their bytes are; null counts as empty; texts of any length are held whole. The owner is the
+    smallest (or largest) non-null id of equal texts; without one keep_id is null. ``kept`` is true on the rows that
+    carry the owner's id and, where there is no owner, on every row; rows repeated under one id and text stand or fall
+    together. An empty table gives no rows; other columns are not looked at.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(keep)
@@ -156,9 +171,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("b"))
     local = source.mapInArrow(partial(_combine, **options), "b binary, owner long, n long")
     keyed = local.select(F.octet_length("b").cast("long").alias("size"), F.xxhash64("b").alias("h"), "b", "owner", "n")
-    owners = keyed.repartition("size", "h").sortWithinPartitions("size", "h").mapInArrow(partial(_own, **options), "size long, sha string, owner long, n long")
+    dealt = keyed.repartition("size", "h").drop("h").sortWithinPartitions("size", "b")
+    owners = table(dealt.mapInArrow(partial(_own, **options), "size long, sha string, owner long, n long"), "owners")
+    bound = max(LARGE, (owners.agg(F.sum("n")).first()[0] or 0) // MOST_LARGE)
+    large = owners.where(F.col("n") > bound).select(F.col("size").alias("large_size"), F.col("sha").alias("large_sha"), F.col("owner").alias("large_owner"), F.col("n").alias("large_n"))
     rows = source.select("id", F.octet_length("b").cast("long").alias("size"), F.sha2("b", 256).alias("sha"))
-    out = rows.join(owners, ["size", "sha"])
+    rows = rows.join(F.broadcast(large), (F.col("size") == F.col("large_size")) & (F.col("sha") == F.col("large_sha")), "left")
+    aside = F.when(F.col("large_n").isNotNull(), -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 20)))  # these meet no owner again, and not each other
+    rows = rows.withColumn("size", F.coalesce(aside, F.col("size")))
+    out = rows.join(owners.where(F.col("n") <= bound), ["size", "sha"], "left")
+    owner = F.when(F.col("large_n").isNotNull(), F.col("large_owner")).otherwise(F.col("owner"))
     return out.select(
-        F.col("id").alias(id_col), F.col("owner").alias("keep_id"), F.col("n").alias("group_size"), F.coalesce(F.col("id") == F.col("owner"), F.col("owner").isNull()).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("id").alias(id_col),
+        owner.alias("keep_id"),
+        F.coalesce("large_n", "n").alias("group_size"),
+        F.coalesce(F.col("id") == owner, owner.isNull()).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )

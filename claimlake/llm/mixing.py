@@ -5,6 +5,11 @@ water level: sources sorted by limit / weight are filled to their limit until th
 weight no longer reaches it. A source's rate is target / size; each document is emitted floor(rate) times plus one
 hash-seeded Bernoulli copy with the fraction as its probability. Of ``SEEDS`` hash seeds each source takes the one
 whose total comes nearest its target (the smallest of equals), so a run agrees with every other run on the same rows.
+
+What the choice of a seed does to the probability: totals over and under the target are equally good, so a document's
+coin is tied to the choice only through its own share of the total's spread, and to first order both directions cancel.
+For a document that is small beside the spread of its source's total, the probability is the fraction; one that makes up
+most of a source leans towards the copy count that is nearer the target. ``seeds=1`` gives plain Bernoulli copies.
 """
 
 from __future__ import annotations
@@ -61,13 +66,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
-def rates(sizes: DataFrame, **options) -> DataFrame:
-    """(id, source, size) rows -> one row per source with its rate and seed, as a table in the shared folder."""
+def rates(sizes: DataFrame, *, seeds: int = SEEDS, **options) -> DataFrame:
+    """(id, source, size) rows -> one row per source with its rate and seed (one of ``seeds``, SEEDS at most), as a
+    table in the shared folder."""
+    if not 1 <= seeds <= SEEDS:
+        raise ValueError(seeds)
     by_source = targets(sizes, **options)
     small = by_source.select(F.col("source").alias("s"), "rate")
-    taken = [F.sum(F.col("size") * _copies(F.col("rate"), _uniform(F.col("id"), j))).alias(f"t{j}") for j in range(SEEDS)]
+    taken = [F.sum(F.col("size") * _copies(F.col("rate"), _uniform(F.col("id"), j))).alias(f"t{j}") for j in range(seeds)]
     sums = sizes.join(small, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(*taken).withColumnRenamed("source", "s")
-    misses = F.array(*[F.abs(F.col(f"t{j}") - F.col("target")) for j in range(SEEDS)])
+    misses = F.array(*[F.abs(F.col(f"t{j}") - F.col("target")) for j in range(seeds)])
     best = (F.array_position(misses, F.array_min(misses)) - 1).cast("int")
     found = by_source.join(sums, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", "rate", best.alias("seed"))
     return table(found, "rates")
@@ -98,7 +106,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as ``mixture`` says, with the columns of ``docs``."""
+    """The mixture itself: each row of ``docs`` as often as ``mixture`` says, with the columns of ``docs``. Null and empty
+    texts have size 0 and copies like any other of their source; rows repeated under one id share their coin; texts are
+    carried whole; names of the columns may be any. An empty table gives no rows."""
     by_source = rates(table(_sizes(docs, id_col, text_col, source_col), "sizes"), **options)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
     return _with_rates(held, by_source).select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")

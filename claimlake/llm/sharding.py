@@ -87,7 +87,9 @@ def _dealt(docs: DataFrame, shards: int, id_col: str, text_col: str, **options)
 
 def document_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """-> one row per row of ``docs``: id, size (UTF-8 bytes + 16; null: 16), text_crc32 (null as empty), law
-    "rows", shard, slot, grown_shard null. Size and checksum are those of the whole records after the shuffle."""
+    "rows", shard, slot, grown_shard null. Size and checksum are those of the whole records after the shuffle. Rows
+    repeated under one id are dealt each for itself, equal ones in any order; nulls are values like any other, texts of
+    any length are carried whole, and other columns keep their names. An empty table gives no rows."""
     out, _ = _dealt(docs, shards, id_col, text_col, **options)
     shard, slot = out.columns[-2:]
     text = text_bytes(F.col(text_col))
@@ -97,7 +99,9 @@ def document_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
     """Writes whole records, shuffled, as one folder ``shard=N`` for each shard; its files follow one another in slot
-    order, and a shard of any size is written by as many tasks as it needs."""
+    order, and a shard of any size is written by as many tasks as it needs. Nulls, repeated rows, long texts and other
+    columns as for ``document_shards``; shard and slot get a trailing ``_`` where ``docs`` has these names. An empty table
+    writes no shard."""
     out, added = _dealt(docs, shards, id_col, text_col, **options)
     shard, slot = out.columns[-2:]
     out.drop(*added).repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

@@ -93,6 +93,74 @@ def test_langid_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
 
 
+def test_langid_learns_every_language(spark):
+    texts = [(f"l{i}", " ".join("".join(chr(97 + (i * 7 + k * j) % 26) for k in range(5)) for j in range(1, 30)) + f" {n}") for i in range(300) for n in range(3)]
+    model = langid.fit(spark.createDataFrame(texts, "lang string, text string"))
+    assert model.languages == sorted({x for x, _ in texts})
+
+
+def test_langid_rejects_what_is_far_and_keeps_short_clean_texts(spark):
+    import pyarrow as pa
+
+    docs = documents(spark, "/root/testdata/sf0.1")
+    model = langid.fit(docs)
+    import base64
+    import random
+
+    draw = random.Random(1)
+    far = [
+        "".join(draw.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(400)),
+        base64.b64encode(bytes(draw.randrange(256) for _ in range(500))).decode(),
+        " ".join(f"{draw.getrandbits(32):08x}" for _ in range(60)),
+        "SELECT a.id, count(*) FROM t1 a JOIN t2 b ON a.id = b.id WHERE x > 3 GROUP BY a.id; " * 3,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    ]
+    assert model.predict(pa.array([x.encode() for x in far]))[2].all()
+    good = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1").select("doc_id")
+    clean = [r["text"] for r in docs.join(good, "doc_id").collect()]
+    for size in (40, 100, 400, 10**9):
+        assert model.predict(pa.array([x[:size].encode() for x in clean], pa.binary()))[2].mean() < 0.005
+
+
+def test_langid_against_plain_vectors(spark, sf):
+    """TF-IDF, cosine and the nearest centroid in plain Python, over whole texts."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    docs = documents(spark, sf)
+    model = langid.fit(docs)
+    texts = [r["text"] or "" for r in docs.orderBy("doc_id").limit(60).collect()]
+
+    def grams(text):
+        data = "".join(chr(b) if b >= 128 or chr(b).isalpha() else " " for b in text.encode()).encode("latin-1")
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
+        data = bytes(b + 32 if i and data[i - 1] == 0xC3 and 0x80 <= b <= 0x9E else b for i, b in enumerate(data))
+        out = Counter()
+        for width in (2, 3):
+            for i in range(len(data) - width + 1):
+                gram = data[i : i + width]
+                if gram.strip(b" "):
+                    out[((int.from_bytes(gram, "big") * 2654435761 + (width * 0x85EBCA6B & 0xFFFFFFFF)) & 0xFFFFFFFF) >> 20] += 1
+        return out
+
+    every = [grams(r["text"] or "") for r in docs.where("lang is not null and text is not null").collect()]
+    seen = Counter(g for one in every for g in one)
+    idf = {g: math.log((1 + len(every)) / (1 + n)) + 1 for g, n in seen.items()}
+    assert all(abs(model.idf[g] - x) < 1e-5 for g, x in idf.items())
+    number, score, _ = model.predict(pa.array([t.encode() for t in texts], pa.binary()))
+    for text, k, s in zip(texts, number, score, strict=True):
+        v = np.zeros(langid.DIMENSIONS)
+        for g, n in grams(text).items():
+            v[g] = n * model.idf[g]
+        cosines = model.centroids @ v / max(np.linalg.norm(v), 1e-12)
+        assert abs(cosines.max() - s) < 1e-4 and cosines[model.language_of == k].max() > cosines.max() - 1e-4
+
+
 def base(text):
     w = WORD.findall(text or "")
     windows = {}
@@ -269,6 +337,14 @@ def test_exact_duplicates(spark, sf, hard, keep, budget):
             assert r["kept"] == (r["doc_id"] == r["keep_id"])
 
 
+def test_exact_duplicates_of_large_groups_by_broadcast(spark, hard, monkeypatch):
+    from claimlake.llm import exact_dedup
+
+    want = sorted(map(str, exact_duplicates(hard).collect()))
+    monkeypatch.setattr(exact_dedup, "LARGE", 1)
+    assert sorted(map(str, exact_duplicates(hard).collect())) == want
+
+
 def test_shards_are_even_gapless_and_grow_with_the_data(spark, sf, hard):
     for docs, bucket in ((documents(spark, sf), 10_000), (hard, 1 << 20)):
         got = sharding.document_shards(docs, 7, bucket_bytes=bucket).collect()

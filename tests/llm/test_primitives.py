@@ -64,6 +64,22 @@ def test_trie_owns_like_a_dictionary(rows, largest):
     assert list(trie.spill()) == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=6), max_size=30), st.sets(st.integers(0, 30)))
+def test_a_spill_of_complete_subtrees_leaves_the_path_of_the_last_key(texts, spills):
+    trie, got = PatriciaTrie(False), []
+    keys = sorted(t.encode() for t in texts)
+    for k, key in enumerate(keys):
+        trie.insert(key, k)
+        if k in spills:
+            held = trie.held
+            gone = list(trie.spill(key))
+            assert all(x < key for x, _, _ in gone) and trie.held <= held - sum(200 for _ in gone)
+            got += gone
+    got += list(trie.spill())
+    assert sorted(got) == sorted((key, keys.index(key), keys.count(key)) for key in set(keys))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=12))
 def test_plan_uses_every_piece_once_and_overfills_nothing(counts):
