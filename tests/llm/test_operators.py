@@ -503,6 +503,15 @@ def test_pipeline_against_brute_force(spark, sf):
     assert Counter(r["doc_id"] for r in last if r["piece"] == 0) == Counter(r["doc_id"] for r in fourth.collect())
 
 
+def test_exact_stage_judges_rows_not_ids(spark, sf):
+    """One id with two texts, rows without an id, and full repeats."""
+    rows = [(1, "a b"), (2, "a b"), (2, "c d"), (3, "c d"), (None, "e f"), (None, "e f"), (None, "c d"), (4, "g"), (4, "g"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, sha long").repartition(3)
+    got = corpus_pipeline.exact(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", "a b"), ("2", "c d"), ("4", "g"), ("5", None), ("None", "e f")]
+
+
 def test_pipeline_of_hard_and_no_rows(spark, hard, empty, sf):
     for docs in (hard, empty):
         for _, stage in corpus_pipeline.STAGES:
