@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,12 +17,18 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
+#: Python workers give large arrays back to the system as they go; they live as long as their executor, whose memory they share.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Puts the package's folder on the workers' path and keeps Arrow batches small. On a cluster whose nodes do not
+    """Puts the package's folder on the workers' path, keeps Arrow batches small and workers lean. On a cluster whose nodes do not
     have that folder, ship the package with ``--py-files``."""
     for key, (default, value) in BATCH.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, value)
+    for key, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(key, value)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
@@ -34,17 +41,19 @@ def deep(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints/claimlake"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share; set here only where a local session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
         found = DEFAULT_SHARED
     return found.rstrip("/")
