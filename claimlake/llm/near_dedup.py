@@ -37,8 +37,8 @@ from claimlake.llm.textkit import MinHash, chunks, mix, shingle_sets
 
 #: Signature coordinates, and the collisions that make a candidate.
 K, T = 64, 34
-#: Members of a posting list; members and shingles of a candidate group: what one task takes as a block.
-LIST_BLOCK, GROUP_MEMBERS, GROUP_BLOCK = 256, 256, 500_000
+#: Members of a posting list; members and shingles of a candidate group: what a chunk holds on average.
+LIST_BLOCK, GROUP_MEMBERS, GROUP_BLOCK = 128, 128, 500_000
 #: Members of a list or group that every chunk of it holds, on average.
 PIVOTS = 8
 #: Up to so many candidate rows (two longs and four ints each) are broadcast to the texts; more are joined by shuffle.
@@ -306,7 +306,7 @@ def near_duplicates(
     found = confirmed(first.withColumn("label", F.col("rep")))
     if some_large:
         rest = _labelled(members.join(large.select("grp"), "grp"), found)
-        found = found.union(confirmed(_crossed(rest, "grp", group_members, "n", group_block)))
+        found = found.union(confirmed(_crossed(rest, "grp", 2 * group_members, "n", group_block)))
 
     member = some.select("id", "n", "fp").join(reps.select("n", "fp", "rep"), ["n", "fp"]).select("id", "rep")
     again = member.where("id <> rep").join(some.groupBy("id").count().where("count > 1"), "id", "left_semi")
