@@ -1,10 +1,10 @@
 """Connected components of an edge table.
 
-Each task first contracts the edges that it reads to stars, a million at a time, so a group whose edges lie together
-leaves it as one edge a node. What is left is settled by alternating large-star and small-star rounds: two grouped
-minima and two equi-joins each, spread by node, with the edges of the few nodes that have very many joined where they
-are. Once no more than ``LOCAL_EDGES`` edges are left, one task contracts them all. Rounds are written tables in the
-shared folder; the driver gets counts only.
+No more than ``LOCAL_EDGES`` edges are contracted to stars by one task. Of more, each task first contracts those that it
+reads, a million at a time, so a group whose edges lie together leaves it as one edge a node. What is left goes through
+alternating large-star and small-star rounds until one task can take it or nothing changes: two grouped minima and two
+equi-joins each, spread by node, with the edges of the few nodes that have very many joined where they are. Rounds are
+written tables in the shared folder; the driver gets counts only.
 """
 
 from __future__ import annotations
@@ -95,11 +95,14 @@ def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
 
 def components(edges: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``edges`` (u, v) of any order, loops and repeats allowed, null ends ignored -> (node, component), one row
-    for each node with an edge to another; ``component`` is the smallest node that it reaches. No edges, no rows."""
-    some = edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    now = table(some.mapInArrow(lambda batches: _contract(batches, max(2, local_edges)), "u long, v long"), "edges")
+    for each node with an edge to another; ``component`` is the smallest node that it reaches. No edges, no rows.
+    ``edges`` is read more than once; give a table."""
+    now = edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = print_of(now)
+    if before[0] > local_edges:
+        now = table(now.mapInArrow(lambda batches: _contract(batches, max(2, local_edges)), "u long, v long"), "edges")
+        before = print_of(now)
     while before[0] > local_edges:
         hub = max(HUB_EDGES, 2 * before[0] // MOST_HUBS)
         half = _star(now, True, hub)

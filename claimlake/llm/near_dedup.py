@@ -255,7 +255,7 @@ def _candidates(reps: DataFrame, threshold: int, percent: int, list_block: int)
     if (prefix.agg(F.max(F.element_at("t", -1)["df"])).first()[0] or 0) > list_block:
         long = _labelled(posted.where(F.col("df") > list_block), edges)
         crossed = _crossed(long.withColumn("w", F.lit(0)), "token", list_block, "w", 1)
-        edges = edges.union(_dealt(crossed, ["token", "bi", "bj"], merge))
+        edges = edges.union(table(_dealt(crossed, ["token", "bi", "bj"], merge), "crossed"))
     return edges
 
 
@@ -310,7 +310,8 @@ def near_duplicates(
 
     member = some.select("id", "n", "fp").join(reps.select("n", "fp", "rep"), ["n", "fp"]).select("id", "rep")
     again = member.where("id <> rep").join(some.groupBy("id").count().where("count > 1"), "id", "left_semi")
-    linked = components(found.union(again.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
+    again = table(again.select(F.col("id").alias("u"), F.col("rep").alias("v")), "again")
+    linked = components(found.union(again))
     home = member.groupBy("id").agg(F.min("rep").alias("rep")).join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     home = home.select(F.col("id").alias("home"), F.least("rep", "component").alias("component"))
     out = sketch.select("id", "n").join(home, F.col("id") == F.col("home"), "left")
