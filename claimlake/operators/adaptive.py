@@ -18,16 +18,20 @@ SHADOWS, SHADOW_SAMPLES, RING = 5, 50, 100
 
 def context_fit(bundles: DataFrame, targets: DataFrame, least: float = CONTEXT_AT_LEAST, skip_self: bool = True) -> DataFrame:
     """bundles (bundle_id, domain, scenario, tags, source) x targets (target_id, domain, scenario, tags) -> pairs whose
-    contexts are alike. Pairs that agree in neither domain nor scenario score at most a third, so the join is on
-    either of them, and no pair of the rest is made while ``least`` is above that."""
+    contexts are alike, ``least`` being above 0. Joined on domain, on scenario and, where ``least`` is not above the third
+    that tags alone can give, on a common tag; pairs that have none of the three score 0 and are not made."""
+    if least <= 0:
+        raise ValueError("least has to be above 0: at 0 every pair is alike")
     b = bundles.select("bundle_id", "source", *[F.col(c).alias(f"b_{c}") for c in ("domain", "scenario", "tags")])
     t = targets.select("target_id", *[F.col(c).alias(f"t_{c}") for c in ("domain", "scenario", "tags")])
-    if least > 1 / 3:
-        by_domain = b.join(t, F.col("b_domain") == F.col("t_domain"))
-        by_scenario = b.join(t, (F.col("b_scenario") == F.col("t_scenario")) & ~F.col("b_domain").eqNullSafe(F.col("t_domain")))
-        pairs = by_domain.unionByName(by_scenario)
-    else:
-        pairs = b.join(t)
+    same_domain, same_scenario = (F.coalesce(F.col(f"b_{c}") == F.col(f"t_{c}"), F.lit(False)) for c in ("domain", "scenario"))
+    by_domain = b.join(t, F.col("b_domain") == F.col("t_domain"))
+    by_scenario = b.join(t, F.col("b_scenario") == F.col("t_scenario")).where(~same_domain)
+    pairs = by_domain.unionByName(by_scenario)
+    if least <= 1 / 3:
+        tagged = b.withColumn("_tag", F.explode(F.array_distinct("b_tags"))).join(t.withColumn("_other", F.explode(F.array_distinct("t_tags"))), F.col("_tag") == F.col("_other"))
+        first = F.array_min(F.array_intersect("b_tags", "t_tags")) == F.col("_tag")  # a pair once, under its first common tag
+        pairs = pairs.unionByName(tagged.where(~same_domain & ~same_scenario & first).drop("_tag", "_other"))
     score = context_similarity(*[{c: F.col(f"{side}_{c}") for c in ("domain", "scenario", "tags")} for side in "bt"])
     pairs = pairs.withColumn("score", score).where(F.col("score") >= least)
     return (pairs.where("not (source <=> target_id)") if skip_self else pairs).select("bundle_id", "target_id", "score")

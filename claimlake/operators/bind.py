@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType, StructField
 from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import ACRONYM, is_garbage_entity, object_type, occurrences
+from claimlake.operators.extract import in_document
 from claimlake.operators.scan import ordered_scan
 
 
@@ -117,7 +118,7 @@ def greedy_merge(candidates: DataFrame, group: str = "doc_id") -> DataFrame:
 
 def unique_evidence(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds n_found; 1 is unambiguous, 0 is not in the source, more is ambiguous."""
-    return candidates.join(docs.select("doc_id", "text"), "doc_id").withColumn("n_found", occurrences(F.col("text"), F.col("evidence"))).drop("text")
+    return in_document(candidates, docs, n_found=lambda text, c: occurrences(text, c["evidence"])).where("n_found is not null")
 
 
 def merge_candidates(candidates: DataFrame, docs: DataFrame) -> DataFrame:

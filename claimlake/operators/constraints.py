@@ -26,23 +26,38 @@ def constraint_kind(subject: Column, obj: Column) -> Column:
     return F.coalesce(*named, F.lit(PRECEDENCE[-1]))
 
 
+def containing(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """Distinct strings (n) and (h) -> the pairs (n, h) in which h contains n. Joined by equality: a needle's first three
+    characters are among the character runs of up to three of what contains it; the empty needle is in all."""
+    h = haystacks.select("h").where("h is not null").distinct()
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("h"), F.lit(1))), lambda i: F.substr("h", i, k))))
+    keyed = h.select("h", F.explode(F.array_distinct(F.array_append(runs, F.lit("")))).alias("_key"))
+    n = needles.select("n", F.left("n", F.lit(3)).alias("_key")).where("n is not null").distinct()
+    return n.join(keyed, "_key").where(F.col("h").contains(F.col("n"))).select("n", "h")
+
+
 def matches(requests: DataFrame, claims: DataFrame, *, now: Column | None = None) -> DataFrame:
     """Every rule that mentions a request's action or target, or is mentioned by it. An empty subject or object is
-    mentioned by all. Substring matching is no equi-join; rules are few beside requests and are the broadcast side
-    while they are small. ``now`` also enforces validity windows (valid_from, valid_until of the claims)."""
+    mentioned by all. Strings meet by their character runs, then rows meet by their strings; no rule is held against
+    every request. ``now`` also enforces validity windows (valid_from, valid_until of the claims)."""
     rules = claims.withColumn("predicate", F.upper("predicate")).where(F.col("predicate").isin(*RULES))
     if now is not None:
         rules = rules.where(within_validity(now, F.col("valid_from"), F.col("valid_until")))
     r = requests.withColumns({"_action": F.lower("action"), "_target": F.lower("target")})
     c = rules.withColumns({"_s": F.lower(F.coalesce("subject", F.lit(""))), "_o": F.lower(F.coalesce("object", F.lit("")))})
-    a, t, s, o = (F.col(x) for x in ("_action", "_target", "_s", "_o"))
-    touching = reduce(Column.__or__, [s.contains(a), o.contains(a), s.contains(t), o.contains(t), a.contains(s), t.contains(o)])
+    asked = r.select(F.explode(F.array("_action", "_target")).alias("n")), c.select(F.explode(F.array("_s", "_o")).alias("h"))
+    named = containing(*asked)  # a request's words in a rule's
+    of_subject = containing(c.select(F.col("_s").alias("n")), r.select(F.col("_action").alias("h")))
+    of_object = containing(c.select(F.col("_o").alias("n")), r.select(F.col("_target").alias("h")))
+    ways = [(named, "n", x, "h", y) for x in ("_action", "_target") for y in ("_s", "_o")] + [(of_subject, "h", "_action", "n", "_s"), (of_object, "h", "_target", "n", "_o")]
+    ids = [r.select("request_id", F.col(x).alias(p)).join(pairs, p).join(c.select("claim_id", F.col(y).alias(q)), q).select("request_id", "claim_id") for pairs, p, x, q, y in ways]
+    touching = reduce(DataFrame.union, ids).distinct()
     kind = constraint_kind(F.col("subject"), F.col("object"))
     reason = F.concat(F.lit("predicate="), "predicate", F.lit(" subject="), F.left(F.coalesce("subject", F.lit("")), F.lit(40)))
-    return r.join(c, touching).select("request_id", "claim_id", "shard_id", "predicate", kind.alias("constraint_type"), reason.alias("match_reason"), F.lit(1.0).alias("weight"))
+    return touching.join(r.select("request_id"), "request_id").join(c, "claim_id").select("request_id", "claim_id", "shard_id", "predicate", kind.alias("constraint_type"), reason.alias("match_reason"), F.lit(1.0).alias("weight"))
 
 
-def authority_chain(actors: DataFrame, claims: DataFrame, most: int = 100) -> DataFrame:
+def authority_chain(actors: DataFrame, claims: DataFrame) -> DataFrame:
     """actor, chain (from the actor up), cycle: DELEGATES_TO leads from a subject to its object, the last one
     recorded counts, and a chain stops where it would repeat."""
     spark = deep(actors.sparkSession)
@@ -51,7 +66,7 @@ def authority_chain(actors: DataFrame, claims: DataFrame, most: int = 100) -> Da
     last.createOrReplaceTempView(f"delegation_{view}")
     actors.select("actor").distinct().createOrReplaceTempView(f"actors_{view}")
     walked = spark.sql(
-        f"""with recursive walk(actor, cur, path, cycle) max recursion level {most} as (
+        f"""with recursive walk(actor, cur, path, cycle) as (
               select actor, actor, array(actor), false from actors_{view}
               union all
               select w.actor, d.object, if(array_contains(w.path, d.object), w.path, array_append(w.path, d.object)), array_contains(w.path, d.object)

@@ -7,6 +7,8 @@ extraction_method). A pattern's place is found again by splitting at its matches
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,10 +43,10 @@ def structured_lift(table: DataFrame, subject_col: str | None = None) -> DataFra
     return kept.select("subject", "predicate", "object", F.lit("literal:string").alias("object_type"), evidence.alias("evidence"), F.lit(0).alias("tier"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, byte_start, byte_end of every line, empty ones too. Offsets add up within the row's own
-    array of lines, so nothing is shuffled."""
-    split = docs.select("doc_id", F.split("text", "\n", -1).alias("ls"))
+def lines(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, pos, line, byte_start, byte_end of every line, empty ones too, and the columns ``keep`` of its document.
+    Offsets add up within the row's own array of lines, so nothing is shuffled."""
+    split = docs.select("doc_id", *keep, F.split("text", "\n", -1).alias("ls"))
     sizes = F.transform("ls", lambda x: F.octet_length(x).cast("long"))
     none, nested = F.array().cast("array<bigint>"), F.array().cast("array<array<bigint>>")
 
@@ -56,8 +58,18 @@ def lines(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(-1).cast("long").alias("end"), none.alias("part"), nested.alias("all"))
     ends = F.aggregate(sizes, start, add, lambda acc: F.flatten(F.array_append(acc["all"], acc["part"])))
-    flat = split.withColumn("ends", ends).select("doc_id", F.posexplode(F.arrays_zip("ls", "ends")).alias("pos", "z"))
-    return flat.select("doc_id", "pos", F.col("z.ls").alias("line"), (F.col("z.ends") - F.octet_length("z.ls")).alias("byte_start"), F.col("z.ends").alias("byte_end"))
+    flat = split.withColumn("ends", ends).select("doc_id", *keep, F.posexplode(F.arrays_zip("ls", "ends")).alias("pos", "z"))
+    return flat.select("doc_id", "pos", F.col("z.ls").alias("line"), (F.col("z.ends") - F.octet_length("z.ls")).alias("byte_start"), F.col("z.ends").alias("byte_end"), *keep)
+
+
+def in_document(candidates: DataFrame, docs: DataFrame, **found: Callable[[Column, dict[str, Column]], Column]) -> DataFrame:
+    """Adds what each function finds of (text, candidate) in the candidate's document. A document's candidates meet its
+    text in one row, so texts are not copied for each of them; candidates of unknown documents get a null text."""
+    grouped = candidates.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in candidates.columns if c != "doc_id"])).alias("_all"))
+    met = grouped.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+    each = F.transform("_all", lambda c: F.struct(c.alias("c"), *[fn(F.col("_text"), c).alias(name) for name, fn in found.items()]))
+    flat = met.select("doc_id", F.explode(each).alias("_one"))
+    return flat.select(*["doc_id" if c == "doc_id" else F.col(f"_one.c.{c}") for c in candidates.columns], *[F.col(f"_one.{name}") for name in found])
 
 
 def source_offsets(files: DataFrame) -> DataFrame:
@@ -170,4 +182,4 @@ def mentions(chunks: DataFrame) -> DataFrame:
 
 def in_source(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates whose evidence occurs in their document."""
-    return candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("evidence"))).drop("text")
+    return in_document(candidates, docs, _there=lambda text, c: text.contains(c["evidence"])).where("_there").drop("_there")

@@ -46,14 +46,14 @@ def broken_references(refs: DataFrame, claims: DataFrame) -> DataFrame:
     return refs.where("dst_object_type = 'claim'").join(claims.select(F.col("claim_id").alias("dst_object_id")), "dst_object_id", "left_anti")
 
 
-def lineage_closure(lineage: DataFrame, most: int = 100) -> DataFrame:
+def lineage_closure(lineage: DataFrame) -> DataFrame:
     """root, cur, depth: everything that a shard supersedes, directly or through others; a cycle ends where it would
     come back. A recursive common table expression carries the path."""
     spark = deep(lineage.sparkSession)
     view = f"lineage_{uuid.uuid4().hex}"
     lineage.select("shard_id", "supersedes_shard_id").createOrReplaceTempView(view)
     return spark.sql(
-        f"""with recursive chain(root, cur, depth, path) max recursion level {most} as (
+        f"""with recursive chain(root, cur, depth, path) as (
               select shard_id, supersedes_shard_id, 1, array(shard_id, supersedes_shard_id) from {view}
               union all
               select c.root, l.supersedes_shard_id, c.depth + 1, array_append(c.path, l.supersedes_shard_id)

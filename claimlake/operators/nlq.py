@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import clean_topic
 
@@ -88,6 +89,20 @@ def _dated(claims: DataFrame, temporal: DataFrame) -> DataFrame:
     return claims.where(F.col("predicate").isin(*DECISIONS)).join(dates, "claim_id", "left")
 
 
+def _contradictions(claims: DataFrame, limit: int) -> DataFrame:
+    """Pairs of unlike decisions of one subject and predicate, among which the first ``limit`` in order are: only the
+    first groups that have any, and of a group only so many first members as have a later unlike one, meet the rest."""
+    key = ["subject", "predicate"]
+    made = claims.where(F.col("predicate").isin(*DECISIONS)).select(*key, "object", "shard_id", "claim_id")
+    unlike = made.groupBy(*key).agg(F.min("object").alias("_low"), F.max("object").alias("_high")).where("_low < _high")
+    some = made.join(F.broadcast(unlike.orderBy(*key).limit(limit).select(*key)), key)
+    later = Window.partitionBy(*key).orderBy("claim_id").rowsBetween(1, Window.unboundedFollowing)
+    first = some.withColumns({"_low": F.min("object").over(later), "_high": F.max("object").over(later)}).where("_low <> object or _high <> object")
+    first = first.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("claim_id"))).where(F.col("_k") <= limit)
+    a, b = (df.select(*key, F.col("object").alias(f"decision_{x}"), F.col("shard_id").alias(f"shard_{x}"), F.col("claim_id").alias(f"claim_{x}")) for df, x in ((first, "a"), (some, "b")))
+    return a.join(b, key).where("decision_a <> decision_b and claim_a < claim_b")
+
+
 def build(intent: Intent, claims: DataFrame, temporal: DataFrame, lineage: DataFrame) -> DataFrame:
     """The plan of an intent over claims whose subjects and objects are labels. Every limit follows a total order."""
     dated = _dated(claims, temporal).withColumnRenamed("valid_from", "decided_at")
@@ -95,9 +110,7 @@ def build(intent: Intent, claims: DataFrame, temporal: DataFrame, lineage: DataF
     ties = [F.col(c).asc_nulls_last() for c in ("subject", "predicate", "object", "claim_id")]
     by_time = [F.col("decided_at").asc_nulls_last(), *ties]
     if intent.kind == "contradictions":
-        a = claims.where(F.col("predicate").isin(*DECISIONS)).select("subject", "predicate", F.col("object").alias("decision_a"), F.col("shard_id").alias("shard_a"), F.col("claim_id").alias("claim_a"))
-        b = claims.select("subject", "predicate", F.col("object").alias("decision_b"), F.col("shard_id").alias("shard_b"), F.col("claim_id").alias("claim_b"))
-        pairs = a.join(b, ["subject", "predicate"]).where("decision_a <> decision_b and claim_a < claim_b")
+        pairs = _contradictions(claims, intent.limit)
         return pairs.orderBy("subject", "predicate", "claim_a", "claim_b").limit(intent.limit).select("subject", "predicate", "decision_a", "decision_b", "shard_a", "shard_b")
     if intent.kind in ("timeline", "all_decisions"):
         found = dated.where(_mentions(intent.topic)) if intent.topic else dated

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import byte_exact, occurs_twice
+from claimlake.operators.extract import in_document
 
 
 def span_bounds(spans: DataFrame, sources: DataFrame) -> DataFrame:
@@ -24,9 +25,8 @@ def span_bounds(spans: DataFrame, sources: DataFrame) -> DataFrame:
 
 def evidence(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Each candidate (doc_id, evidence, byte_start, byte_end) with ok, and n_found: 0, 1 or 2 for ambiguous."""
-    c = candidates.join(docs.select("doc_id", "text"), "doc_id", "left")
-    ok = byte_exact(F.col("text"), F.col("byte_start"), F.col("byte_end"), F.col("evidence")) & (F.col("evidence") != "")
-    return c.withColumns({"ok": F.coalesce(ok, F.lit(False)), "n_found": F.coalesce(occurs_twice(F.col("text"), F.col("evidence")), F.lit(0))}).drop("text")
+    ok = lambda text, c: F.coalesce(byte_exact(text, c["byte_start"], c["byte_end"], c["evidence"]) & (c["evidence"] != ""), F.lit(False))
+    return in_document(candidates, docs, ok=ok, n_found=lambda text, c: F.coalesce(occurs_twice(text, c["evidence"]), F.lit(0)))
 
 
 def evidence_report(checked: DataFrame) -> DataFrame:

@@ -79,8 +79,7 @@ class Evidence:
 
     def __init__(self, spark: SparkSession, sf: str):
         docs = read(spark, sf, "documents")
-        head = docs.select("doc_id", "lang", "source", F.sha2("text", 256).alias("source_hash"))
-        self.lines = lines(docs).where("line <> ''").join(head, "doc_id")
+        self.lines = lines(docs.withColumn("source_hash", F.sha2("text", 256)), "lang", "source", "source_hash").where("line <> ''")
         lang, source = _short("e_", F.concat(F.lit("lang|"), "lang")), _short("e_", F.concat(F.lit("source|"), "source"))
         self.entities = docs.select(lang.alias("entity_id"), F.concat(F.lit("lang:"), "lang").alias("label")).union(docs.select(source, F.concat(F.lit("source:"), "source"))).distinct()
         claim = _short("c_", _text("doc_id"), _text("pos"))

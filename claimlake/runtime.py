@@ -36,8 +36,9 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def deep(spark: SparkSession) -> SparkSession:
-    """Recursive queries end by their own condition and their levels, not at a million rows."""
+    """Recursive queries end by their own condition, not at a hundred levels or a million rows."""
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     return spark
 
 

@@ -56,7 +56,7 @@ def tree_path(nodes: DataFrame) -> DataFrame:
     best.createOrReplaceTempView(view)
     roots.createOrReplaceTempView(f"{view}_roots")
     return spark.sql(
-        f"""with recursive walk(path, conv, node, pos) max recursion level 10000 as (
+        f"""with recursive walk(path, conv, node, pos) as (
               select path, conv, node, 0 from {view}_roots
               union all
               select w.path, w.conv, b.node, w.pos + 1 from walk w join {view} b on b.path = w.path and b.conv = w.conv and b.parent = w.node)

@@ -88,13 +88,31 @@ def plan_job(found: DataFrame) -> DataFrame:
     return total.withColumn("seconds", F.col("n_chunks") * SECONDS_PER_CHUNK + 2 * SECONDS_PER_TIER)
 
 
+#: The column of a line that could not be read.
+BAD = "_malformed"
+
+
 def read_log(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines; blank lines are skipped, a missing file is an empty table."""
+    """JSON lines; blank lines are skipped, a missing file is an empty table. Lines that are not JSON of ``schema`` are
+    left to ``malformed_lines``."""
+    found = _lines(spark, path, schema)
+    return found.where(f"{BAD} is null").drop(BAD)
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """line: what ``read_log`` does not read."""
+    found = _lines(spark, path, schema)
+    return found.where(f"{BAD} is not null").select(F.col(BAD).alias("line"))
+
+
+def _lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    schema = spark.createDataFrame([], schema).schema.add(BAD, "string")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": BAD}).alias("row")).select("row.*")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
