@@ -11,35 +11,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField
 from pyspark.sql.window import Window
 
-from claimlake.functions.scalar import ACRONYM, is_garbage_entity, object_type, occurrences
+from claimlake.functions.scalar import ACRONYM, byte_slice, is_garbage_entity, object_type, occurrences
 from claimlake.operators.extract import in_document
 from claimlake.operators.scan import ordered_scan
 
 
 def acronyms(docs: DataFrame) -> DataFrame:
-    """acronym, full_name: the last definition in (doc_id, place) order counts."""
+    """doc_id, acronym, full_name: the last definition of a document counts."""
     zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(ACRONYM), F.lit(2)).alias("acronym"), F.regexp_extract_all("text", F.lit(ACRONYM), F.lit(1)).alias("full_name"))
     found = docs.select("doc_id", F.posexplode(zipped).alias("k", "d")).select("doc_id", "k", F.col("d.acronym").alias("acronym"), F.col("d.full_name").alias("full_name"))
-    return found.groupBy("acronym").agg(F.max_by("full_name", F.struct("doc_id", "k")).alias("full_name"))
+    return found.groupBy("doc_id", "acronym").agg(F.max_by("full_name", "k").alias("full_name"))
 
 
 def canonical_forms(labels: DataFrame, aliases: DataFrame) -> DataFrame:
-    """labels (pos, label) -> key, canonical: of the forms that differ by case only, the most frequent after acronyms
-    are expanded; of equally frequent ones the one that got there first."""
-    named = labels.withColumn("s", F.trim("label")).where("s <> ''").join(aliases, F.col("s") == F.col("acronym"), "left")
-    forms = named.select("pos", F.coalesce("full_name", "s").alias("form")).groupBy("form").agg(F.count("*").alias("n"), F.max("pos").alias("reached"))
-    return forms.groupBy(F.lower("form").alias("key")).agg(F.max_by("form", F.struct(F.col("n"), -F.col("reached"))).alias("canonical"))
+    """labels (doc_id, pos, label) -> doc_id, key, canonical: of a document's forms that differ by case only, the most
+    frequent after acronyms are expanded; of equally frequent ones the one that got there first."""
+    named = labels.withColumn("s", F.trim("label")).where("s <> ''").join(aliases.withColumnRenamed("acronym", "s"), ["doc_id", "s"], "left")
+    forms = named.select("doc_id", "pos", F.coalesce("full_name", "s").alias("form")).groupBy("doc_id", "form").agg(F.count("*").alias("n"), F.max("pos").alias("reached"))
+    return forms.groupBy("doc_id", F.lower("form").alias("key")).agg(F.max_by("form", F.struct(F.col("n"), -F.col("reached"))).alias("canonical"))
 
 
 def resolve(df: DataFrame, column: str, aliases: DataFrame, canonical: DataFrame, out: str) -> DataFrame:
-    """Adds the canonical form of a label column; blank becomes ``Unknown``."""
-    a = aliases.select(F.col("acronym").alias("_acronym"), F.col("full_name").alias("_full"))
-    c = canonical.select(F.col("key").alias("_key"), F.col("canonical").alias("_canonical"))
+    """Adds the canonical form of a label column in its document; blank becomes ``Unknown``."""
+    a = aliases.select("doc_id", F.col("acronym").alias("_s"), F.col("full_name").alias("_full"))
+    c = canonical.select("doc_id", F.col("key").alias("_key"), F.col("canonical").alias("_canonical"))
     df = df.withColumn("_s", F.trim(F.coalesce(F.col(column), F.lit(""))))
-    df = df.join(a, F.col("_s") == F.col("_acronym"), "left").withColumn("_s", F.coalesce("_full", "_s"))
-    df = df.join(c, F.lower("_s") == F.col("_key"), "left")
+    df = df.join(a, ["doc_id", "_s"], "left").withColumn("_s", F.coalesce("_full", "_s")).withColumn("_key", F.lower("_s"))
+    df = df.join(c, ["doc_id", "_key"], "left")
     label = F.when(F.col("_s") == "", "Unknown").otherwise(F.coalesce("_canonical", "_s"))
-    return df.withColumn(out, label).drop("_s", "_acronym", "_full", "_key", "_canonical")
+    return df.withColumn(out, label).drop("_s", "_full", "_key", "_canonical")
 
 
 def _or(column: str, default: Column) -> Column:
@@ -47,51 +47,50 @@ def _or(column: str, default: Column) -> Column:
 
 
 def contiguous(ids: DataFrame, sentences: DataFrame) -> DataFrame:
-    """ids (pos, sentence_ids) -> pos, first, last, page: runs of consecutive known sentences of one page."""
-    known = sentences.select("index", "page")
-    each = ids.select("pos", F.explode(F.array_distinct("sentence_ids")).alias("index")).join(known, "index")
-    order = Window.partitionBy("pos").orderBy("index")
+    """ids (doc_id, pos, sentence_ids) -> doc_id, pos, first, last, page: runs of consecutive known sentences of one page."""
+    known = sentences.select("doc_id", "index", "page")
+    each = ids.select("doc_id", "pos", F.explode(F.array_distinct("sentence_ids")).alias("index")).join(known, ["doc_id", "index"])
+    order = Window.partitionBy("doc_id", "pos").orderBy("index")
     fresh = ~((F.lag("index").over(order) + 1).eqNullSafe(F.col("index")) & F.lag("page").over(order).eqNullSafe(F.col("page")))
     runs = each.withColumn("island", F.sum(fresh.cast("int")).over(order))
-    return runs.groupBy("pos", "island").agg(F.min("index").alias("first"), F.max("index").alias("last"), F.min("page").alias("page")).drop("island")
+    return runs.groupBy("doc_id", "pos", "island").agg(F.min("index").alias("first"), F.max("index").alias("last"), F.min("page").alias("page")).drop("island")
 
 
 def bind(raw: DataFrame, sentences: DataFrame, source: DataFrame) -> DataFrame:
-    """raw (pos, claim_text, subject, predicate, object, sentence_ids, progress) over one source's sentences (index,
-    text, byte_start, byte_end, page) and ``source`` (doc_id, text: one row) -> byte-bound candidates.
+    """raw (doc_id, pos, claim_text, subject, predicate, object, sentence_ids, progress) over the documents' sentences
+    (doc_id, index, byte_start, byte_end, page) and ``source`` (doc_id, text) -> byte-bound candidates, each document
+    for itself.
 
     Progress rows and claims without a known sentence are skipped, claims about a vague subject too; a vague object is
     a literal. One candidate a run of sentences; the first of equal (claim, span) stays."""
     claims = raw.where("not coalesce(progress, false)")
     aliases = acronyms(source)
-    subjects = claims.select((2 * F.col("pos")).alias("pos"), F.col("subject").alias("label"))
-    objects = claims.where(object_type(F.coalesce("object", F.lit(""))) == "entity").select((2 * F.col("pos") + 1).alias("pos"), F.col("object").alias("label"))
+    subjects = claims.select("doc_id", (2 * F.col("pos")).alias("pos"), F.col("subject").alias("label"))
+    objects = claims.where(object_type(F.coalesce("object", F.lit(""))) == "entity").select("doc_id", (2 * F.col("pos") + 1).alias("pos"), F.col("object").alias("label"))
     canonical = canonical_forms(subjects.unionByName(objects), aliases)
     c = claims.withColumns({"claim_text": _or("claim_text", F.lit("Unknown")), "raw_subject": _or("subject", F.lit("Unknown")), "raw_predicate": _or("predicate", F.lit("relates to"))})
     c = c.withColumn("raw_object", _or("object", F.col("claim_text")))
     c = resolve(resolve(c, "raw_subject", aliases, canonical, "s"), "raw_object", aliases, canonical, "o").withColumn("kind", object_type(F.col("raw_object")))
     c = c.withColumn("o", F.when(F.col("kind") == "entity", F.col("o")).otherwise(F.col("raw_object"))).where(~is_garbage_entity(F.col("s")))
     c = c.withColumn("kind", F.when((F.col("kind") == "entity") & is_garbage_entity(F.col("o")), "literal:string").otherwise(F.col("kind")))
-    starts = sentences.select(F.col("index").alias("first"), "byte_start")
-    ends = sentences.select(F.col("index").alias("last"), "byte_end")
-    bound = c.join(contiguous(claims.select("pos", "sentence_ids"), sentences), "pos").join(starts, "first").join(ends, "last")
-    once = Window.partitionBy("claim_text", "byte_start", "byte_end").orderBy("pos")
+    starts = sentences.select("doc_id", F.col("index").alias("first"), "byte_start")
+    ends = sentences.select("doc_id", F.col("index").alias("last"), "byte_end")
+    bound = c.join(contiguous(claims.select("doc_id", "pos", "sentence_ids"), sentences), ["doc_id", "pos"]).join(starts, ["doc_id", "first"]).join(ends, ["doc_id", "last"])
+    once = Window.partitionBy("doc_id", "claim_text", "byte_start", "byte_end").orderBy("pos")
     bound = bound.withColumn("k", F.row_number().over(once)).where("k = 1")
-    text = source.select(F.col("text").cast("binary").alias("_bytes"))
-    bound = bound.crossJoin(F.broadcast(text))  # one row: the source that the sentences come from
-    evidence = F.substr("_bytes", (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")).cast("string")
-    return bound.select(
-        "pos", F.col("s").alias("subject"), F.lower("raw_predicate").alias("predicate"), F.col("o").alias("object"), F.col("kind").alias("object_type"), evidence.alias("evidence"), F.lit(3).alias("tier"), "byte_start", "byte_end", F.col("page").alias("source_page"), "claim_text"
+    bound = bound.select(
+        "doc_id", "pos", F.col("s").alias("subject"), F.lower("raw_predicate").alias("predicate"), F.col("o").alias("object"), F.col("kind").alias("object_type"), F.lit(3).alias("tier"), "byte_start", "byte_end", F.col("page").alias("source_page"), "claim_text"
     )
+    return in_document(bound, source, evidence=lambda text, c: byte_slice(text, c["byte_start"], c["byte_end"]).cast("string"))
 
 
 def bind_report(raw: DataFrame, sentences: DataFrame, bound: DataFrame) -> DataFrame:
     """reason, n: why rows of ``raw`` gave no candidate, and how many did."""
-    known = sentences.select("index")
-    valid = raw.select("pos", F.explode("sentence_ids").alias("index")).join(known, "index", "left_semi").select("pos").distinct().withColumn("valid", F.lit(True))
-    done = bound.select("pos").distinct().withColumn("done", F.lit(True))
+    at = ["doc_id", "pos"]
+    valid = raw.select(*at, F.explode("sentence_ids").alias("index")).join(sentences.select("doc_id", "index"), ["doc_id", "index"], "left_semi").select(*at).distinct().withColumn("valid", F.lit(True))
+    done = bound.select(*at).distinct().withColumn("done", F.lit(True))
     reason = F.when(F.coalesce("progress", F.lit(False)), "progress").when(F.col("valid").isNull(), "no_valid_ids").when(F.col("done"), "emitted").otherwise("garbage_or_repeated")
-    return raw.join(valid, "pos", "left").join(done, "pos", "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return raw.join(valid, at, "left").join(done, at, "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 def greedy_merge(candidates: DataFrame, group: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from claimlake.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS = {"html_blocks": 100, "legal_chunks": 100, "sentence_spans": 100, "markdown_candidates": 12, "topology_hash": 1, "merkle_root": 1, "inherited_approx_distinct": 1}
+ROWS = {"html_blocks": 100, "legal_chunks": 100, "sentence_spans": 100, "topology_hash": 1, "merkle_root": 1, "inherited_approx_distinct": 1}
 
 
 @pytest.fixture(scope="module")
