@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from claimlake import registry
 from claimlake.plans.gate import NotReadOnly
-from claimlake.session import Session
+from claimlake.session import Session, answer_of
 from claimlake.sources import documents, shards
 
 
@@ -54,7 +54,7 @@ def handler(session: Session, token: str | None = None) -> type[BaseHTTPRequestH
                     return self._answer(200, session.query_json(body["sql"]))
                 if self.path == "/chat":
                     df = session.ask(body["question"])
-                    return self._answer(200, {"columns": df.columns, "rows": [list(r) for r in df.collect()]})
+                    return self._answer(200, answer_of(df))
                 if self.path == "/mount":
                     return self._answer(200, {"mount_id": session.mount(body["path"]).mount_id})
                 if self.path.startswith("/unmount/"):

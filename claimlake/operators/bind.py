@@ -140,9 +140,25 @@ def parse_reply(reply: str) -> dict | None:
     return None
 
 
+def ask_report(said: DataFrame) -> DataFrame:
+    """One row of counters over ``model_claims`` (a table: each read asks the model again): batches, claims, ids that are
+    not of their batch, claims without any of it."""
+    kept, strange = F.size("sentence_ids") > 0, F.size("ids_said") - F.size("sentence_ids")
+    some = F.col("claim_text").isNotNull()
+    return said.agg(
+        F.countDistinct("doc_id", "batch_start").alias("batches"), F.count_if(some & kept).alias("claims"), F.coalesce(F.sum(F.when(some, strange)), F.lit(0)).cast("long").alias("dropped_hallucinated_ids"), F.count_if(some & ~kept).alias("dropped_no_valid_ids")
+    )
+
+
 def ask_model(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """The claims of ``model_claims`` whose sentence ids lie, at least in part, in their batch."""
+    return model_claims(prompts, model).where("size(sentence_ids) > 0").drop("ids_said")
+
+
+def model_claims(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
     """prompts (doc_id, batch_start, ids array<int>, prompt) through an injected callable, Arrow batch by batch ->
-    claim rows whose sentence ids lie in their batch and whose text is not blank."""
+    claim rows whose text is not blank, with the ids that were said and those of them that lie in the batch; a batch
+    without claims is a row without text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -150,15 +166,14 @@ def ask_model(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
             for row in frame.itertuples():
                 reply = parse_reply(model(row.prompt))
                 claims = reply.get("claims", []) if isinstance(reply, dict) else []
-                for c in claims:
-                    if isinstance(c, dict):
-                        ids = [i for i in c.get("sentence_ids") or [] if isinstance(i, int) and i in set(row.ids)]
-                        if ids and (c.get("claim_text") or "").strip():
-                            out.append((row.doc_id, row.batch_start, c["claim_text"], c.get("subject"), c.get("predicate"), c.get("object"), ids))
-            yield pd.DataFrame(out, columns=["doc_id", "batch_start", "claim_text", "subject", "predicate", "object", "sentence_ids"])
+                found = [c for c in claims if isinstance(c, dict) and (c.get("claim_text") or "").strip()]
+                for c in found or [{}]:
+                    said = [i for i in c.get("sentence_ids") or [] if isinstance(i, int)]
+                    out.append((row.doc_id, row.batch_start, c.get("claim_text"), c.get("subject"), c.get("predicate"), c.get("object"), [i for i in said if i in set(row.ids)], said))
+            yield pd.DataFrame(out, columns=["doc_id", "batch_start", "claim_text", "subject", "predicate", "object", "sentence_ids", "ids_said"])
 
     kind = prompts.schema["doc_id"].dataType.simpleString()
-    return prompts.mapInPandas(run, f"doc_id {kind}, batch_start int, claim_text string, subject string, predicate string, object string, sentence_ids array<int>")
+    return prompts.mapInPandas(run, f"doc_id {kind}, batch_start int, claim_text string, subject string, predicate string, object string, sentence_ids array<int>, ids_said array<int>")
 
 
 def quote_claims(chunks: DataFrame, least: int = 50, most: int = 40) -> DataFrame:

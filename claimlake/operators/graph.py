@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.runtime import deep
+from claimlake.sources import store
 
 
 def list_references(refs: DataFrame) -> DataFrame:
@@ -92,6 +93,20 @@ def diff(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*[F.coalesce(f"b_{k}", f"d_{k}").alias(k) for k in keys], change.alias("change")).where("change is not null")
 
 
+def diff_packs(spark: SparkSession, base: str, delta: str) -> DataFrame:
+    """kind, id, change between two folders with concepts.jsonl and relations.jsonl (a missing file has no rows): objects by
+    id, the last of equal ids; the order of an object's keys does not matter."""
+
+    def pack(folder: str, kind: str) -> DataFrame:
+        path = f"{folder}/{kind}.jsonl"
+        lines = spark.read.text(path) if store.exists(spark, path) else spark.createDataFrame([], "value string")
+        rows = lines.where("trim(value) <> ''").select(F.get_json_object("value", "$.id").alias("id"), F.to_json(F.parse_json("value")).alias("body"), F.monotonically_increasing_id().alias("at"))
+        return rows.where("id <> ''").groupBy("id").agg(F.max_by("body", "at").alias("body"))
+
+    parts = [diff(pack(base, kind), pack(delta, kind), ["id"]).select(F.lit(kind).alias("kind"), "id", "change") for kind in ("concepts", "relations")]
+    return parts[0].unionByName(parts[1])
+
+
 def diff_summary(changes: DataFrame, key: str, most: int = 200) -> dict:
     """Counts, and the first ``most`` keys of each change (a report's limit)."""
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
@@ -102,11 +117,15 @@ def diff_summary(changes: DataFrame, key: str, most: int = 200) -> dict:
     return out
 
 
-def topology_hash(edges: DataFrame) -> DataFrame:
-    """One row: the hash of an edge multiset, whatever its order. Each edge is hashed with length prefixes, equal
-    edges count; sums of the digests' four words need no gathering of the edges."""
+def topology_hash(edges: DataFrame, form: str = "prefixed") -> DataFrame:
+    """One row: the hash of an edge multiset, whatever its order. Each edge is hashed with length prefixes (the older
+    ``form`` "delimited" joins the parts by a bar), equal edges count; sums of the digests' eight words need no gathering
+    of the edges."""
+    if form not in ("prefixed", "delimited"):
+        raise ValueError(form)
     part = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
-    digest = F.sha2(F.concat(*map(part, ("subject", "predicate", "object"))), 256)
+    names = ("subject", "predicate", "object")
+    digest = F.sha2(F.concat(*map(part, names)) if form == "prefixed" else F.concat_ws("|", *names), 256)
     words = edges.select(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)").alias(f"w{i}") for i in range(8)])
     sums = words.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"w{i}") for i in range(8)])
     return sums.select(F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(8)]), 256).alias("topology_hash"), F.col("n").alias("n_edges"))

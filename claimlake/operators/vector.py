@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+Embedder = Callable[[list[str]], list[list[float]]]
+
+
+def hashed(texts: list[str], size: int = 64) -> list[list[float]]:
+    """An embedder without a model: words counted under a hash."""
+    out = []
+    for text in texts:
+        row = [0.0] * size
+        for word in text.lower().split():
+            row[zlib.crc32(word.encode()) % size] += 1.0
+        out.append(row)
+    return out
+
+
+def embedded(rows: DataFrame, embed: Embedder, text_col: str = "text") -> DataFrame:
+    """Adds ``embedding`` by an injected embedder, a batch of texts at a time."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in embed(texts.fillna("").tolist())])
+
+    return rows.withColumn("embedding", vectors(text_col))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

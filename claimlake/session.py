@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import os
 import sqlite3
 import threading
 import time
 import uuid
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -18,13 +21,24 @@ from pyspark.sql import functions as F
 from claimlake import schema
 from claimlake.functions import ids
 from claimlake.functions.scalar import sanitize_identifier
-from claimlake.operators import constraints, nlq, resolve
+from claimlake.operators import constraints, nlq, resolve, vector
 from claimlake.plans import gate
-from claimlake.sources import envelope, shards
+from claimlake.runtime import scratch
+from claimlake.sources import envelope, shards, store
 
 NAMESPACE = uuid.UUID("6f1c1c7e-0f5a-4a51-9a5e-3f6f0f6f7a10")
 
 
+#: Rows of an answer that are sent to the caller at once.
+ANSWER_ROWS = 10_000
+
+
+def answer_of(df: DataFrame, most: int = ANSWER_ROWS) -> dict:
+    """Columns and the first ``most`` rows; ``truncated`` where there are more."""
+    rows = [list(r) for r in df.limit(most + 1).collect()]
+    return {"columns": df.columns, "rows": rows[:most], **({"truncated": True} if len(rows) > most else {})}
+
+
 @dataclass(frozen=True)
 class Mount:
     mount_id: str
@@ -51,6 +65,8 @@ class Session:
         self._known: set[str] = set()
         self._lock = threading.RLock()
         self._catalog = catalog
+        self._vectors: DataFrame | None = None
+        self._embed: vector.Embedder = vector.hashed
         if catalog:
             with self._db() as db:
                 db.execute("create table if not exists mounts (mount_id text primary key, source_path text, auto_mount int, status text, detail text)")
@@ -58,6 +74,13 @@ class Session:
         ids.register(spark)
         self._unions()
 
+    @classmethod
+    def from_environment(cls, spark: SparkSession, environ: Mapping[str, str] = os.environ) -> Session:
+        """CLAIMLAKE_CATALOG and CLAIMLAKE_AUDIT are files, CLAIMLAKE_KEY the base64 of the key that manifests are sealed
+        with, CLAIMLAKE_VERIFY=0 mounts unchecked; what is not set is as in the constructor."""
+        key = environ.get("CLAIMLAKE_KEY")
+        return cls(spark, environ.get("CLAIMLAKE_CATALOG"), environ.get("CLAIMLAKE_AUDIT"), base64.b64decode(key, validate=True) if key else None, environ.get("CLAIMLAKE_VERIFY", "1") != "0")
+
     # --- catalog -------------------------------------------------------------------------------------------------
     def _db(self) -> sqlite3.Connection:
         db = sqlite3.connect(self._catalog, timeout=5)
@@ -179,16 +202,45 @@ class Session:
         gate.check(self.spark, query)
         return self.spark.sql(query)
 
-    def query_json(self, query: str) -> dict:
+    def query_json(self, query: str, most: int = ANSWER_ROWS) -> dict:
         began = time.time()
-        df = self.sql(query)
-        rows = [list(r) for r in df.collect()]  # the caller asked for the rows
-        self._write_audit({"event": "query", "sql_hash": hashlib.sha256(query.encode()).hexdigest()[:16], "row_count": len(rows), "elapsed_ms": round(1000 * (time.time() - began)), "active_mounts": len(self.mounts)})
-        return {"columns": df.columns, "rows": rows}
+        answer = answer_of(self.sql(query), most)
+        self._write_audit({"event": "query", "sql_hash": hashlib.sha256(query.encode()).hexdigest()[:16], "row_count": len(answer["rows"]), "elapsed_ms": round(1000 * (time.time() - began)), "active_mounts": len(self.mounts)})
+        return answer
 
     def ask(self, question: str, limit: int = nlq.LIMIT) -> DataFrame:
         return nlq.ask(question, self.resolved(), self.table("temporal"), self.table("lineage"), limit)
 
+    def index(self, embed: vector.Embedder = vector.hashed, mount_id: str | None = None) -> dict:
+        """Vectors of the claims of one mount or all, by an injected embedder, as a table for ``search``. A claim that the
+        index has is not embedded again, unless the embedder changes."""
+        claims = self.resolved().select("mount_id", "claim_id", F.concat_ws(" ", "subject", "predicate", "object").alias("text"))
+        claims = claims.where(F.col("mount_id") == mount_id) if mount_id else claims
+        if self._vectors is not None and self._embed is embed:
+            claims = claims.join(self._vectors, ["mount_id", "claim_id"], "left_anti")
+        path = f"{scratch(self.spark)}/vectors"
+        vector.embedded(claims, embed).write.parquet(path)
+        fresh = self.spark.read.parquet(path)
+        self._vectors = self._vectors.unionByName(fresh) if self._vectors is not None and self._embed is embed else fresh
+        self._embed = embed
+        self._write_audit({"event": "index", "mount_id": mount_id})
+        return {"status": "ok", "indexed": fresh.count(), "index_size": self._vectors.count()}
+
+    def search(self, question: str, k: int = 7) -> DataFrame:
+        """mount_id, claim_id, text and score of the ``k`` claims nearest to the question."""
+        if self._vectors is None:
+            raise ValueError("nothing is indexed")
+        q = self._embed([question])[0]
+        score = F.round(vector.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 5)
+        return self._vectors.select("mount_id", "claim_id", "text", score.alias("score")).orderBy(F.desc_nulls_last("score"), "claim_id", "mount_id").limit(k)
+
+    def colour_views(self, folder: str) -> list[str]:
+        """A view ``claims_<colour>`` for each <colour>.jsonl of a folder of opened partitions."""
+        named = [c.lower() for c in schema.COLOURS if store.exists(self.spark, f"{folder}/{c.lower()}.jsonl")]
+        for colour in named:
+            self.spark.read.json(f"{folder}/{colour}.jsonl").createOrReplaceTempView(f"claims_{colour}")
+        return [f"claims_{colour}" for colour in named]
+
     def evaluate(self, requests: DataFrame, **options) -> DataFrame:
         return constraints.decide(requests, self.resolved(), **options)
 
@@ -203,7 +255,6 @@ class Chat:
         self.session, self.most, self.history = session, most, []
 
     def ask(self, question: str) -> dict:
-        df = self.session.ask(question)
-        answer = {"question": question, "columns": df.columns, "rows": [list(r) for r in df.collect()]}
+        answer = {"question": question, **answer_of(self.session.ask(question))}
         self.history = [*self.history, answer][-self.most :]
         return answer

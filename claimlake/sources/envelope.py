@@ -10,6 +10,7 @@ import hashlib
 import hmac
 import json
 import os
+import shutil
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -76,9 +77,54 @@ def seal(spark: SparkSession, path: str, out: str, secret: bytes, colour_of: dic
     return head
 
 
+def _open_first(spark: SparkSession, path: str, head: dict, version: str, secret: bytes, into: str) -> str:
+    """Envelopes of versions 1.0 and 1.1: one key, a nonce for each file, and the file's place and hash (1.1: of its plain
+    text, 1.0: of its blob) as authenticated data. Blobs are read, checked and decrypted where they are read."""
+    if version not in ("1.0", "1.1"):
+        raise ShardError("MANIFEST", f"envelope version {version!r}")
+    kdf, files = head.get("kdf") or {}, head.get("files")
+    if head.get("encryption_algo") != "AES-256-GCM" or kdf.get("name") != "HKDF-SHA256":
+        raise ShardError("MANIFEST", "encryption or key derivation is not supported")
+    if not head.get("envelope_id") or not head.get("shard_id") or not isinstance(files, list) or not files:
+        raise ShardError("MANIFEST", "envelope_id, shard_id and files are mandatory")
+    plain_json = lambda value: json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    if head.get("files_digest_sha256_b64"):
+        kept = [{k: str(f[k]) for k in ("path", "blob_hash", "nonce_b64", "plaintext_hash") if k != "plaintext_hash" or f.get(k)} for f in files]
+        digest = hashlib.sha256(plain_json(sorted(kept, key=lambda f: f["path"].encode())).encode()).digest()
+        if digest != base64.b64decode(head["files_digest_sha256_b64"], validate=True):
+            raise ShardError("MERKLE", "files digest")
+    rows = []
+    for f in files:
+        if not all(f.get(k) for k in ("path", "blob_hash", "nonce_b64")) or os.path.isabs(f["path"]) or ".." in Path(f["path"]).parts:
+            raise ShardError("LAYOUT", f"unsafe or incomplete entry {f.get('path')}")
+        bound = "plaintext_hash" if f.get("plaintext_hash") else "blob_hash"
+        aad = plain_json({"envelope_id": head["envelope_id"], "shard_id": head["shard_id"], "path": f["path"], bound: f[bound]})
+        rows.append((f["path"], f["blob_hash"], f.get("plaintext_hash") or None, bytearray(base64.b64decode(f["nonce_b64"], validate=True)), aad))
+    key = hkdf(secret, base64.b64decode(kdf.get("salt_b64", ""), validate=True), str(kdf.get("info", "")).encode())
+    entries = spark.createDataFrame(rows, "name string, blob_hash string, plain string, nonce binary, aad string")
+    blobs = spark.read.format("binaryFile").load(f"{path}/blobs").select(F.element_at(F.split("path", "/"), -1).alias("blob_hash"), F.col("content").alias("blob"))
+    found = entries.join(blobs, "blob_hash", "left").withColumn("whole", F.sha2("blob", 256) == F.col("blob_hash"))
+    content = F.try_aes_decrypt(F.concat("nonce", "blob"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.col("aad").cast("binary"))
+    found = found.withColumn("content", F.when(F.col("whole"), content))
+    target = Path(into) / hashlib.sha256(str(head["envelope_id"]).encode()).hexdigest()[:16]
+    try:
+        for row in found.select("name", "whole", "content", (F.sha2("content", 256) != F.col("plain")).alias("changed")).toLocalIterator():
+            if not row["whole"] or row["content"] is None or row["changed"]:
+                raise ShardError("MERKLE", f"{row['name']}: blob is missing or changed, or the secret is wrong")
+            (target / row["name"]).parent.mkdir(parents=True, exist_ok=True)
+            (target / row["name"]).write_bytes(row["content"])
+    except ShardError:
+        shutil.rmtree(target, ignore_errors=True)
+        raise
+    return str(target)
+
+
 def open_envelope(spark: SparkSession, path: str, secret: bytes, into: str, colours: tuple[str, ...] = COLOURS) -> str:
     """Checks and decrypts; returns the shard's folder. Wrong secret, changed header, blobs, names or topology raise."""
     head = json.loads(Path(path, "envelope.json").read_text())
+    other = next((str(v) for k, v in head.items() if k.endswith("_version")), None)
+    if other is not None and "version" not in head:
+        return _open_first(spark, path, head, other, secret, into)
     mac, salt = head.pop("mac", ""), from_base64(head["salt"])
     if head.get("version") != "2.0":
         raise ShardError("MANIFEST", f"envelope version {head.get('version')!r}")
@@ -92,13 +138,14 @@ def open_envelope(spark: SparkSession, path: str, secret: bytes, into: str, colo
     for f in wanted:
         if os.path.isabs(f["path"]) or ".." in Path(f["path"]).parts:
             raise ShardError("LAYOUT", f"unsafe path {f['path']}")
-        blob = Path(path, "blobs", f["blob"]).read_bytes()
-        if hashlib.sha256(blob).hexdigest() != f["blob"]:
-            raise ShardError("MERKLE", f"blob of {f['path']} was changed")
-        rows.append((f["path"], f["colour"], f["plain_hash"], bytearray(blob), bytearray(hkdf(secret, salt, f"{f['colour']}:{head['topology_hash']}".encode()))))
-    df = spark.createDataFrame(rows, "name string, colour string, plain string, blob binary, key binary")
-    content = F.aes_decrypt(F.col("blob"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws(":", "colour", "name"))
-    for row in df.select("name", "plain", content.alias("content")).toLocalIterator():
+        rows.append((f["path"], f["colour"], f["plain_hash"], f["blob"], bytearray(hkdf(secret, salt, f"{f['colour']}:{head['topology_hash']}".encode()))))
+    df = spark.createDataFrame(rows, "name string, colour string, plain string, hash string, key binary")
+    blobs = spark.read.format("binaryFile").load(f"{path}/blobs").select(F.element_at(F.split("path", "/"), -1).alias("hash"), F.col("content").alias("blob"))
+    df = df.join(blobs, "hash", "left").withColumn("whole", F.coalesce(F.sha2("blob", 256) == F.col("hash"), F.lit(False)))  # read and checked on the executors
+    content = F.when(F.col("whole"), F.aes_decrypt(F.col("blob"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws(":", "colour", "name")))
+    for row in df.select("name", "plain", "whole", content.alias("content")).toLocalIterator():
+        if not row["whole"]:
+            raise ShardError("MERKLE", f"blob of {row['name']} was changed")
         data = bytes(row["content"])
         if hashlib.sha256(data).hexdigest() != row["plain"]:
             raise ShardError("MERKLE", f"content of {row['name']}")

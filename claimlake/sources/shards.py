@@ -30,8 +30,16 @@ class ShardError(ValueError):
         self.code = code
 
 
-def merkle_root(leaves: list[bytes]) -> str:
-    """SHA-256 over domain-separated leaves and nodes; an odd node is carried up as it is."""
+def merkle_root(leaves: list[bytes], suite: str = "promote") -> str:
+    """SHA-256 over leaves and nodes. Suite ``promote`` separates the two and carries an odd node up as it is; the
+    older ``duplicate`` hashes them alike and pairs an odd node with itself."""
+    if suite not in ("promote", "duplicate"):
+        raise ValueError(suite)
+    if suite == "duplicate":
+        level = [hashlib.sha256(leaf).digest() for leaf in leaves] or [hashlib.sha256(b"").digest()]
+        while len(level) > 1:
+            level = [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
+        return level[0].hex()
     level = [hashlib.sha256(b"\x00" + leaf).digest() for leaf in leaves] or [hashlib.sha256(b"").digest()]
     while len(level) > 1:
         level = [hashlib.sha256(b"\x01" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]

@@ -95,3 +95,115 @@ def test_shell_shows_and_goes_on(spark, capsys):
     cli.shell(Session(spark), ["select 7 as seven", "drop view claims", "", "quit", "select 8"])
     out = capsys.readouterr().out
     assert "seven" in out and "NotReadOnly" in out and "8" not in out
+
+
+def envelope_of(spark, folder, files, version, secret, tamper=None):
+    """An envelope as other writers make them: one key, a nonce for each file."""
+    import base64
+    import hashlib
+
+    from claimlake.sources.envelope import hkdf
+    from pyspark.sql import functions as F
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    dump = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    salt, entries = b"s" * 16, []
+    key = hkdf(secret, salt, b"files")
+    (folder / "blobs").mkdir(parents=True)
+    for i, (name, data) in enumerate(files.items()):
+        nonce, plain = bytes([i]) * 12, hashlib.sha256(data).hexdigest()
+        aad = dump({"envelope_id": "e1", "shard_id": "s1", "path": name, "plaintext_hash": plain}).encode()
+        whole = spark.range(1).select(F.aes_encrypt(F.lit(data), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(nonce), F.lit(aad)).alias("c")).first()["c"]
+        blob = bytes(whole)[12:]
+        digest = hashlib.sha256(blob).hexdigest()
+        (folder / "blobs" / digest).write_bytes(blob if tamper != "blob" else blob[:-1] + b"x")
+        entries.append({"path": name, "blob_hash": digest, "nonce_b64": b64(nonce), **({"plaintext_hash": plain} if version == "1.1" else {})})
+    head = {"format_version": version, "envelope_id": "e1", "shard_id": "s1", "encryption_algo": "AES-256-GCM", "kdf": {"name": "HKDF-SHA256", "salt_b64": b64(salt), "info": "files"}, "files": entries}
+    digest = hashlib.sha256(dump(sorted(entries, key=lambda e: e["path"].encode())).encode()).digest()
+    head["files_digest_sha256_b64"] = b64(digest if tamper != "digest" else b"0" * 32)
+    if tamper == "path":
+        head["files"] = [{**e, "path": "../" + e["path"]} for e in entries]
+        head.pop("files_digest_sha256_b64")
+    (folder / "envelope.json").write_text(json.dumps(head))
+    return str(folder)
+
+
+def test_envelopes_of_the_first_versions(spark, tmp_path):
+    from pathlib import Path
+
+    from claimlake.sources.envelope import open_envelope
+    from claimlake.sources.shards import ShardError
+
+    files = {"manifest.json": b"{}", "graph/é.bin": bytes(range(256))}
+    secret = b"k" * 32
+    opened = Path(open_envelope(spark, envelope_of(spark, tmp_path / "a", files, "1.1", secret), secret, str(tmp_path / "out")))
+    assert {str(p.relative_to(opened)): p.read_bytes() for p in opened.rglob("*") if p.is_file()} == files
+    for name, version, tamper, other in (("b", "1.1", "blob", secret), ("c", "1.1", "digest", secret), ("d", "1.1", "path", secret), ("e", "1.1", None, b"w" * 32), ("f", "9.9", None, secret)):
+        into = tmp_path / f"out_{name}"
+        with pytest.raises(ShardError):
+            open_envelope(spark, envelope_of(spark, tmp_path / name, files, version, secret, tamper), other, str(into))
+        assert not [p for p in into.rglob("*") if p.is_file()]
+    # 1.0 binds a blob's own hash, which no writer knows before the blob is made: the entry is read, its tag cannot fit
+    with pytest.raises(ShardError, match="changed"):
+        open_envelope(spark, envelope_of(spark, tmp_path / "g", files, "1.0", secret), secret, str(tmp_path / "out_g"))
+
+
+def test_index_and_search(spark, tmp_path):
+    from claimlake.sources import shards
+
+    docs = spark.createDataFrame([(1, "Aspirin lowers fever. Rome is a city.")], "doc_id long, text string")
+    said = spark.createDataFrame([(1, "Aspirin", "lowers", "fever", "literal:string", "Aspirin lowers fever.", 0, 21, 0), (1, "Rome", "is", "city", "literal:string", "Rome is a city.", 22, 37, 0)], "doc_id long, subject string, predicate string, object string, object_type string, evidence string, byte_start long, byte_end long, tier int")
+    shards.compile_shard(said, docs, str(tmp_path / "shard"))
+    s = Session.from_environment(spark, {"CLAIMLAKE_AUDIT": str(tmp_path / "audit"), "CLAIMLAKE_VERIFY": "0"})
+    assert not s.verify and s.audit == str(tmp_path / "audit")
+    with pytest.raises(ValueError):
+        s.search("fever")
+    s.mount(str(tmp_path / "shard"))
+    assert s.index() == {"status": "ok", "indexed": 2, "index_size": 2} and s.index() == {"status": "ok", "indexed": 0, "index_size": 2}
+    assert [r["text"] for r in s.search("what lowers fever", 1).collect()] == ["Aspirin lowers fever"]
+    assert s.index(lambda texts: [[1.0, float("Rome" in t)] for t in texts])["indexed"] == 2
+    assert s.search("Rome", 1).first()["text"] == "Rome is city"
+    assert s.query_json("select * from claims order by claim_id", most=1)["truncated"]
+    (tmp_path / "red.jsonl").write_text('{"claim_id": "c9"}\n')
+    assert s.colour_views(str(tmp_path)) == ["claims_red"] and spark.table("claims_red").first()["claim_id"] == "c9"
+
+
+def test_pack_differences(spark, tmp_path):
+    from claimlake.operators import graph
+
+    for name, lines in (("a", ['{"id": "x", "v": 1, "w": 2}', '{"id": "y"}', "", '{"v": 3}', '{"id": "z", "v": 1}']), ("b", ['{"w": 2, "id": "x", "v": 1}', '{"id": "z", "v": 2}', '{"id": "n"}'])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "concepts.jsonl").write_text("\n".join(lines) + "\n")
+    assert sorted(map(tuple, graph.diff_packs(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect())) == [("concepts", "n", "added"), ("concepts", "y", "removed"), ("concepts", "z", "modified")]
+
+
+def test_forms_of_hashes(spark):
+    import hashlib
+
+    from claimlake.operators import graph
+    from claimlake.sources.shards import merkle_root
+
+    h = lambda *parts: hashlib.sha256(b"".join(parts)).digest()
+    assert merkle_root([b"a", b"b", b"c"], "duplicate") == h(h(h(b"a"), h(b"b")), h(h(b"c"), h(b"c"))).hex()
+    assert merkle_root([b"a", b"b", b"c"]) != merkle_root([b"a", b"b", b"c"], "duplicate")
+    edges = [spark.createDataFrame(rows, "subject string, predicate string, object string") for rows in ([("a|b", "c", "d")], [("a", "b|c", "d")])]
+    assert len({graph.topology_hash(e, "delimited").first()[0] for e in edges}) == 1 and len({graph.topology_hash(e).first()[0] for e in edges}) == 2
+
+
+def test_long_chains_have_no_level_limit(spark):
+    from claimlake.operators import constraints, graph
+
+    lineage = spark.createDataFrame([(f"s{i}", f"s{i - 1}") for i in range(1, 151)], "shard_id string, supersedes_shard_id string")
+    assert graph.lineage_closure(lineage).where("root = 's150'").count() == 150
+    claims = spark.createDataFrame([(f"c{i}", f"a{i}", "DELEGATES_TO", f"a{i + 1}", "s") for i in range(130)], "claim_id string, subject string, predicate string, object string, shard_id string")
+    chain = constraints.authority_chain(spark.createDataFrame([("q", "a0")], "request_id string, actor string"), claims).first()
+    assert len(chain["chain"]) == 131 and not chain["cycle"]
+
+
+def test_model_counters(spark):
+    from claimlake.operators import bind
+
+    prompts = spark.createDataFrame([(1, 0, [0, 1], "p"), (1, 2, [2, 3], "q"), (1, 4, [4], "r")], "doc_id long, batch_start int, ids array<int>, prompt string")
+    reply = {"p": '{"claims": [{"claim_text": "x", "sentence_ids": [0, 7]}, {"claim_text": "y", "sentence_ids": [9]}, {"claim_text": " ", "sentence_ids": [1]}]}', "q": '{"claims": [{"claim_text": "z", "sentence_ids": [2]}]}', "r": "none"}
+    said = bind.model_claims(prompts, lambda prompt: reply[prompt])
+    assert tuple(bind.ask_report(said).first()) == (3, 2, 2, 1)
