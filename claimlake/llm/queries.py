@@ -59,6 +59,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir)).drop("ids")
 
 
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op2 that SQL can say too."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7's law fixes of each shard: its rows, its slots, and the sizes of all."""
+    shards = op7_sharding(spark, sf_dir)
+    law = shards.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.countDistinct("slot").alias("n_slots"))
+    return law.crossJoin(F.broadcast(shards.agg(F.sum("size").alias("bytes"))))  # one row
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the last stage packs, with the checksums of their ids in place of the ids."""
     return corpus_pipeline.run(spark, sf_dir).drop("ids")
@@ -77,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_output,
         op9_source_mixing,
         op10_best_fit_packing,
+        rules_base,
+        shard_law,
         pipeline,
     )
 }
@@ -104,6 +118,24 @@ with recursive words as (
 )
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d join home h on h.doc_id = d.doc_id left join sizes s on s.doc_id = d.doc_id""",
+    "rules_base": """
+with t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from documents
+), windows as (
+  select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from t where len(ws) >= 8)
+), twice as (
+  select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from windows) where c > 1
+), covered as (
+  select doc_id, count(distinct i + k) as n from twice, (select unnest(range(8)) as k) group by doc_id
+), counts as (
+  select t.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+         (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
+  from t left join covered c on c.doc_id = t.doc_id
+)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts""",
+    "shard_law": """
+with n as (select count(*) as n, sum(coalesce(strlen(text), 0) + 16)::bigint as bytes from documents), shards as (select k::int as shard, n // 40 + (k < n % 40)::int as n, bytes from n, (select unnest(range(40)) as k))
+select shard, n::bigint as n, 0::bigint as first, (n - 1)::bigint as last, n::bigint as n_slots, bytes from shards where n > 0""",
     "op6_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
        sha256(coalesce(text, '')) as text_sha256

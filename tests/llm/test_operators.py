@@ -182,6 +182,64 @@ def test_rules_base_statistics_against_brute_force(spark, sf, hard):
                 assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r["base_failed"] and r["kept"])
 
 
+def test_rules_posterior_against_estimation_text_by_text(spark, sf):
+    """Expectation-maximisation over single texts in numpy, not over vote patterns."""
+    import numpy as np
+
+    got = quality_rules.quality(documents(spark, sf)).collect()
+    names = [f"v_{r}" for r in quality_rules.RULES]
+    some = [r for r in got if r["n_words"] > 0]
+    votes = np.array([[r[n] for n in names] for r in some]) % 3  # 0 bad, 1 good, 2 none
+    prior, g, b = 0.8, np.tile([0.005, 0.895, 0.1], (len(names), 1)), np.tile([0.3, 0.6, 0.1], (len(names), 1))
+
+    def posterior():
+        rule = np.arange(len(names))
+        good, bad = prior * g[rule, votes].prod(1), (1 - prior) * b[rule, votes].prod(1)
+        return good / (good + bad)
+
+    for _ in range(500):
+        p = posterior()
+        on_good, on_bad = np.tile([0.005, 0.895, 0.1], (len(names), 1)), np.tile([0.3, 0.6, 0.1], (len(names), 1))
+        for v in range(3):
+            on_good[:, v] += (p[:, None] * (votes == v)).sum(0)
+            on_bad[:, v] += ((1 - p)[:, None] * (votes == v)).sum(0)
+        g, b = on_good / on_good.sum(1, keepdims=True), on_bad / on_bad.sum(1, keepdims=True)
+        for k in np.flatnonzero(g[:, 0] > b[:, 0]):
+            rest = b[k, 1:] * (1 - g[k, 0]) / max(1e-9, b[k, 1:].sum())
+            b[k] = [g[k, 0], *rest]
+        prior = min(0.99, max(0.05, p.mean()))
+    for r, p in zip(some, posterior(), strict=True):
+        assert abs(r["posterior"] - p) < 1e-3
+        assert r["kept"] == (not r["base_failed"] and r["posterior"] >= quality_rules.KEEP_AT)
+
+
+def test_classifier_score_against_dense_algebra(spark, sf):
+    """Covariances of whole matrices, log-densities by solving and determinants, text by text."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs, marks = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    x = np.array(quality_classifier._features(pa.array([(r["text"] or "").encode() for r in rows], pa.binary())).to_pylist())
+    at = {r["doc_id"]: i for i, r in enumerate(rows)}
+    known = [(at[r["doc_id"]], r["quality"]) for r in marks.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    train, y = x[[i for i, _ in known]], np.array([q for _, q in known])
+    centre, scale = train.mean(0), np.sqrt(np.maximum(train.var(0), 1e-8))
+    z, every = (train - centre) / scale, (x - centre) / scale
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).sum() * c for k, c in enumerate(own)) / len(y)
+    to_diagonal, to_pooled = quality_classifier.TOWARDS_DIAGONAL, quality_classifier.TOWARDS_POOLED
+    pooled = (1 - to_diagonal) * pooled + to_diagonal * np.diag(np.diag(pooled))
+    density = []
+    for k, c in enumerate(own):
+        c = (1 - to_pooled) * c + to_pooled * pooled + quality_classifier.RIDGE * np.eye(len(c))
+        off = every - z[y == k].mean(0)
+        density.append(-0.5 * np.einsum("ij,ji->i", off, np.linalg.solve(c, off.T)) - 0.5 * np.linalg.slogdet(c)[1] + np.log((y == k).sum()))
+    want = 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
+    for r in quality_classifier.classify(docs, marks).collect():
+        assert abs(r["score"] - want[at[r["doc_id"]]]) < 1e-4 and r["predicted"] == int(r["score"] >= 0.7)
+
+
 def test_rules_and_classifier_tell_junk(spark):
     path = "/root/testdata/sf0.1"
     marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
@@ -214,6 +272,40 @@ def test_token_counts_add_up(spark, sf, hard):
     assert Counter(r["doc_id"] for r in by_field) == Counter({i: 2 * n for i, n in Counter(r[0] for r in rows()).items()})
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_attribution_token_by_token(spark, sf, rule):
+    """Ids of the unmodified tokenizer, each token's bytes laid end to end, lines found by looking at every character."""
+    import public_tokenizers
+    from claimlake.llm.tokens import load, vocabulary
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    _, widths = load(vocabulary())
+    extra = [(10**6, "a\n\n\nb\n\n  c\n"), (10**6 + 1, "é\n\n日本\n\n\n"), (10**6 + 2, None), (10**6 + 3, "\n")]
+    docs = documents(spark, sf).select("doc_id", "text").limit(60).union(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {(r["doc_id"], r["section"]): (r["char_start"], r["char_end"], r["n_tokens"], r["n_crossing"]) for r in token_counts.token_counts(docs, rule=rule).collect()}
+    want = {}
+    for r in docs.collect():
+        text = r["text"] or ""
+        raw, line_of, starts = text.encode(), [], [0]
+        for i, c in enumerate(text):
+            line_of.append(len(starts) - 1)
+            if c == "\n":
+                starts.append(i + 1)
+        line_of.append(len(starts) - 1)
+        counts, at = [[0, 0] for _ in starts], 0
+        for token in tokenizer.encode(text, add_special_tokens=False).ids:
+            a, b = (len(raw[:k].decode("utf-8", "ignore")) + (len(raw[:k]) > len(raw[:k].decode("utf-8", "ignore").encode())) for k in (at, at + int(widths[token])))
+            at += int(widths[token])
+            held = Counter(line_of[i] for i in range(a, b)) or Counter([line_of[a]])
+            own = min(held) if rule == "first" else min(held, key=lambda k: (-held[k], k))
+            counts[own][0] += 1
+            counts[own][1] += len(held) > 1
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(text)], strict=True)):
+            want[r["doc_id"], k] = (a, b, *counts[k])
+    assert got == want
+
+
 def test_operators_read_added_tokens_like_the_unmodified_json_vocabulary(spark):
     import numpy as np
     import public_tokenizers
