@@ -12,6 +12,13 @@ from claimlake.runtime import delete, scratch
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Up to so many narrow rows of a written table are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Groups of more rows than this meet their rows by broadcast; the bound rises with the rows so that no more than
+#: MOST_LARGE groups can have so many.
+LARGE, MOST_LARGE = 1000, 100_000
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: lineage ends here, a lost executor costs
     a reread, and no expensive plan runs twice. The files go when the driver's interpreter ends."""
@@ -28,6 +35,20 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._claimlake_path.rsplit("/", 1)[0])  # type: ignore[attr-defined]
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A written table, broadcast where its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def with_owner(rows: DataFrame, owners: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group's row in ``owners`` (rows in the group: ``size``); rows of no group are
+    dropped. Large groups' rows stay where they are. Both are read more than once; give tables."""
+    bound = max(LARGE, (owners.agg(F.sum(size)).first()[0] or 0) // MOST_LARGE)
+    large, small = owners.where(F.col(size) > bound), owners.where(F.col(size) <= bound)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(large), keys).unionByName(rest.join(small, keys))
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes; null counts as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))

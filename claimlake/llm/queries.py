@@ -8,11 +8,13 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm import langid, mixing, packing, quality_classifier, quality_rules, token_counts, token_output
+from claimlake.llm import filter_audit, langid, mixing, oracles, packing, quality_classifier, quality_rules, token_counts, token_output
 from claimlake.llm.common import documents
 from claimlake.llm.exact_dedup import exact_duplicates
 from claimlake.llm.near_dedup import near_duplicates
 from claimlake.llm.sharding import document_shards
+from claimlake.llm.simhash import simhash_duplicates
+from claimlake.llm.spelling import spelling_variants
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir)).drop("ids")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op2 that SQL can say too."""
     return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -89,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_output,
         op9_source_mixing,
         op10_best_fit_packing,
+        op11_simhash_near_dedup,
+        op12_filter_audit,
+        op13_spelling_variants,
         rules_base,
         shard_law,
         pipeline,
@@ -141,6 +158,9 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
        sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",
     "op9_source_mixing": mixing.ORACLE,
+    "op11_simhash_near_dedup": oracles.SIMHASH,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_spelling_variants": oracles.SPELLING,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -91,6 +91,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(data) + 1)[starts])
 
 
+def prefix_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each place of each run of ``codes`` the hash of what stands before it in its run."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes + _STEP) * _power(_BASE, len(codes)), out=sums[1:])
+    return mix((sums[:-1] - np.repeat(sums[starts], lengths)) * np.repeat(_power(_BASE_INVERSE, len(codes) + 1)[starts], lengths))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """For each document its sorted distinct shingle hashes: ``size`` words each, after A-Z became a-z; a text
     of fewer words is one shingle, a text without words has none."""
