@@ -67,13 +67,6 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when(needle == "", 0).otherwise((gone / F.octet_length(needle)).cast("int"))
 
 
-def occurs_twice(text: Column, needle: Column) -> Column:
-    """Overlapping occurrences: 0, 1 or 2 for two or more."""
-    first = F.call_function("locate", needle, text)
-    second = F.call_function("locate", needle, text, first + 1)
-    return F.when((needle == "") | (first == 0), 0).when(second == 0, 1).otherwise(2)
-
-
 def byte_slice(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text.cast("binary"), (start + 1).cast("int"), (end - start).cast("int"))
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField
 from pyspark.sql.window import Window
 
-from claimlake.functions.scalar import ACRONYM, byte_slice, is_garbage_entity, object_type, occurrences
-from claimlake.operators.extract import in_document
+from claimlake.functions.scalar import ACRONYM, is_garbage_entity, object_type, occurrences
+from claimlake.operators.beside import beside_text, found_in, slices
 from claimlake.operators.scan import ordered_scan
+from claimlake.runtime import written
 
 
 def acronyms(docs: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def bind(raw: DataFrame, sentences: DataFrame, source: DataFrame) -> DataFrame:
     bound = bound.select(
         "doc_id", "pos", F.col("s").alias("subject"), F.lower("raw_predicate").alias("predicate"), F.col("o").alias("object"), F.col("kind").alias("object_type"), F.lit(3).alias("tier"), "byte_start", "byte_end", F.col("page").alias("source_page"), "claim_text"
     )
-    return in_document(bound, source, evidence=lambda text, c: byte_slice(text, c["byte_start"], c["byte_end"]).cast("string"))
+    return beside_text(bound, source, ["byte_start", "byte_end"], [("evidence", "string", pa.string())], slices)
 
 
 def bind_report(raw: DataFrame, sentences: DataFrame, bound: DataFrame) -> DataFrame:
@@ -93,31 +96,50 @@ def bind_report(raw: DataFrame, sentences: DataFrame, bound: DataFrame) -> DataF
     return raw.join(valid, at, "left").join(done, at, "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-def greedy_merge(candidates: DataFrame, group: str = "doc_id") -> DataFrame:
+#: Candidates that one task settles in order at the end.
+LAST = 10_000
+
+
+def greedy_merge(candidates: DataFrame, group: str = "doc_id", last: int = LAST) -> DataFrame:
     """In order of ``ordinal``, a candidate stays if neither its key (subject, predicate, object, 80 characters of
-    evidence) nor its evidence has stayed before. Dropped ones register nothing, so this is a scan, one for each
-    source; candidates with one evidence and one key are reduced to the first before it."""
-    key = F.concat_ws("\x1f", "subject", "predicate", "object", F.left("evidence", F.lit(80)))
-    df = candidates.withColumn("_key", key)
-    first = Window.partitionBy(group, "_key", "evidence").orderBy("ordinal")
-    df = df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    evidence) nor its evidence has stayed before in its source; dropped ones register nothing.
 
-    at = df.columns.index("_key"), df.columns.index("evidence")
+    That is a greedy matching of keys with evidence. It is found by rounds over all sources at once: a candidate stays
+    when it is the first of those left at its key and at its evidence, and takes from the rest what shares either with
+    it; so each is settled once all earlier ones that share its key or evidence are. A round is two grouped minima and
+    equi-joins of narrow rows; few rounds leave at most ``last`` candidates unless long chains of conflicts go up in order,
+    and one task scans those. Of candidates with one key and one evidence only the first matters."""
+    key = F.concat_ws("\x1f", "subject", "predicate", "object", F.left("evidence", F.lit(80)))
+    named = lambda c: F.md5(F.concat_ws("\x1f", F.col(group).cast("string"), c).cast("binary"))
+    first = candidates.groupBy(named(key).alias("_k"), named(F.col("evidence")).alias("_e"), group)
+    first = written(first.agg(F.min_by(F.struct(*candidates.columns), "ordinal").alias("_row")), "first")
+    left = first.select("_k", "_e", F.col(group).alias("_g"), F.col("_row.ordinal").alias("_o"))
+    stays = []
+    while True:
+        order = F.struct("_o", "_k", "_e")  # of equal ordinals either goes first, always the same
+        at_key, at_evidence = (left.groupBy(c).agg(F.min(order).alias(f"_first{c}")) for c in ("_k", "_e"))
+        kept = left.join(at_key, "_k").join(at_evidence, "_e").where((F.col("_first_k") == order) & (F.col("_first_e") == order))
+        kept = written(kept.select("_k", "_e"), "kept")
+        stays.append(kept)
+        left = written(left.join(kept.select("_k"), "_k", "left_anti").join(kept.select("_e"), "_e", "left_anti"), "left")
+        if left.count() <= last:
+            break
 
     def step(state: tuple[set, set], row: tuple) -> bool:
-        keys, seen = state
-        fresh = row[at[0]] not in keys and row[at[1]] not in seen
+        fresh = row[0] not in state[0] and row[1] not in state[1]
         if fresh:
-            keys.add(row[at[0]])
-            seen.add(row[at[1]])
+            state[0].add(row[0]), state[1].add(row[1])
         return fresh
 
-    return ordered_scan(df, group, ["ordinal"], StructField("_stays", BooleanType()), lambda: (set(), set()), step).where("_stays").drop("_key", "_stays")
+    rest = ordered_scan(left, "_g", ["_o", "_k", "_e"], StructField("_stays", BooleanType()), lambda: (set(), set()), step)
+    stays.append(rest.where("_stays").select("_k", "_e"))
+    return first.join(reduce(DataFrame.union, stays), ["_k", "_e"], "left_semi").select("_row.*")
 
 
 def unique_evidence(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds n_found; 1 is unambiguous, 0 is not in the source, more is ambiguous."""
-    return in_document(candidates, docs, n_found=lambda text, c: occurrences(text, c["evidence"])).where("n_found is not null")
+    counts = [("n_found", "int", pa.int32()), ("_places", "int", pa.int32())]
+    return beside_text(candidates, docs, ["evidence"], counts, found_in).drop("_places").where("n_found is not null")
 
 
 def merge_candidates(candidates: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ extraction_method). A pattern's place is found again by splitting at its matches
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,16 +60,6 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
     return flat.select("doc_id", "pos", F.col("z.ls").alias("line"), (F.col("z.ends") - F.octet_length("z.ls")).alias("byte_start"), F.col("z.ends").alias("byte_end"), *keep)
 
 
-def in_document(candidates: DataFrame, docs: DataFrame, **found: Callable[[Column, dict[str, Column]], Column]) -> DataFrame:
-    """Adds what each function finds of (text, candidate) in the candidate's document. A document's candidates meet its
-    text in one row, so texts are not copied for each of them; candidates of unknown documents get a null text."""
-    grouped = candidates.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in candidates.columns if c != "doc_id"])).alias("_all"))
-    met = grouped.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-    each = F.transform("_all", lambda c: F.struct(c.alias("c"), *[fn(F.col("_text"), c).alias(name) for name, fn in found.items()]))
-    flat = met.select("doc_id", F.explode(each).alias("_one"))
-    return flat.select(*["doc_id" if c == "doc_id" else F.col(f"_one.c.{c}") for c in candidates.columns], *[F.col(f"_one.{name}") for name in found])
-
-
 def source_offsets(files: DataFrame) -> DataFrame:
     """files (path, text) -> path, byte_start, byte_end in their concatenation by path, each under a header line."""
     header = F.concat(F.lit("=== "), "path", F.lit(" ===\n"))

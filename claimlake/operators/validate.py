@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimlake.functions.scalar import byte_exact, occurs_twice
-from claimlake.operators.extract import in_document
+from claimlake.operators.beside import beside_text, checked, exact
 
 
 def span_bounds(spans: DataFrame, sources: DataFrame) -> DataFrame:
@@ -25,8 +25,13 @@ def span_bounds(spans: DataFrame, sources: DataFrame) -> DataFrame:
 
 def evidence(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Each candidate (doc_id, evidence, byte_start, byte_end) with ok, and n_found: 0, 1 or 2 for ambiguous."""
-    ok = lambda text, c: F.coalesce(byte_exact(text, c["byte_start"], c["byte_end"], c["evidence"]) & (c["evidence"] != ""), F.lit(False))
-    return in_document(candidates, docs, ok=ok, n_found=lambda text, c: F.coalesce(occurs_twice(text, c["evidence"]), F.lit(0)))
+    result = [("ok", "boolean", pa.bool_()), ("n_found", "int", pa.int32())]
+    return beside_text(candidates, docs, ["evidence", "byte_start", "byte_end"], result, checked)
+
+
+def byte_exact_evidence(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each candidate with ok: whether its evidence is what lies at its bytes. Nothing is searched for."""
+    return beside_text(candidates, docs, ["evidence", "byte_start", "byte_end"], [("ok", "boolean", pa.bool_())], exact)
 
 
 def evidence_report(checked: DataFrame) -> DataFrame:

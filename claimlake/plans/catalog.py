@@ -261,10 +261,16 @@ def unique_evidence(spark, sf):
     return found.select("doc_id", "pos", "n_found")
 
 
-@register("select l.doc_id, l.pos, true as ok from dl l", "dl")
+@register(
+    """, q as (select l.doc_id, l.pos, l.line, l.source_hash, case l.pos % 4 when 2 then l.byte_start + 1 else l.byte_start end as a, case l.pos % 4 when 3 then l.byte_end - 1 else l.byte_end end as b from dl l)
+select q.doc_id, q.pos, exists (select 1 from dl o where o.doc_id = q.doc_id and o.byte_start = q.a and o.byte_end = q.b and o.line = q.line) as ok from q""",
+    "dl",
+)
 def byte_exact_check(spark, sf):
     docs = read(spark, sf, "documents")
-    return validate.evidence(extract.lines(docs).where("line <> ''").withColumnRenamed("line", "evidence"), docs).select("doc_id", "pos", "ok")
+    shifted = {"byte_start": F.col("byte_start") + F.when(F.col("pos") % 4 == 2, 1).otherwise(0), "byte_end": F.col("byte_end") - F.when(F.col("pos") % 4 == 3, 1).otherwise(0)}
+    found = validate.byte_exact_evidence(extract.lines(docs).where("line <> ''").withColumnRenamed("line", "evidence").withColumns(shifted), docs)
+    return found.select("doc_id", "pos", "ok")
 
 
 @register("select source_hash, byte_start, byte_end, 'beyond_source' as reason from (select sha256(text) as source_hash, 0::bigint as byte_start, (strlen(text) + 1)::bigint as byte_end from documents where doc_id % 10 = 0) union all select source_hash, byte_start, byte_end, 'invalid_range' from (select sha256(text) as source_hash, 5::bigint as byte_start, 2::bigint as byte_end from documents where doc_id % 10 = 1)")
@@ -315,7 +321,7 @@ def context_similarity(spark, sf):
 
 
 @register(
-    """with s as (select user_id, count(*) as n, avg(v) as mean, var_pop(v) as variance from (select user_id, (event_id % 20)::double / 100 as v from events where event_id % 3 = 0) group by user_id),
+    """with s as (select user_id, count(*) as n, avg(v) as mean, var_pop(v) as variance from (select user_id, (event_id % 20)::double / 100 as v from events) group by user_id),
 b as (select distinct user_id as bundle_id, (user_id % 10)::double / 10 as context_score from events)
 select b.bundle_id, b.context_score, coalesce(s.n, 0)::bigint as n, case when b.context_score < 0.6 then 'reject' when coalesce(s.mean, 0.1) < 0.1 then 'reject' when coalesce(s.n, 0) < 10 then 'test_more' else 'adopt' end as recommendation,
  case when s.n > 0 then round(1 / (1 + s.variance), 9) else 0.5 end as stability from b left join s on s.user_id = b.bundle_id"""
@@ -323,7 +329,7 @@ select b.bundle_id, b.context_score, coalesce(s.n, 0)::bigint as n, case when b.
 def bundle_evaluation(spark, sf):
     e = read(spark, sf, "events")
     b = e.select(F.col("user_id").alias("bundle_id")).distinct().withColumns({"context_score": (F.col("bundle_id") % 10).cast("double") / 10, "baseline": F.lit(1.0), "improved": F.lit(1.1)})
-    shadows = e.where("event_id % 3 = 0").select(F.col("user_id").alias("bundle_id"), ((F.col("event_id") % 20).cast("double") / 100).alias("improvement"))
+    shadows = e.select(F.col("user_id").alias("bundle_id"), ((F.col("event_id") % 20).cast("double") / 100).alias("improvement"))
     return adaptive.evaluate(b, shadows).select("bundle_id", "context_score", "n", "recommendation", F.round("stability", 9).alias("stability"))
 
 

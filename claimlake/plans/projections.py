@@ -39,20 +39,22 @@ def decision_claims(spark: SparkSession, sf: str) -> DataFrame:
 def temporal(spark: SparkSession, sf: str) -> DataFrame:
     iso = lambda c: F.date_format(c, ISO)
     until = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 2, iso(F.col("ts") + F.expr("interval 30 days")))
-    return read(spark, sf, "events").where("event_id % 5 <> 0").select(
-        _short("c_", _text("user_id"), F.col("event_type"), _text("event_id")).alias("claim_id"), iso(F.col("ts")).alias("valid_from"), until.alias("valid_until"), F.concat_ws(": ", "event_type", F.get_json_object("props", "$.k")).alias("temporal_context")
+    kind = F.when(F.col("event_id") % 5 == 0, "unknown").otherwise(F.col("event_type"))  # no claim has this id
+    return read(spark, sf, "events").select(
+        _short("c_", _text("user_id"), kind, _text("event_id")).alias("claim_id"), iso(F.col("ts")).alias("valid_from"), until.alias("valid_until"), F.concat_ws(": ", "event_type", F.get_json_object("props", "$.k")).alias("temporal_context")
     )
 
 
 def references(spark: SparkSession, sf: str) -> DataFrame:
-    """Every claim of shard_a refers to the claim of the next event."""
+    """Every claim refers to the claim of the next event, which is of the other shard."""
     e = read(spark, sf, "events").select("event_id", _short("c_", _text("user_id"), F.col("event_type"), _text("event_id")).alias("claim_id"))
     b = e.select((F.col("event_id") - 1).alias("event_id"), F.col("claim_id").alias("dst_object_id"))
     kinds = F.array(*map(F.lit, ("supports", "contradicts", "derives_from", "supersedes", "cites")))
-    return e.where("event_id % 2 = 0").join(b, "event_id").select(
+    other = F.when(F.col("event_id") % 10 == 8, "shard_missing").when(F.col("event_id") % 2 == 0, "shard_b").otherwise("shard_a")
+    return e.join(b, "event_id").select(
         F.col("claim_id").alias("src_claim_id"),
         F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("relation_type"),
-        F.when(F.col("event_id") % 10 == 8, "shard_missing").otherwise("shard_b").alias("dst_shard_id"),
+        other.alias("dst_shard_id"),
         F.lit("claim").alias("dst_object_type"),
         "dst_object_id",
         ((F.col("event_id") % 10).cast("double") / 10).alias("confidence"),
@@ -62,7 +64,8 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
 def lineage(spark: SparkSession, sf: str) -> DataFrame:
     shard = lambda c: F.concat(F.lit("shard_n"), c.cast("string"))
     action = F.element_at(F.array(F.lit("supersede"), F.lit("amend"), F.lit("retract")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    return read(spark, sf, "nation").where("n_nationkey % 5 <> 0").select(shard(F.col("n_nationkey")).alias("shard_id"), shard(F.col("n_nationkey") - 1).alias("supersedes_shard_id"), action.alias("action"), F.format_string("2024-01-%02dT00:00:00Z", F.col("n_nationkey") + 1).alias("timestamp"), F.lit(None).cast("string").alias("note"))
+    before = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("origin"), F.col("n_nationkey").cast("string"))).otherwise(shard(F.col("n_nationkey") - 1))
+    return read(spark, sf, "nation").select(shard(F.col("n_nationkey")).alias("shard_id"), before.alias("supersedes_shard_id"), action.alias("action"), F.format_string("2024-01-%02dT00:00:00Z", F.col("n_nationkey") + 1).alias("timestamp"), F.lit(None).cast("string").alias("note"))
 
 
 def titled_claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,13 +88,14 @@ class Evidence:
         claim = _short("c_", _text("doc_id"), _text("pos"))
         even = F.col("pos") % 2 == 0
         self.claims = self.lines.select(
-            claim.alias("claim_id"), lang.alias("subject"), F.lit("has_line").alias("predicate"), F.when(even, source).otherwise(F.substring("line", 1, 40)).alias("object"), F.when(even, "entity").otherwise("literal:string").alias("object_type"), (F.col("pos") % 4).cast("int").alias("tier")
+            claim.alias("claim_id"), lang.alias("subject"), F.lit("has_line").alias("predicate"), F.when(even, source).otherwise(F.col("line")).alias("object"), F.when(even, "entity").otherwise("literal:string").alias("object_type"), (F.col("pos") % 4).cast("int").alias("tier")
         )
         self.provenance = self.lines.select(claim.alias("claim_id"), "source_hash", "byte_start", "byte_end")
         span = _short("s_", F.col("source_hash"), _text("byte_start"), _text("byte_end"))
         self.spans = self.lines.select(span.alias("span_id"), "source_hash", "byte_start", "byte_end", F.col("line").alias("text")).distinct()
-        located = self.lines.where("pos % 3 <> 0").groupBy("source_hash", "byte_start", "byte_end").agg(F.min("pos").alias("paragraph_index"))
-        self.locators = located.select(span.alias("span_id"), F.lit("text").alias("kind"), F.lit(0).cast("smallint").alias("page_index"), "paragraph_index")
+        located = self.lines.groupBy("source_hash", "byte_start", "byte_end").agg(F.min("pos").alias("paragraph_index"))
+        moved = F.when(F.col("paragraph_index") % 3 == 0, F.reverse("source_hash")).otherwise(F.col("source_hash"))  # no span has this id
+        self.locators = located.select(_short("s_", moved, _text("byte_start"), _text("byte_end")).alias("span_id"), F.lit("text").alias("kind"), F.lit(0).cast("smallint").alias("page_index"), "paragraph_index")
 
 
 #: The same projections for the oracle.
@@ -101,18 +105,18 @@ ORACLE = {
   case event_type when 'click' then 'chose' when 'view' then 'proposed' when 'purchase' then 'approved' when 'error' then 'rejected' else 'viewed_only' end as predicate,
   json_extract_string(props, '$.k') as object, 'literal:integer' as object_type, (event_id % 4)::int as tier,
   case when event_id % 2 = 0 then 'shard_a' else 'shard_b' end as shard_id from events""",
-    "temporal": """select concat('c_', substr(sha256(concat_ws('|', user_id::varchar, event_type, event_id::varchar)), 1, 24)) as claim_id,
+    "temporal": """select concat('c_', substr(sha256(concat_ws('|', user_id::varchar, case when event_id % 5 = 0 then 'unknown' else event_type end, event_id::varchar)), 1, 24)) as claim_id,
   strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as valid_from,
   case event_id % 3 when 0 then '' when 1 then null else strftime(ts + interval '30' day, '%Y-%m-%dT%H:%M:%SZ') end as valid_until,
-  concat(event_type, ': ', json_extract_string(props, '$.k')) as temporal_context from events where event_id % 5 <> 0""",
+  concat(event_type, ': ', json_extract_string(props, '$.k')) as temporal_context from events""",
     "refs": """select a.claim_id as src_claim_id,
   case a.event_id % 5 when 0 then 'supports' when 1 then 'contradicts' when 2 then 'derives_from' when 3 then 'supersedes' else 'cites' end as relation_type,
-  case when a.event_id % 10 = 8 then 'shard_missing' else 'shard_b' end as dst_shard_id, 'claim' as dst_object_type, b.claim_id as dst_object_id,
+  case when a.event_id % 10 = 8 then 'shard_missing' when a.event_id % 2 = 0 then 'shard_b' else 'shard_a' end as dst_shard_id, 'claim' as dst_object_type, b.claim_id as dst_object_id,
   (a.event_id % 10)::double / 10 as confidence
-  from dclaims a join dclaims b on b.event_id = a.event_id + 1 where a.event_id % 2 = 0""",
-    "lineage": """select concat('shard_n', n_nationkey::varchar) as shard_id, concat('shard_n', (n_nationkey - 1)::varchar) as supersedes_shard_id,
+  from dclaims a join dclaims b on b.event_id = a.event_id + 1""",
+    "lineage": """select concat('shard_n', n_nationkey::varchar) as shard_id, case when n_nationkey % 5 = 0 then concat('origin', n_nationkey::varchar) else concat('shard_n', (n_nationkey - 1)::varchar) end as supersedes_shard_id,
   case n_nationkey % 3 when 0 then 'supersede' when 1 then 'amend' else 'retract' end as action,
-  concat('2024-01-', lpad((n_nationkey + 1)::varchar, 2, '0'), 'T00:00:00Z') as timestamp, null::varchar as note from nation where n_nationkey % 5 <> 0""",
+  concat('2024-01-', lpad((n_nationkey + 1)::varchar, 2, '0'), 'T00:00:00Z') as timestamp, null::varchar as note from nation""",
     "tclaims": """select claim_id, subject, predicate, object, object_type, tier, shard_id from dclaims union all
   select concat('c_title_', subject), subject, 'has_title', concat('Notes of ', subject), 'literal:string', 0, min(shard_id) from dclaims group by subject""",
     "dl": """select doc_id, lang, source, source_hash, pos, line, bend - strlen(line) as byte_start, bend as byte_end from (
@@ -123,12 +127,12 @@ ORACLE = {
   union select distinct concat('e_', substr(sha256(concat('source|', source)), 1, 24)), concat('source:', source) from documents""",
     "claims": """select concat('c_', substr(sha256(concat_ws('|', doc_id::varchar, pos::varchar)), 1, 24)) as claim_id,
   concat('e_', substr(sha256(concat('lang|', lang)), 1, 24)) as subject, 'has_line' as predicate,
-  case when pos % 2 = 0 then concat('e_', substr(sha256(concat('source|', source)), 1, 24)) else substr(line, 1, 40) end as object,
+  case when pos % 2 = 0 then concat('e_', substr(sha256(concat('source|', source)), 1, 24)) else line end as object,
   case when pos % 2 = 0 then 'entity' else 'literal:string' end as object_type, (pos % 4)::int as tier from dl""",
     "provenance": "select concat('c_', substr(sha256(concat_ws('|', doc_id::varchar, pos::varchar)), 1, 24)) as claim_id, source_hash, byte_start, byte_end from dl",
     "spans": "select distinct concat('s_', substr(sha256(concat_ws('|', source_hash, byte_start::varchar, byte_end::varchar)), 1, 24)) as span_id, source_hash, byte_start, byte_end, line as text from dl",
-    "locators": """select concat('s_', substr(sha256(concat_ws('|', source_hash, byte_start::varchar, byte_end::varchar)), 1, 24)) as span_id, 'text' as kind, 0::smallint as page_index, min(pos) as paragraph_index
-  from dl where pos % 3 <> 0 group by source_hash, byte_start, byte_end""",
+    "locators": """select concat('s_', substr(sha256(concat_ws('|', case when paragraph_index % 3 = 0 then reverse(source_hash) else source_hash end, byte_start::varchar, byte_end::varchar)), 1, 24)) as span_id, 'text' as kind, 0::smallint as page_index, paragraph_index
+  from (select source_hash, byte_start, byte_end, min(pos) as paragraph_index from dl group by source_hash, byte_start, byte_end)""",
 }
 NEEDS = {"refs": ["dclaims"], "tclaims": ["dclaims"], "claims": ["dl"], "provenance": ["dl"], "spans": ["dl"], "locators": ["dl"]}
 

@@ -7,7 +7,7 @@ import os
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -77,3 +77,10 @@ def scratch(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/claimlake-{uuid.uuid4().hex}"
     atexit.register(_at_end, spark, path)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its plan runs once, its lineage ends, and Spark knows its size."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
