@@ -19,6 +19,8 @@ from claimlake.runtime import written
 
 #: Bytes of candidates (each counts ROW_BYTES and its strings) in a part.
 PART_BYTES, ROW_BYTES = 2 << 20, 64
+#: Parts of the candidates that have no document.
+NO_ID = 1024
 
 #: (text or None, a list for each used column) -> a list for each result.
 Compute = Callable[..., tuple[list, ...]]
@@ -81,11 +83,12 @@ def beside_text(candidates: DataFrame, docs: DataFrame, use: list[str], result:
     large = written(sizes.select("doc_id", F.ceil(F.col("_bytes") / part_bytes).cast("int").alias("_parts")), "large")
     others = [c for c in candidates.columns if c != "doc_id"]
     row = candidates.select("doc_id", F.struct(*others).alias("_row"), *[F.col(c).alias(f"_use_{c}") for c in use])
-    texts = docs.select("doc_id", F.col("text").alias("_text"))
+    texts = docs.where("doc_id is not null").select("doc_id", F.col("text").alias("_text"))
+    apart = F.pmod(F.xxhash64("_row"), F.when(F.col("doc_id").isNull(), NO_ID))  # rows without an id meet no text anywhere
     if large.isEmpty():
-        row, texts = row.withColumn("_part", F.lit(0)), texts.withColumn("_part", F.lit(0))
+        row, texts = row.withColumn("_part", F.coalesce(apart, F.lit(0)).cast("int")), texts.withColumn("_part", F.lit(0))
     else:  # Spark broadcasts a table as small as that, and knows its size
-        row = row.join(large, "doc_id", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_row"), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+        row = row.join(large, "doc_id", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_row"), "_parts"), apart, F.lit(0)).cast("int")).drop("_parts")
         texts = texts.join(large, "doc_id", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
     both = row.withColumn("_is_text", F.lit(False)).unionByName(texts.withColumn("_is_text", F.lit(True)), allowMissingColumns=True)
     dealt = both.repartition("doc_id", "_part").sortWithinPartitions("doc_id", "_part", "_is_text")

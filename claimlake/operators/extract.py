@@ -7,11 +7,13 @@ extraction_method). A pattern's place is found again by splitting at its matches
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import DATE, MONEY, header_predicate
+from claimlake.operators.beside import beside_text, found_in
 
 #: Line ends that are appended to one another before they are put away.
 PART = 64
@@ -126,12 +128,18 @@ def headings(docs: DataFrame) -> DataFrame:
 
 
 def cross_references(docs: DataFrame) -> DataFrame:
-    """The nearest heading before a reference refers to the section; the first of equal triples of a document stays."""
-    found = matches(docs, UNDER, 1)
-    before = F.substr("text", F.lit(1), F.col("at"))
-    multi = "(?m)" + HEADING
-    heading = F.trim(F.element_at(F.regexp_extract_all(before, F.lit(multi), F.lit(2)), -1))
-    found = found.where(before.rlike(multi)).withColumns({"heading": heading, "e": sentence_around(F.col("text"), F.col("at"), F.length("g0"))})
+    """The nearest heading before a reference refers to the section; the first of equal triples of a document stays. A
+    document's headings and references pass once in order of place; of a heading that goes on behind the reference only
+    what is before it counts."""
+    multi, of_doc = "(?m)" + HEADING, Window.partitionBy("doc_id")
+    title = F.trim("g2")
+    heads = matches(docs, multi, 2).select("doc_id", "at", F.struct(F.col("at").alias("start"), F.col("g0").alias("whole"), title.alias("title"), F.lag(title).over(of_doc.orderBy("at")).alias("before")).alias("head"))
+    refs = matches(docs, UNDER, 1).select("doc_id", "at", F.struct("g1", sentence_around(F.col("text"), F.col("at"), F.length("g0")).alias("e")).alias("ref"))
+    met = heads.unionByName(refs, allowMissingColumns=True).withColumn("head", F.last("head", True).over(of_doc.orderBy("at"))).where("ref is not null and head is not null")
+    cut = F.substr(F.col("head.whole"), F.lit(1), F.col("at") - F.col("head.start"))
+    ends = F.col("head.start") + F.length("head.whole") <= F.col("at")
+    heading = F.when(ends, F.col("head.title")).when(cut.rlike(multi), F.trim(F.regexp_extract(cut, multi, 2))).otherwise(F.col("head.before"))
+    found = met.select("doc_id", "at", heading.alias("heading"), "ref.g1", "ref.e").where("heading is not null")
     first = F.row_number().over(Window.partitionBy("doc_id", "heading", "g1").orderBy("at"))
     found = found.withColumn("first", first).where("first = 1")
     return _candidates(found, F.col("heading"), F.lit("references"), F.concat(F.lit("Family Code § "), "g1"), F.col("e"), 1, "tier1_crossref", "entity")
@@ -170,4 +178,6 @@ def mentions(chunks: DataFrame) -> DataFrame:
 
 def in_source(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates whose evidence occurs in their document."""
-    return in_document(candidates, docs, _there=lambda text, c: text.contains(c["evidence"])).where("_there").drop("_there")
+    counts = [("_apart", "int", pa.int32()), ("_places", "int", pa.int32())]
+    found = beside_text(candidates, docs, ["evidence"], counts, found_in)
+    return found.where("_places > 0 or (evidence = '' and _places is not null)").drop("_apart", "_places")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.runtime import deep
+from claimlake.operators.closure import reach
 from claimlake.sources import store
 
 
@@ -48,19 +46,10 @@ def broken_references(refs: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def lineage_closure(lineage: DataFrame) -> DataFrame:
-    """root, cur, depth: everything that a shard supersedes, directly or through others; a cycle ends where it would
-    come back. A recursive common table expression carries the path."""
-    spark = deep(lineage.sparkSession)
-    view = f"lineage_{uuid.uuid4().hex}"
-    lineage.select("shard_id", "supersedes_shard_id").createOrReplaceTempView(view)
-    return spark.sql(
-        f"""with recursive chain(root, cur, depth, path) as (
-              select shard_id, supersedes_shard_id, 1, array(shard_id, supersedes_shard_id) from {view}
-              union all
-              select c.root, l.supersedes_shard_id, c.depth + 1, array_append(c.path, l.supersedes_shard_id)
-              from chain c join {view} l on l.shard_id = c.cur where not array_contains(c.path, l.supersedes_shard_id))
-            select root, cur, depth from chain"""
-    )
+    """root, cur, depth: everything that a shard supersedes, directly or through others, with the fewest steps; never
+    itself. Found by doubling, so a chain of n takes log2(n) rounds."""
+    found = reach(lineage.select(F.col("shard_id").alias("a"), F.col("supersedes_shard_id").alias("b")))
+    return found.select("root", "cur", "depth")
 
 
 def _same(left: DataFrame, keys: list[str]) -> Column:

@@ -73,14 +73,14 @@ def authority_chain(spark, sf):
 @register(
     f"""with recursive {GIVEN}, {CHAINS}, m as ({MATCHES}), ranked as (
   select *, row_number() over (partition by request_id order by (constraint_type <> 'FSCM')::int, list_position({list(constraints.PRECEDENCE)}, constraint_type), shard_id, claim_id) as k, count(*) over (partition by request_id) as n_matches from m),
-revocations as (select list(distinct 'delegation_revoked:' || object order by 'delegation_revoked:' || object) as gone from claims where predicate = 'REVOKES'),
+revocations as (select c.actor, list(distinct 'delegation_revoked:' || object order by 'delegation_revoked:' || object) as gone from chains c join claims v on predicate = 'REVOKES' and list_contains(string_split(upper(chain), '>'), upper(object)) group by c.actor),
 judged as (select r.request_id, r.actor, m.claim_id, m.constraint_type, m.n_matches, upper(r.actor) in (select upper(object) from claims where predicate = 'REVOKES') as revoked,
   case when m.claim_id is null or upper(r.actor) in (select upper(object) from claims where predicate = 'REVOKES') then 'deny' when m.predicate = 'PROHIBITS' then 'deny' when m.predicate = 'PERMITS' then 'permit' else 'conditional' end as status
   from requests r left join ranked m on m.request_id = r.request_id and m.k = 1)
 select request_id, status, claim_id as controlling_constraint, constraint_type, coalesce(n_matches, 0)::bigint as n_matches, chain,
-  array_to_string(list_concat(gone, list_concat(case when cycle then ['delegation_cycle_detected'] else [] end, case when claim_id is null then ['deny_by_default'] when revoked then ['actor_authority_revoked:' || j.actor] else [] end)), ';') as notes,
+  array_to_string(list_concat(coalesce(gone, []), list_concat(case when cycle then ['delegation_cycle_detected'] else [] end, case when claim_id is null then ['deny_by_default'] when revoked then ['actor_authority_revoked:' || j.actor] else [] end)), ';') as notes,
   (case when claim_id is null then 0.5 when status = 'permit' then 0.9 when status = 'deny' then 0.85 else 0.6 end)::double as confidence
-from judged j join chains c on c.actor = j.actor, revocations"""
+from judged j join chains c on c.actor = j.actor left join revocations v on v.actor = j.actor"""
 )
 def constraint_decision(spark, sf):
     return constraints.decide(_requests(spark, sf), _rules(spark, sf)).withColumns({"chain": F.array_join("chain", ">"), "notes": F.array_join("notes", ";")})

@@ -35,13 +35,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def deep(spark: SparkSession) -> SparkSession:
-    """Recursive queries end by their own condition, not at a hundred levels or a million rows."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
-    return spark
-
-
 #: Used only where the session names no shared folder and runs on one machine, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints/claimlake"
 

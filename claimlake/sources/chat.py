@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions.scalar import epoch_iso, normal_timestamp
-from claimlake.runtime import deep
+from claimlake.operators.closure import follow
 
 _CLAUDE = "array<struct<uuid string, name string, created_at string, chat_messages array<struct<uuid string, sender string, text string, created_at string>>>>"
 _MESSAGE = "struct<id string, author struct<role string>, role string, create_time double, content struct<parts array<string>>>"
@@ -43,25 +43,15 @@ def _claude(docs: DataFrame) -> DataFrame:
 
 def tree_path(nodes: DataFrame) -> DataFrame:
     """nodes (path, conv, node, parent, create_time, ...) -> those on the way from the root along the last child by
-    time, with ``pos``. Each round of the recursion steps down all conversations at once."""
-    import uuid
-
-    from pyspark.sql.window import Window
-
-    spark, view = deep(nodes.sparkSession), f"tree_{uuid.uuid4().hex}"
-    last = F.row_number().over(Window.partitionBy("path", "conv", "parent").orderBy(F.desc_nulls_last("create_time"), F.desc("node")))
-    best = nodes.withColumn("k", last).where("k = 1").select("path", "conv", "node", "parent")
+    time, with ``pos``. Steps are doubled each round, in all conversations at once."""
+    at = lambda c: F.to_json(F.struct("path", "conv", F.col(c).alias("node")))
+    last = F.struct(F.col("create_time").isNotNull().alias("known"), "create_time", "node")
+    best = nodes.where("parent is not null").groupBy("path", "conv", "parent").agg(F.max(last)["node"].alias("node"))
     known = nodes.select("path", "conv", F.col("node").alias("parent"))
     roots = nodes.join(known, ["path", "conv", "parent"], "left_anti").groupBy("path", "conv").agg(F.min("node").alias("node"))
-    best.createOrReplaceTempView(view)
-    roots.createOrReplaceTempView(f"{view}_roots")
-    return spark.sql(
-        f"""with recursive walk(path, conv, node, pos) as (
-              select path, conv, node, 0 from {view}_roots
-              union all
-              select w.path, w.conv, b.node, w.pos + 1 from walk w join {view} b on b.path = w.path and b.conv = w.conv and b.parent = w.node)
-            select * from walk"""
-    )
+    walked = follow(roots.select(at("node").alias("start")), best.select(at("parent").alias("node"), at("node").alias("to")))
+    node = F.from_json("node", "path string, conv int, node string").alias("n")
+    return walked.select(node, F.col("pos").cast("int").alias("pos")).select("n.path", "n.conv", "n.node", "pos")
 
 
 def _openai(docs: DataFrame) -> DataFrame:
