@@ -82,8 +82,7 @@ DATE = r"\b(\d{4}-\d{2}-\d{2}|\w+\s+\d{1,2},\s+\d{4})\b"
 BOOLEAN = r"(?i)^(?:true|false|yes|no)$"
 INTEGER = r"^-?\d{1,15}$"
 DECIMAL = r"^-?\d+\.\d+$"
-UNITS = "%|mg|kg|g|ml|l|mm|cm|m|km|lb|oz|ft|in|hr|min|sec|days?|weeks?|months?|years?|mph|km/h|kph|psi|mmHg|°[CF]|USD|EUR|GBP|\\$"
-QUANTITY = rf"(?i)^-?\d[\d,.]*\s*(?:{UNITS})s?$"
+QUANTITY = r"(?i)^-?\d[\d,.]*\s*(?:%|mg|kg|g|ml|l|mm|cm|m|km|lb|oz|ft|in|hr|min|sec|days?|weeks?|months?|years?|mph|km/h|kph|psi|mmHg|°[CF]|USD|EUR|GBP|\$)s?$"
 DATE_VALUE = r"(?i)^(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{1,2},?\s+\d{4})$"
 ACRONYM = r"(?:(?:The|A|An)\s+)?([A-Z][a-zA-Z]+(?:\s+[a-zA-Z]+){0,4})\s+\(([A-Z][A-Z0-9]{1,5})\)"
 
@@ -189,20 +188,31 @@ CONCEPTS = {
     "stockholdersequity": (7, 1, 20), "retainedearnings": (7, 1, 21),
     "revenues": (7, 2, 1), "revenue": (7, 2, 1), "costofrevenue": (7, 2, 10), "grossprofit": (7, 2, 11), "operatingincome": (7, 2, 13), "netincome": (7, 2, 20),
 }
-TIME_WORDS = "date time year month quarter period timestamp duration interval fiscal".split()
-QUANTITY_WORDS = "amount total count number rate ratio percent revenue cost price earnings income loss profit dosage dose volume weight measure score".split()
+TIME_WORDS = ("date", "time", "year", "month", "quarter", "period", "timestamp", "duration", "interval", "fiscal")
+QUANTITY_WORDS = (
+    "amount", "total", "count", "number", "rate", "ratio", "percent", "revenue", "cost", "price", "earnings", "income", "loss", "profit",
+    "dosage", "dose", "volume", "weight", "measure", "score",
+)
 QUANTITY_TEXT = r"\$|%|usd|eur|\d+\s*(mg|kg|ml|g|lb)"
 LOCATION_WORDS = (
-    "city country region area zone sector district location address coordinate grid position site hospital facility base installation "
-    "france paris london berlin tokyo beijing moscow usa uk germany japan china russia canada australia street avenue road highway port harbor airport"
-).split()
-ACTION_WORDS = "event operation attack procedure treatment process transaction transfer payment purchase sale decision announcement mandate requirement".split()
-ABSTRACT_WORDS = "claim fact statement concept theory opinion belief narrative hypothesis assertion conclusion policy doctrine rule constraint roe".split()
-PERSON_WORDS = "person individual personnel officer soldier patient".split()
+    "city", "country", "region", "area", "zone", "sector", "district", "location", "address", "coordinate", "grid", "position", "site",
+    "hospital", "facility", "base", "installation", "france", "paris", "london", "berlin", "tokyo", "beijing", "moscow", "usa", "uk", "germany",
+    "japan", "china", "russia", "canada", "australia", "street", "avenue", "road", "highway", "port", "harbor", "airport",
+)
+ACTION_WORDS = (
+    "event", "operation", "attack", "procedure", "treatment", "process", "transaction", "transfer", "payment", "purchase", "sale", "decision",
+    "announcement", "mandate", "requirement",
+)
+ABSTRACT_WORDS = (
+    "claim", "fact", "statement", "concept", "theory", "opinion", "belief", "narrative", "hypothesis", "assertion", "conclusion", "policy",
+    "doctrine", "rule", "constraint", "roe",
+)
+PERSON_WORDS = ("person", "individual", "personnel", "officer", "soldier", "patient")
 ENTITY_WORDS = (
-    "organization company corp inc llc ltd agency department ministry bureau unit force command person individual personnel officer soldier patient "
-    "dr mr mrs ms gen col maj sgt pvt lt product drug medication device system platform document report manual regulation directive order"
-).split()
+    "organization", "company", "corp", "inc", "llc", "ltd", "agency", "department", "ministry", "bureau", "unit", "force", "command", "person",
+    "individual", "personnel", "officer", "soldier", "patient", "dr", "mr", "mrs", "ms", "gen", "col", "maj", "sgt", "pvt", "lt", "product",
+    "drug", "medication", "device", "system", "platform", "document", "report", "manual", "regulation", "directive", "order",
+)
 MAJOR_NAMES = {1: "Entity", 2: "Action", 3: "Property", 4: "Relation", 5: "Location", 6: "Time", 7: "Quantity", 8: "Abstract"}
 TYPE_NAMES = {
     (1, 1): "Organization", (1, 2): "Person", (1, 3): "Product", (1, 4): "Service", (1, 5): "Document", (1, 6): "System",

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField
 from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import context_similarity, improvement_pct
-from claimlake.operators.scan import ordered_scan
+from claimlake.operators import openers
 
 #: Thresholds of adoption, promotion and shadow tests.
 CONTEXT_AT_LEAST, IMPROVEMENT_AT_LEAST, SAMPLES = 0.6, 0.1, 10
@@ -61,14 +60,8 @@ def latest(rows: DataFrame, key: str, order: str, most: int = RING) -> DataFrame
 
 def windows_from_first(records: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """records (rule_id, ts double, value) -> window (number from 0), opened by the first record after the last one
-    expired. Each window's start depends on the one before, so this is a scan in order of ts."""
-
-    def step(state: dict, row: tuple) -> int:
-        if state["until"] is None or row[1] > state["until"]:
-            state["n"], state["until"] = state["n"] + 1, row[1] + seconds
-        return state["n"]
-
-    return ordered_scan(records.select("rule_id", "ts", "value"), "rule_id", ["ts", "value"], StructField("window", LongType()), lambda: {"n": -1, "until": None}, step)
+    expired. Records without a rule or time have none and are left out."""
+    return openers.windows(records.select("rule_id", "ts", "value"), "rule_id", "ts", seconds)
 
 
 def judge(windowed: DataFrame, baseline: Column, recent: int = RECENT) -> DataFrame:
@@ -98,15 +91,14 @@ def requirements(edges: DataFrame) -> DataFrame:
     return edges.groupBy("bundle_id").agg(F.array_sort(both).alias("entities"), F.array_sort(F.collect_set("predicate")).alias("predicates"))
 
 
-def allowed_sends(sends: DataFrame, per_minute: int) -> DataFrame:
-    """sends (bundle_id, ts double) in order: one is allowed 60 / per_minute seconds after the last allowed one."""
-
-    def step(state: dict, row: tuple) -> bool:
-        ok = state["last"] is None or row[1] - state["last"] >= 60 / per_minute
-        state["last"] = row[1] if ok else state["last"]
-        return ok
-
-    return ordered_scan(sends.select("bundle_id", "ts"), "bundle_id", ["ts"], StructField("allowed", BooleanType()), lambda: {"last": None}, step)
+def allowed_sends(sends: DataFrame, per_minute: float) -> DataFrame:
+    """sends (bundle_id, ts double) with allowed: one is allowed 60 / per_minute seconds after the last allowed one; of sends
+    at one time only one can be."""
+    at = sends.where("bundle_id is not null and ts is not null").groupBy("bundle_id", "ts").agg(F.count("*").alias("_n"))
+    opened = openers.openers(sends.select(F.col("bundle_id").alias("key"), F.col("ts").alias("t")), 60 / per_minute, strict=False)
+    opened = opened.select(F.col("key").alias("bundle_id"), F.col("t").alias("ts"), F.lit(True).alias("_opens"))
+    each = at.join(opened, ["bundle_id", "ts"], "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return each.select("bundle_id", "ts", ((F.col("_i") == 1) & F.coalesce("_opens", F.lit(False))).alias("allowed"))
 
 
 def next_state(state: str, samples: int, recommendation: str, running: int, review: bool = True) -> str:

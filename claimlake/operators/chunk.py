@@ -27,7 +27,10 @@ CASE = r"(?i)(?:In\s+re\s+Marriage\s+of\s+\w+|\w+\s+v\.?\s+\w+\s*\(\d{4}\)|\*[^*
 SECTION = r"(?i)(?:(?:California\s+)?(?:Family\s+Code|Fam\.?\s*Code|Evidence\s+Code|Code\s+of\s+Civil\s+Procedure|CCP|Penal\s+Code)\s*)?§+\s*\d+(?:\.\d+)?(?:\([a-zA-Z0-9]+\))*"
 ALONE = ("HEADING", "VERBATIM", "SANCTION", "DEADLINE")
 #: Words whose full stop ends no sentence.
-ABBREVIATIONS = "dr mr mrs ms prof sr jr st vs etc e.g i.e fig no inc ltd co corp al approx dept est cf vol pp".split()
+ABBREVIATIONS = (
+    "dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "vs", "etc", "e.g", "i.e", "fig", "no", "inc", "ltd", "co", "corp", "al", "approx",
+    "dept", "est", "cf", "vol", "pp",
+)
 
 
 def role(text: Column) -> Column:

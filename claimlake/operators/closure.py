@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from claimlake.runtime import written
 
-#: Up to so many steps go with the tasks that walk them; rounds of doubling take more.
-FEW_STEPS = 1000
+#: Up to so many steps (about 20 MB) go with the tasks that walk them; rounds of doubling take more.
+FEW_STEPS = 150_000
 
 
 def _round(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict]:
@@ -49,13 +49,15 @@ def follow(starts: DataFrame, steps: DataFrame, few: int = FEW_STEPS) -> DataFra
     """starts (start) and steps (node, to), one ``to`` for a node -> start, pos, node, again: the nodes from a start (at 0) on,
     each where it comes first; ``again`` holds on some row of a start whose path comes back to one of them.
 
-    Up to ``few`` steps are walked by the tasks that hold the starts. For more, before round k a table holds what is 2 ** k steps on from each node that has so much ahead of it, and the paths up to
+    Up to ``few`` steps (a bound on what the driver and each task hold) are walked where the starts are. For more, before round
+    k a table holds what is 2 ** k steps on from each node that has so much ahead of it, and the paths up to
     that length; both meet it once more. It ends when no path grew."""
     steps = steps.where("node is not null and to is not null").distinct()
     first = starts.where("start is not null").distinct()
-    held = steps.limit(few + 1).collect()
-    if len(held) <= few:
-        return _walked(first, {r["node"]: r["to"] for r in held})
+    held = steps.limit(few + 1).toArrow()
+    if held.num_rows <= few:
+        return _walked(first, dict(zip(held["node"].to_pylist(), held["to"].to_pylist(), strict=True)))
+    del held
     path = first.select(F.lit(True).alias("is_path"), F.col("start").alias("a"), F.col("start").alias("b"), F.lit(0).cast("long").alias("pos"), F.lit(False).alias("again"))
     jump = steps.select(F.lit(False).alias("is_path"), F.col("node").alias("a"), F.col("to").alias("b"), F.lit(1).cast("long").alias("pos"), F.lit(False).alias("again"))
     paths, counts = _round(path.unionByName(jump), "paths", n=F.count_if("is_path"), jumps=F.count_if(~F.col("is_path")))

@@ -14,9 +14,15 @@ from pyspark.sql.window import Window
 from claimlake.functions.scalar import clean_topic
 
 #: Predicates that record a decision; months; words that no keyword search looks for.
-DECISIONS = "decided chose selected rejected confirmed proposed revised superseded approved committed adopted abandoned deferred pivoted discovered".split()
-MONTHS = "january february march april may june july august september october november december".split()
-COMMON = set("what when where which that this have from with about show find tell give list know does your were there their would could should".split())
+DECISIONS = (
+    "decided", "chose", "selected", "rejected", "confirmed", "proposed", "revised", "superseded", "approved", "committed", "adopted",
+    "abandoned", "deferred", "pivoted", "discovered",
+)
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+COMMON = (
+    "what", "when", "where", "which", "that", "this", "have", "from", "with", "about", "show", "find", "tell", "give", "list", "know", "does",
+    "your", "were", "there", "their", "would", "could", "should",
+)
 LIMIT = 50
 DEFAULT_YEAR = "2026"
 TITLE = "has_title"

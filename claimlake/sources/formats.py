@@ -32,6 +32,7 @@ def plain(data: bytes) -> Parsed:
 class _Blocks(HTMLParser):
     """Text by block elements; what is inside skipped elements is lost."""
 
+    #: Elements that are blocks of text, and elements that are passed over.
     BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre"}
     SKIPPED = {"script", "style", "nav", "footer", "header"}
 

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
-from claimlake.operators import beside, bind, closure, constraints, validate
+from claimlake.operators import adaptive, beside, bind, closure, constraints, openers, validate
 from claimlake.sources import chat
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,12 +110,13 @@ def test_closure_has_the_least_depths(spark, edges):
 def test_a_chain_of_ten_thousand_links(spark):
     n, rounds = 10_000, []
     claims = spark.range(n).selectExpr("concat('c', lpad(id, 6, '0')) as claim_id", "concat('a', id) as subject", "'DELEGATES_TO' as predicate", "concat('a', id + 1) as object", "'s' as shard_id")
-    written = closure.written
+    written, follow = closure.written, constraints.follow
     closure.written = lambda df, name: rounds.append(name) or written(df, name)
+    constraints.follow = lambda a, b: follow(a, b, 0)
     try:
         chain = constraints.authority_chain(spark.createDataFrame([("a0",), ("a9990",)], "actor string"), claims).collect()
     finally:
-        closure.written = written
+        closure.written, constraints.follow = written, follow
     assert {r["actor"]: len(r["chain"]) for r in chain} == {"a0": n + 1, "a9990": 11} and not any(r["cycle"] for r in chain)
     assert {r["actor"]: r["chain"] for r in chain}["a9990"] == [f"a{i}" for i in range(9990, n + 1)]
     assert len(rounds) <= 16  # the table of single steps, fourteen rounds, and the one in which nothing grows
@@ -124,8 +125,13 @@ def test_a_chain_of_ten_thousand_links(spark):
 def test_a_conversation_of_many_turns(spark):
     nodes = spark.range(2000).selectExpr("'p' as path", "0 as conv", "concat('n', id) as node", "if(id = 0, null, concat('n', id - 1)) as parent", "double(id) as create_time")
     branch = spark.createDataFrame([("p", 0, "x", "n5", 1.0), ("p", 0, "y", "x", 9e9)], nodes.schema)
-    got = chat.tree_path(nodes.unionByName(branch)).orderBy("pos").collect()
-    assert [r["node"] for r in got] == [f"n{i}" for i in range(2000)] and [r["pos"] for r in got] == list(range(2000))
+    for few in (0, closure.FEW_STEPS):
+        follow, chat.follow = chat.follow, lambda a, b, few=few: closure.follow(a, b, few)
+        try:
+            got = chat.tree_path(nodes.unionByName(branch)).orderBy("pos").collect()
+        finally:
+            chat.follow = follow
+        assert [r["node"] for r in got] == [f"n{i}" for i in range(2000)] and [r["pos"] for r in got] == list(range(2000))
 
 
 def test_notes_name_the_revocations_of_the_chain(spark):
@@ -138,3 +144,36 @@ def test_notes_name_the_revocations_of_the_chain(spark):
     assert got["r"]["notes"] == ["delegation_revoked:z", "actor_authority_revoked:Z"] and got["r"]["status"] == "deny"
     every = {r["request_id"]: r["notes"] for r in constraints.decide(requests, claims, all_revocations=True).collect()}
     assert every["q"] == ["delegation_revoked:B", "delegation_revoked:z"]
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60)), max_size=40), st.sampled_from([1.0, 3.0, 10.0]), st.booleans(), st.sampled_from([0, 1000]))
+@settings(max_examples=10, deadline=None)
+def test_openers_are_what_a_scan_opens(spark, rows, span, strict, few):
+    want, last = [], {}
+    for key, t in sorted(set(rows)):
+        if key not in last or (t / 4 > last[key][1] + span if strict else t / 4 >= last[key][1] + span):
+            last[key] = (last[key][0] + 1 if key in last else 0, t / 4)
+            want.append((key, *last[key]))
+    points = spark.createDataFrame([(k, t / 4) for k, t in [*rows, *rows[:3]]] + [(None, 1.0), (1, None)], "key int, t double")
+    follow = openers.follow
+    openers.follow = lambda a, b: follow(a, b, few)
+    try:
+        assert sorted(tuple(r) for r in openers.openers(points, span, strict).collect()) == want
+    finally:
+        openers.follow = follow
+
+
+def test_windows_of_a_rule_over_many_buckets(spark):
+    draw = random.Random(3)
+    times = sorted(draw.choice([draw.random() * 50, draw.random() * 4_000_000]) for _ in range(400))
+    rows = [("r", t, 1.0) for t in times] + [("s", 5.0, 2.0), ("s", 5.0, 3.0)]
+    got = sorted((r["rule_id"], r["ts"], r["window"]) for r in adaptive.windows_from_first(spark.createDataFrame(rows, "rule_id string, ts double, value double"), 7).collect())
+    want, until, n = [], None, -1
+    for t in times:
+        if until is None or t > until:
+            until, n = t + 7, n + 1
+        want.append(("r", t, n))
+    assert got == [*want, ("s", 5.0, 0), ("s", 5.0, 0)]
+    sends = spark.createDataFrame([("b", 0.0), ("b", 0.0), ("b", 29.0), ("b", 30.0), ("c", 1.0)], "bundle_id string, ts double")
+    allowed = sorted(tuple(r) for r in adaptive.allowed_sends(sends, 2).collect())
+    assert allowed == [("b", 0.0, False), ("b", 0.0, True), ("b", 29.0, False), ("b", 30.0, True), ("c", 1.0, True)]
