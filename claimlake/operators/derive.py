@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import MAJOR_NAMES, TYPE_NAMES, coordinates, extract_date, is_temporal
+from claimlake.operators.prefix import running
 
 
 def temporal(claims: DataFrame) -> DataFrame:
@@ -17,17 +17,11 @@ def temporal(claims: DataFrame) -> DataFrame:
 
 
 def coords(entities: DataFrame) -> DataFrame:
-    """entity_id, major, type, subtype, instance. Instances count up within a coordinate by entity_id. A frequent
-    coordinate is counted in salted parts whose sizes are added up, so it is never one task's."""
-    at = entities.select("entity_id", "label", coordinates(F.col("label")).alias("at")).select("entity_id", "label", "at.*")
-    key = ["major", "type", "subtype"]
-    salted = at.withColumn("salt", F.substring("entity_id", 1, 4))  # keeps the order of ids, which are hashes
-    sizes = salted.groupBy(*key, "salt").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(*key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*key, "salt", before.alias("base"))
-    own = F.row_number().over(Window.partitionBy(*key, "salt").orderBy("entity_id"))
-    out = salted.withColumn("own", own).join(sizes, [*key, "salt"]).withColumn("n", F.col("base") + F.col("own"))
-    instance = F.format_string("%02d-%02d-%02d-%04d", "major", "type", "subtype", "n")
+    """entity_id, major, type, subtype, instance. Instances count up within a coordinate by entity_id, by ranges of both, so a
+    frequent coordinate is never one task's whatever its ids look like."""
+    at = entities.select("entity_id", "label", coordinates(F.col("label")).alias("at")).select("entity_id", "label", "at.*", F.lit(1).alias("one"))
+    out = running(at, "one", ["entity_id", "label"], ("major", "type", "subtype"))
+    instance = F.format_string("%02d-%02d-%02d-%04d", "major", "type", "subtype", (F.col("before") + 1).cast("long"))
     return out.select("entity_id", "label", "major", "type", "subtype", instance.alias("instance"))
 
 

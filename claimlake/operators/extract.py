@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import DATE, MONEY, header_predicate
 from claimlake.operators.beside import beside_text, found_in
+from claimlake.operators.prefix import running
 
 #: Line ends that are appended to one another before they are put away.
 PART = 64
@@ -63,13 +64,13 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def source_offsets(files: DataFrame) -> DataFrame:
-    """files (path, text) -> path, byte_start, byte_end in their concatenation by path, each under a header line."""
+    """files (path, text) -> path, byte_start, byte_end in their concatenation by path, each under a header line. Sizes add up
+    by ranges of paths."""
     header = F.concat(F.lit("=== "), "path", F.lit(" ===\n"))
-    size = (F.octet_length(header) + F.octet_length("text") + 1).cast("long")
-    order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    sized = files.select("path", F.octet_length(header).cast("long").alias("h"), F.octet_length("text").cast("long").alias("n"), size.alias("size"))
-    start = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("h")
-    return sized.select("path", start.alias("byte_start"), (start + F.col("n")).alias("byte_end"))
+    sized = files.select("path", F.octet_length(header).cast("long").alias("h"), F.octet_length("text").cast("long").alias("n"))
+    placed = running(sized.withColumn("size", F.col("h") + F.col("n") + 1), "size", ["path"])
+    start = F.col("before") + F.col("h")
+    return placed.select("path", start.alias("byte_start"), (start + F.col("n")).alias("byte_end"))
 
 
 def matches(docs: DataFrame, pattern: str, *groups: int) -> DataFrame:

@@ -426,10 +426,13 @@ def aes_roundtrip(spark, sf):
     return c.select("doc_id", F.octet_length("c").cast("long").alias("size"), (opened(F.col("aad")) == F.col("text")).alias("same"), opened(F.concat("aad", F.lit("0"))).isNull().alias("bound"))
 
 
-@register()
+@register(
+    """with recursive t(l) as (select list(unhex(sha256('\\x00'::blob || encode(doc_id::varchar || ':' || text))) order by doc_id) from documents union all
+  select list_transform(range(1, (len(l) + 1) // 2 + 1), lambda k: case when 2 * k <= len(l) then unhex(sha256('\\x01'::blob || l[2 * k - 1] || l[2 * k])) else l[2 * k - 1] end) from t where len(l) > 1)
+select lower(hex(l[1])) as root, (select count(*) from documents) as n_leaves from t where len(l) = 1"""
+)
 def merkle_root(spark, sf):
-    leaves = [f"{r['n_nationkey']}:{r['n_name']}".encode() for r in read(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25 rows
-    return rows(spark, "root string", [(shards.merkle_root(leaves),)])
+    return shards.merkle_tree(read(spark, sf, "documents").select("doc_id", F.concat_ws(":", "doc_id", "text").alias("leaf")), "doc_id", "leaf")
 
 
 # --- the SQL surface ---------------------------------------------------------------------------------------------------------------

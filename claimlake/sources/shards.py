@@ -6,7 +6,9 @@ import hashlib
 import hmac
 import json
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from claimlake import schema
 from claimlake.functions import ids
 from claimlake.functions.scalar import byte_exact
 from claimlake.operators import validate
+from claimlake.operators.prefix import running
+from claimlake.runtime import written
 from claimlake.sources import store
 
 SPEC = "1.0.0"
@@ -30,22 +34,65 @@ class ShardError(ValueError):
         self.code = code
 
 
+#: Leaves of a subtree that one task hashes; a power of two, so that subtrees are whole nodes of the tree above.
+SUBTREE = 1024
+SUITES = ("promote", "duplicate")
+
+
+def _leaf(data: bytes, suite: str) -> bytes:
+    return hashlib.sha256(data if suite == "duplicate" else b"\x00" + data).digest()
+
+
+def _above(level: list[bytes], suite: str) -> list[bytes]:
+    """The next level up. Suite ``promote`` tells leaves and nodes apart and carries an odd node up as it is; the older
+    ``duplicate`` hashes them alike and pairs an odd node with itself."""
+    if suite == "duplicate":
+        return [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
+    return [hashlib.sha256(b"\x01" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+
+
 def merkle_root(leaves: list[bytes], suite: str = "promote") -> str:
-    """SHA-256 over leaves and nodes. Suite ``promote`` separates the two and carries an odd node up as it is; the
-    older ``duplicate`` hashes them alike and pairs an odd node with itself."""
-    if suite not in ("promote", "duplicate"):
+    """SHA-256 over leaves and nodes."""
+    if suite not in SUITES:
         raise ValueError(suite)
-    if suite == "duplicate":
-        level = [hashlib.sha256(leaf).digest() for leaf in leaves] or [hashlib.sha256(b"").digest()]
-        while len(level) > 1:
-            level = [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
-        return level[0].hex()
-    level = [hashlib.sha256(b"\x00" + leaf).digest() for leaf in leaves] or [hashlib.sha256(b"").digest()]
+    level = [_leaf(x, suite) for x in leaves] or [hashlib.sha256(b"").digest()]
     while len(level) > 1:
-        level = [hashlib.sha256(b"\x01" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        level = _above(level, suite)
     return level[0].hex()
 
 
+def _subtree(suite: str, subtree: int, raw: bool, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Neighbours (i, hash) to the node above all of them; beside others, an only node still has its levels to go."""
+
+    def up(frame: pd.DataFrame) -> pd.DataFrame:
+        level = [_leaf(x, suite) if raw else x for x in frame.sort_values("i")["hash"]]
+        rounds = 0
+        while len(level) > 1 or (not last and suite == "duplicate" and 1 << rounds < subtree):
+            level, rounds = _above(level, suite), rounds + 1
+        return pd.DataFrame({"i": [frame["i"].iloc[0] // subtree], "hash": [bytes(level[0])]})
+
+    return up
+
+
+def merkle_tree(leaves: DataFrame, order: str, leaf: str, suite: str = "promote", subtree: int = SUBTREE) -> DataFrame:
+    """leaves (order, leaf: string or binary) of any number -> one row: root, n_leaves; the root that ``merkle_root`` gives of
+    them in order. Leaves are numbered by ranges of the order; a subtree of ``subtree`` neighbours is one row of its task, and
+    its root a leaf of the next round, until there is one."""
+    if suite not in SUITES:
+        raise ValueError(suite)
+    n = leaves.count()
+    if not n:
+        return leaves.sparkSession.createDataFrame([(merkle_root([], suite), 0)], "root string, n_leaves long")
+    placed = running(leaves.select(F.col(order).alias("order"), F.col(leaf).cast("binary").alias("hash"), F.lit(1).alias("one")), "one", ["order", "hash"])
+    nodes = placed.select(F.col("before").cast("long").alias("i"), "hash")
+    left, first = n, True
+    while first or left > 1:
+        up = _subtree(suite, subtree, first, left <= subtree)
+        nodes = written(nodes.groupBy(F.floor(F.col("i") / subtree)).applyInPandas(up, "i long, hash binary"), "nodes")
+        left, first = -(-left // subtree), False
+    return nodes.select(F.lower(F.hex("hash")).alias("root"), F.lit(n).cast("long").alias("n_leaves"))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """path (below the shard) and sha256 of each sealed file, hashed where they are read."""
     parts = [f"{path}/{n}" for n in store.names(spark, path) if n in SEALED]

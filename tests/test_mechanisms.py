@@ -4,8 +4,8 @@ import random
 
 import pyarrow as pa
 import pytest
-from claimlake.operators import adaptive, beside, bind, closure, constraints, openers, validate
-from claimlake.sources import chat
+from claimlake.operators import adaptive, beside, bind, closure, constraints, openers, prefix, validate
+from claimlake.sources import chat, shards
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -177,3 +177,21 @@ def test_windows_of_a_rule_over_many_buckets(spark):
     sends = spark.createDataFrame([("b", 0.0), ("b", 0.0), ("b", 29.0), ("b", 30.0), ("c", 1.0)], "bundle_id string, ts double")
     allowed = sorted(tuple(r) for r in adaptive.allowed_sends(sends, 2).collect())
     assert allowed == [("b", 0.0, False), ("b", 0.0, True), ("b", 29.0, False), ("b", 30.0, True), ("c", 1.0, True)]
+
+
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_running_sums_by_ranges(spark, ranges):
+    draw = random.Random(8)
+    rows = [(draw.choice(["hot", "hot", "hot", "a", None]), i, draw.randrange(9)) for i in range(300)]
+    got = {(r["k"], r["i"]): r["before"] for r in prefix.running(spark.createDataFrame(rows, "k string, i int, v int").repartition(5), "v", ["i"], ("k",), ranges).collect()}
+    assert got == {(k, i): sum(v for q, j, v in rows if q == k and j < i) for k, i, _ in rows}
+    assert prefix.running(spark.createDataFrame([], "k string, i int, v int"), "v", ["i"], ("k",)).collect() == []
+
+
+@pytest.mark.parametrize("suite", ["promote", "duplicate"])
+def test_merkle_tree_is_the_root_of_all_leaves(spark, suite):
+    for n in (0, 1, 2, 5, 8, 9, 33, 37):
+        leaves = [f"leaf {i}" for i in range(n)]
+        df = spark.createDataFrame(list(enumerate(leaves)), "i int, leaf string").repartition(3)
+        for subtree in (4, 1024) if n < 9 else (4,):
+            assert shards.merkle_tree(df, "i", "leaf", suite, subtree).first()[0] == shards.merkle_root([x.encode() for x in leaves], suite)
