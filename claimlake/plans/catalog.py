@@ -10,6 +10,7 @@ from claimlake.operators import adaptive, bind, chunk, constraints, decisions, d
 from claimlake.plans import projections as p
 from claimlake.plans.projections import read
 from claimlake.plans.registered import ORACLES, QUERIES, register, rows  # noqa: F401
+from claimlake.runtime import scratch
 from claimlake.sources import chat, documents, shards
 from claimlake.streaming import logs
 
@@ -382,12 +383,20 @@ def stream_sequence_gaps(spark, sf):
     """with recursive r as (select user_id::varchar as rule_id, epoch(ts) as ts, (event_id % 7)::double as value from events), o as (select *, row_number() over (partition by rule_id order by ts, value) as i from r),
 w(rule_id, i, until, num) as (select rule_id, i, ts + 86400, 0 from o where i = 1 union all
   select o.rule_id, o.i, case when o.ts > w.until then o.ts + 86400 else w.until end, case when o.ts > w.until then w.num + 1 else w.num end from w join o on o.rule_id = w.rule_id and o.i = w.i + 1)
-select rule_id, num::bigint as "window", n, total from (select o.rule_id, w.num, count(*) as n, sum(o.value) as total, max(w.num) over (partition by o.rule_id) as last from w join o on o.rule_id = w.rule_id and o.i = w.i group by o.rule_id, w.num) where num < last"""
+select o.rule_id, w.num::bigint as "window", count(*) as n, sum(o.value) as total from w join o on o.rule_id = w.rule_id and o.i = w.i group by o.rule_id, w.num having min(o.ts) + 86400 < (select max(ts) from o)"""
 )
 def stream_rule_windows(spark, sf):
-    ts = F.unix_timestamp("at").cast("double")
-    stream = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("rule_id"), ts.alias("ts"), (F.col("event_id") % 7).cast("double").alias("value"))
-    return logs.run_once(logs.rule_windows(stream, 86400)).select("rule_id", "window", "n", "total")
+    """The events arrive in two parts; the second starts anew from the first one's checkpoint."""
+    ts = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
+    e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("rule_id"), ts.alias("ts"), (F.col("event_id") % 7).cast("double").alias("value"))
+    half = e.agg(((F.min("ts") + F.max("ts")) / 2).alias("half"))
+    e = e.crossJoin(F.broadcast(half))  # one row
+    source, folder = scratch(spark), scratch(spark)
+    for part in (F.col("ts") <= F.col("half"), F.col("ts") > F.col("half")):
+        e.where(part).drop("half").write.mode("append").parquet(source)
+        stream = logs.read_stream(spark, source, "rule_id string, ts double, value double", "parquet")
+        closed = logs.run_once(logs.rule_windows(stream, 86400, "0 seconds"), folder)
+    return closed.select("rule_id", "window", "n", "total")
 
 
 # --- identifiers and sealing -----------------------------------------------------------------------------------------------------

@@ -125,10 +125,6 @@ def run(stream, name, spark, mode="append"):
 
 
 def test_streams(spark, tmp_path):
-    source = str(tmp_path / "in")
-    spark.createDataFrame([("a", float(t), 1.0) for t in (0, 100, 301, 400, 700)], "rule_id string, ts double, value double").coalesce(1).write.parquet(source)
-    stream = logs.read_stream(spark, source, "rule_id string, ts double, value double", "parquet")
-    assert [(r["window"], r["start"], r["n"]) for r in run(logs.rule_windows(stream), "w", spark)] == [(0, 0.0, 2), (1, 301.0, 2)]
     seqs = str(tmp_path / "seq")
     spark.createDataFrame([("s", i) for i in (1, 2, 4)], "stream_id string, seq long").write.parquet(seqs)
     gaps = run(logs.sequence_gaps(logs.read_stream(spark, seqs, "stream_id string, seq long", "parquet")), "g", spark)
@@ -196,3 +192,36 @@ def test_adaptive_rules(spark):
     assert [r["allowed"] for r in adaptive.allowed_sends(sends, 2).orderBy("ts").collect()] == [True, False, True, True]
     assert adaptive.latest(w, "rule_id", "window", 1).count() == 3
     assert [adaptive.next_state(*x) for x in (("received", 0, "adopt", 0), ("received", 0, "reject", 0), ("received", 0, "adopt", 5), ("testing", 10, "adopt", 1), ("testing", 60, "adopt", 1), ("testing", 60, "reject", 1))] == ["testing", "rejected", "queued", "testing", "human_review", "rejected"]
+
+
+def test_windows_over_batches_with_a_restart_late_rows_and_timers(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "rule_id string, ts double, value double"
+
+    def arrive(*rows):
+        spark.createDataFrame([(r, 1000.0 + t, 1.0) for r, t in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = logs.read_stream(spark, source, schema, "parquet")
+        table = logs.run_once(logs.rule_windows(stream, 300, "100 seconds"), str(tmp_path / "run"))  # each call starts the query anew
+        return sorted((r["rule_id"], r["window"], r["start"] - 1000, r["n"]) for r in table.collect())
+
+    assert arrive(("a", 100), ("a", 0), ("b", 50)) == []
+    # The record at 40 comes a batch later and in its place; the watermark (at 500) closes both rules' first windows by timer.
+    assert arrive(("a", 40), ("a", 301), ("a", 400), ("c", 600)) == [("a", 0, 0.0, 3), ("b", 0, 50.0, 1)]
+    # A record behind the watermark is dropped.
+    assert arrive(("a", 10), ("a", 550), ("a", 700), ("c", 1000)) == [("a", 0, 0.0, 3), ("a", 1, 301.0, 3), ("b", 0, 50.0, 1)]
+
+
+def test_a_chain_is_checked_across_batches(spark, tmp_path):
+    import hashlib
+
+    source, schema = str(tmp_path / "in"), "stream_id string, seq long, hash string, prev_hash string, payload string"
+    rows, before = [], ""
+    for seq in range(6):
+        own = hashlib.sha256(f"{before}\x1fp{seq}".encode()).hexdigest()
+        rows.append(("s", seq, own, before, f"p{seq}"))
+        before = own
+    rows[3] = (*rows[3][:4], "changed")
+    rows[5] = (*rows[5][:3], "other", rows[5][4])
+    for part in (rows[:2], rows[2:4], [rows[5]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        table = logs.run_once(logs.broken_chain(logs.read_stream(spark, source, schema, "parquet")), str(tmp_path / "run"))
+    assert sorted((r["seq"], r["reason"]) for r in table.collect()) == [(3, "hash"), (5, "gap"), (5, "hash")]
