@@ -277,7 +277,8 @@ def near_duplicates(
     Null, empty and wordless texts have no shingles and stand alone. Texts with equal sets are linked whatever
     their signature. Rows repeated under one id are all returned, and ``kept`` holds for each that carries the
     component's id (two different texts under one id are linked through it). A row without an id links to nothing:
-    component_id null, kept. Texts of any length are taken whole. An empty table gives no rows; other columns are not
+    component_id null, kept. A pair at exactly ``percent`` is linked; which of equal sets stands for them changes no row.
+    Texts of any length are taken whole. An empty table gives no rows; other columns are not
     looked at.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("b"))

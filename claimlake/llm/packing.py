@@ -162,7 +162,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
 
     A document is its ids and ``end``; null counts as empty, so it is the one id ``end``. Only documents longer than
     ``capacity`` are cut; all pieces but the first have full length. Rows repeated under one id give their pieces
-    each for itself, equal ones in any order; a null id stays null. Texts of any length are taken whole. An empty table gives no rows; other columns are not looked at.
+    each for itself, equal ones in any order; a null id stays null. Texts of any length are taken whole.
+    Which of equally long pieces lies in which of the places planned for that length is decided by their ranks, and changes
+    no count of sequences. An empty table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece long, start long, length long, ids_crc32 long, ids binary"

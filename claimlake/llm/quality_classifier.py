@@ -198,7 +198,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """-> one row per row of ``docs``: id, held_out, score, predicted.
 
     Learns from the rows of ``labels`` whose crc32(id as text) mod 4 is not 2 and whose label is 0 or 1; several
-    labels of one id count as several. Null texts count as empty; they and wordless ones are scored like any other.
+    labels of one id count as several. Null texts count as empty; they and wordless ones are scored like any other. Texts of
+    any length are taken whole; equal texts have equal scores, and a score at ``threshold`` predicts 1. Rows repeated under
+    one id are scored each for itself, and each learns with its id's labels; a null id is scored and learns nothing.
     An empty table gives no rows; other columns are not looked at.
     """
     rows = table(docs.select(F.col(id_col).alias("id"), text_features(F.col(text_col)).alias("x")), "features")

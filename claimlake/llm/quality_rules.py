@@ -142,7 +142,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     kept, posterior and the votes.
 
     Null and empty texts have no words and fail the base rules. An empty table gives no rows. Texts of any length
-    are taken whole; equal texts get equal verdicts within a run.
+    are taken whole; equal texts get equal verdicts within a run. Rows repeated under one id are judged each for itself,
+    and each counts in the estimate; a null id stays null; a posterior at ``keep_at`` keeps. Other columns are not looked at.
     """
     found = statistics(docs, id_col, text_col)
     rated = found.withColumns(votes())

@@ -81,7 +81,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...
 
     ``fields`` are text columns, joined by a newline; ``by`` cuts the whole at every line or at the fields. A
     section ends with the newline that cuts it off. Null counts as empty; an empty document is one empty section. Rows
-    repeated under one id are counted each for itself; a null id stays null. An empty table gives no rows.
+    repeated under one id are counted each for itself; a null id stays null. An empty table gives no rows. Texts of any
+    length are encoded whole. A token that two sections share in equal parts goes to the first by rule ``most`` too. Columns
+    other than the id and ``fields`` are not looked at.
     """
     if by not in ("lines", "fields") or rule not in RULES:
         raise ValueError((by, rule))
