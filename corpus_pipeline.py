@@ -24,7 +24,7 @@ from claimlake.runtime import ready
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects: null, without a letter, or far from every language. Rows repeated
-    under one id are judged each for itself, equal texts alike, texts of any length whole; a table without a labelled
+    under one id are judged each for itself, equal texts alike (of languages equally near the first by name is taken), texts of any length whole; a table without a labelled
     row keeps none, an empty one is empty; other columns stay as they are."""
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
     return docs.where(~langid.classify(F.col("text"), model, spark)["rejected"])
@@ -67,7 +67,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for. A null source is one of its own; null and empty texts
-    have size 0; rows repeated under one id share their coin; an empty table stays empty; columns stay as they are."""
+    have size 0, very long ones the size of their whole text; rows repeated under one id share their coin; an empty table stays
+    empty; columns stay as they are."""
     return mixed(docs)
 
 
