@@ -13,10 +13,16 @@ from claimlake.plans.registered import ORACLES, register
 from claimlake.plans.tables import text, view
 from claimlake.runtime import scratch
 from claimlake.session import Session
-from claimlake.sources import chat, documents, shards
+from claimlake.sources import chat, documents, envelope, shards
 
 
 # --- sealed shards ---------------------------------------------------------------------------------------------------
+def _claims():
+    entity = F.col("pos") % 2 == 0
+    said = F.when(entity, F.concat(F.lit("source:"), "source")).otherwise(F.col("line"))
+    return F.concat(F.lit("lang:"), "lang").alias("subject"), F.lit("has_line").alias("predicate"), said.alias("object"), F.when(entity, "entity").otherwise("literal:string").alias("object_type")
+
+
 def _session(spark, sf) -> Session:
     """Lines of documents of even and of odd ids, compiled into a shard each, verified and mounted. A text that is in both
     is a span of both."""
@@ -25,10 +31,7 @@ def _session(spark, sf) -> Session:
     for rest in (0, 1):
         own = docs.where(F.col("doc_id") % 2 == rest)
         ls = extract.lines(own, "lang", "source").where("line <> ''")
-        entity = F.col("pos") % 2 == 0
-        said = ls.select(
-            "doc_id", F.concat(F.lit("lang:"), "lang").alias("subject"), F.lit("has_line").alias("predicate"), F.when(entity, F.concat(F.lit("source:"), "source")).otherwise(F.col("line")).alias("object"), F.when(entity, "entity").otherwise("literal:string").alias("object_type"), F.col("line").alias("evidence"), "byte_start", "byte_end", (F.col("pos") % 4).alias("tier")
-        )
+        said = ls.select("doc_id", *_claims(), F.col("line").alias("evidence"), "byte_start", "byte_end", (F.col("pos") % 4).alias("tier"))
         path = f"{scratch(spark)}/shard"
         shards.compile_shard(said, own.select("doc_id", "text"), path, namespace=f"lines{rest}")
         session.mount(path)
@@ -57,6 +60,20 @@ def mounted_tables(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register(f", {SAID} select distinct subject, predicate, object, byte_start, byte_end, line as evidence from said", "dl")
+def envelope_claims(spark, sf):
+    """A shard of all lines, sealed under two colours, opened again, verified and mounted."""
+    docs = read(spark, sf, "documents")
+    ls = extract.lines(docs, "lang", "source").where("line <> ''")
+    said = ls.select("doc_id", *_claims(), F.col("line").alias("evidence"), "byte_start", "byte_end", (F.col("pos") % 4).alias("tier"))
+    folder = scratch(spark)
+    shards.compile_shard(said, docs.select("doc_id", "text"), f"{folder}/shard", namespace="lines")
+    envelope.seal(spark, f"{folder}/shard", f"{folder}/sealed", b"a secret of this query", {"content/": "Red"})
+    session = Session(spark)
+    session.mount(f"{folder}/sealed", b"a secret of this query", f"{folder}/open")
+    return session.provenance().select("subject", "predicate", "object", "byte_start", "byte_end", "evidence").distinct()
+
+
 # --- files ---------------------------------------------------------------------------------------------------------------
 KINDS = ("txt", "md", "html", "csv", "tsv", "xml", "ics", "rss", "json", "xbrl", "exe")
 CR, LF, TAB = "chr(13)", "chr(10)", "chr(9)"

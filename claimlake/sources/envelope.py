@@ -1,6 +1,7 @@
 """Encrypted envelopes: files of a shard under one key per colour, bound to the topology of its graph.
 
-AES-GCM runs in Spark (``aes_encrypt`` and ``aes_decrypt`` over binaryFile rows), keys are derived on the driver.
+AES-GCM runs in Spark (``aes_encrypt`` and ``aes_decrypt`` over binaryFile rows), and files are written by the tasks that have
+them (``whole_files``); the driver derives keys and holds the header. Folders must be where all executors reach them.
 """
 
 from __future__ import annotations
@@ -10,16 +11,18 @@ import hashlib
 import hmac
 import json
 import os
-import shutil
-from pathlib import Path
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.functions.scalar import CLASSIFICATIONS
+from claimlake.functions.scalar import classification
 from claimlake.operators.graph import edges, topology_hash
+from claimlake.runtime import delete, scratch
 from claimlake.schema import COLOURS
+from claimlake.sources import store
 from claimlake.sources.shards import ShardError
+from claimlake.sources.whole_files import safe, write_files
 
 
 def hkdf(secret: bytes, salt: bytes, info: bytes, length: int = 32) -> bytes:
@@ -44,36 +47,51 @@ def _topology(spark: SparkSession, path: str) -> str:
     return topology_hash(edges(spark.read.parquet(f"{path}/graph/claims.parquet"))).first()["topology_hash"]
 
 
-def _relative(root: Path, path: str) -> str:
-    return str(Path(path.removeprefix("file:")).relative_to(root))
+def _put(files: DataFrame, target: str, what: str) -> None:
+    """files (path, content, problem) below ``target``; the first path by name with a problem raises, and then nothing is left."""
+    seen = Observation(f"put_{uuid.uuid4().hex}")
+    files = files.observe(seen, F.min(F.when(F.col("content").isNull(), F.struct("path", "problem"))).alias("first"))
+    write_files(files.select("path", "content"), target)
+    if (first := seen.get["first"]) is not None:
+        raise ShardError("MERKLE", f"{what} {first['path']}: {first['problem']}")
+
+
+def _blobs(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """entries (name, hash, ...) with the blob of that hash, read where the task is; a missing one raises."""
+    blobs = spark.read.format("binaryFile").load(f"{path}/blobs").select(F.element_at(F.split("path", "/"), -1).alias("hash"), F.col("content").alias("blob"))
+    gone = entries.join(blobs.select("hash"), "hash", "left_anti").agg(F.min("name")).first()[0]
+    if gone is not None:
+        raise ShardError("MERKLE", f"{gone}: its blob is missing")
+    return blobs.join(entries, "hash")
 
 
 def seal(spark: SparkSession, path: str, out: str, secret: bytes, colour_of: dict[str, str] | None = None, default: str = "Green") -> dict:
-    """Encrypts every file of a shard, manifest and signature too. ``colour_of``: path prefix -> colour."""
+    """Encrypts every file of a shard, manifest and signature too. ``colour_of``: path prefix -> colour. Files are read,
+    encrypted and written in one pass of tasks; the header is written last and holds names and hashes alone.
+
+    A nonce is a digest of the file's name: keys are new with every salt and names differ, so none comes twice under a key, and
+    a task that runs again writes the same blob."""
     colour_of = colour_of or {}
     bad = {c for c in [*colour_of.values(), default] if c not in COLOURS}
     if bad:
         raise ShardError("LAYOUT", f"no such colours: {sorted(bad)}")
-    root, topology = Path(path).resolve(), _topology(spark, path)
+    root, topology = store.qualified(spark, path).rstrip("/"), _topology(spark, path)
     salt = os.urandom(16)
-    (Path(out) / "blobs").mkdir(parents=True, exist_ok=True)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
-    listed = []
-    for colour in COLOURS:
-        key = hkdf(secret, salt, f"{colour}:{topology}".encode())
-        names = F.regexp_replace("path", f"^.*{root.name}/", "")
-        chosen = F.coalesce(*[F.when(names.startswith(p), c) for p, c in sorted(colour_of.items(), key=lambda x: -len(x[0]))], F.lit(default))
-        aad = F.concat(F.lit(f"{colour}:"), names)
-        sealed = F.aes_encrypt(F.col("content"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad)
-        for row in files.where(chosen == colour).select(names.alias("name"), F.sha2("content", 256).alias("plain"), sealed.alias("blob")).toLocalIterator():
-            blob = bytes(row["blob"])
-            digest = hashlib.sha256(blob).hexdigest()
-            Path(out, "blobs", digest).write_bytes(blob)
-            listed.append({"path": row["name"], "colour": colour, "classification": CLASSIFICATIONS[colour], "plain_hash": row["plain"], "blob": digest})
-    listed.sort(key=lambda f: f["path"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = files.select(F.substring("path", len(root) + 2, 1 << 30).alias("name"), "content")
+    chosen = F.coalesce(*[F.when(F.col("name").startswith(p), c) for p, c in sorted(colour_of.items(), key=lambda x: -len(x[0]))], F.lit(default))
+    key = F.coalesce(*[F.when(F.col("colour") == c, F.lit(hkdf(secret, salt, f"{c}:{topology}".encode()))) for c in COLOURS])
+    nonce = F.substring(F.unhex(F.sha2(F.concat(F.lit("nonce:"), "name"), 256)), 1, 12)
+    sealed = F.aes_encrypt(F.col("content"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce, F.concat_ws(":", "colour", "name"))
+    files = files.withColumn("colour", chosen).withColumn("sealed", sealed)
+    note = F.struct(F.col("name").alias("path"), "colour", classification(F.col("colour")).alias("classification"), F.sha2("content", 256).alias("plain_hash"), F.sha2("sealed", 256).alias("blob"))
+    blobs = files.withColumn("entry", note).select(F.col("entry.blob").alias("path"), F.col("sealed").alias("content"), F.to_json("entry").alias("note"))
+    listing = f"{scratch(spark)}/listing"
+    write_files(blobs, f"{out}/blobs", listing)
+    listed = sorted((json.loads(json.loads(line)) for line in store.read_bytes(spark, listing).decode().splitlines()), key=lambda f: f["path"])
     head = {"version": "2.0", "topology_hash": topology, "salt": base64.b64encode(salt).decode(), "files": listed, "files_digest": hashlib.sha256(canonical(listed).encode()).hexdigest()}
     head["mac"] = hmac.new(hkdf(secret, salt, b"header"), canonical(head).encode(), "sha256").hexdigest()
-    Path(out, "envelope.json").write_text(canonical(head))
+    store.write_bytes(spark, f"{out}/envelope.json", canonical(head).encode())
     return head
 
 
@@ -95,33 +113,24 @@ def _open_first(spark: SparkSession, path: str, head: dict, version: str, secret
             raise ShardError("MERKLE", "files digest")
     rows = []
     for f in files:
-        if not all(f.get(k) for k in ("path", "blob_hash", "nonce_b64")) or os.path.isabs(f["path"]) or ".." in Path(f["path"]).parts:
+        if not all(f.get(k) for k in ("path", "blob_hash", "nonce_b64")) or not safe(f["path"]):
             raise ShardError("LAYOUT", f"unsafe or incomplete entry {f.get('path')}")
         bound = "plaintext_hash" if f.get("plaintext_hash") else "blob_hash"
         aad = plain_json({"envelope_id": head["envelope_id"], "shard_id": head["shard_id"], "path": f["path"], bound: f[bound]})
         rows.append((f["path"], f["blob_hash"], f.get("plaintext_hash") or None, bytearray(base64.b64decode(f["nonce_b64"], validate=True)), aad))
     key = hkdf(secret, base64.b64decode(kdf.get("salt_b64", ""), validate=True), str(kdf.get("info", "")).encode())
-    entries = spark.createDataFrame(rows, "name string, blob_hash string, plain string, nonce binary, aad string")
-    blobs = spark.read.format("binaryFile").load(f"{path}/blobs").select(F.element_at(F.split("path", "/"), -1).alias("blob_hash"), F.col("content").alias("blob"))
-    found = entries.join(blobs, "blob_hash", "left").withColumn("whole", F.sha2("blob", 256) == F.col("blob_hash"))
+    entries = spark.createDataFrame(rows, "name string, hash string, plain string, nonce binary, aad string")
     content = F.try_aes_decrypt(F.concat("nonce", "blob"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.col("aad").cast("binary"))
-    found = found.withColumn("content", F.when(F.col("whole"), content))
-    target = Path(into) / hashlib.sha256(str(head["envelope_id"]).encode()).hexdigest()[:16]
-    try:
-        for row in found.select("name", "whole", "content", (F.sha2("content", 256) != F.col("plain")).alias("changed")).toLocalIterator():
-            if not row["whole"] or row["content"] is None or row["changed"]:
-                raise ShardError("MERKLE", f"{row['name']}: blob is missing or changed, or the secret is wrong")
-            (target / row["name"]).parent.mkdir(parents=True, exist_ok=True)
-            (target / row["name"]).write_bytes(row["content"])
-    except ShardError:
-        shutil.rmtree(target, ignore_errors=True)
-        raise
-    return str(target)
+    found = _blobs(spark, path, entries).withColumn("content", F.when(F.sha2("blob", 256) == F.col("hash"), content))
+    right = F.col("plain").isNull() | (F.sha2("content", 256) == F.col("plain"))
+    target = f"{into.rstrip('/')}/{hashlib.sha256(str(head['envelope_id']).encode()).hexdigest()[:16]}"
+    _put(found.select(F.col("name").alias("path"), F.when(right, F.col("content")).alias("content"), F.lit("the blob is changed, or the secret is wrong").alias("problem")), target, "file")
+    return target
 
 
 def open_envelope(spark: SparkSession, path: str, secret: bytes, into: str, colours: tuple[str, ...] = COLOURS) -> str:
     """Checks and decrypts; returns the shard's folder. Wrong secret, changed header, blobs, names or topology raise."""
-    head = json.loads(Path(path, "envelope.json").read_text())
+    head = json.loads(store.read_bytes(spark, f"{path}/envelope.json"))
     other = next((str(v) for k, v in head.items() if k.endswith("_version")), None)
     if other is not None and "version" not in head:
         return _open_first(spark, path, head, other, secret, into)
@@ -132,28 +141,24 @@ def open_envelope(spark: SparkSession, path: str, secret: bytes, into: str, colo
         raise ShardError("SIGNATURE", "header or secret is wrong")
     if hashlib.sha256(canonical(head["files"]).encode()).hexdigest() != head["files_digest"]:
         raise ShardError("MERKLE", "files digest")
-    target = Path(into) / head["topology_hash"][:16]
+    target = f"{into.rstrip('/')}/{head['topology_hash'][:16]}"
     wanted = [f for f in head["files"] if f["colour"] in colours]
     rows = []
     for f in wanted:
-        if os.path.isabs(f["path"]) or ".." in Path(f["path"]).parts:
+        if not safe(f["path"]):
             raise ShardError("LAYOUT", f"unsafe path {f['path']}")
         rows.append((f["path"], f["colour"], f["plain_hash"], f["blob"], bytearray(hkdf(secret, salt, f"{f['colour']}:{head['topology_hash']}".encode()))))
     df = spark.createDataFrame(rows, "name string, colour string, plain string, hash string, key binary")
-    blobs = spark.read.format("binaryFile").load(f"{path}/blobs").select(F.element_at(F.split("path", "/"), -1).alias("hash"), F.col("content").alias("blob"))
-    df = df.join(blobs, "hash", "left").withColumn("whole", F.coalesce(F.sha2("blob", 256) == F.col("hash"), F.lit(False)))  # read and checked on the executors
-    content = F.when(F.col("whole"), F.aes_decrypt(F.col("blob"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws(":", "colour", "name")))
-    for row in df.select("name", "plain", "whole", content.alias("content")).toLocalIterator():
-        if not row["whole"]:
-            raise ShardError("MERKLE", f"blob of {row['name']} was changed")
-        data = bytes(row["content"])
-        if hashlib.sha256(data).hexdigest() != row["plain"]:
-            raise ShardError("MERKLE", f"content of {row['name']}")
-        (target / row["name"]).parent.mkdir(parents=True, exist_ok=True)
-        (target / row["name"]).write_bytes(data)
-    if set(colours) == set(COLOURS) and _topology(spark, str(target)) != head["topology_hash"]:
+    whole = F.sha2("blob", 256) == F.col("hash")
+    plain = F.try_aes_decrypt(F.col("blob"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws(":", "colour", "name").cast("binary"))
+    df = _blobs(spark, path, df).withColumn("content", F.when(whole, plain))
+    problem = F.when(~whole, "the blob was changed").otherwise("the content is not what was sealed")
+    right = F.sha2("content", 256) == F.col("plain")
+    _put(df.select(F.col("name").alias("path"), F.when(right, F.col("content")).alias("content"), problem.alias("problem")), target, "file")
+    if set(colours) == set(COLOURS) and _topology(spark, target) != head["topology_hash"]:
+        delete(spark, target)
         raise ShardError("MERKLE", "the graph is not the one that the keys are bound to")
-    return str(target)
+    return target
 
 
 def keep_secret(spark: SparkSession, secret: str, password: str, rounds: int = 600_000) -> str:

@@ -15,6 +15,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(where))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as file tables name it, with its scheme."""
+    fs, where = _at(spark, path)
+    return fs.makeQualified(where).toString()
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     fs, where = _at(spark, path)
     stream = fs.open(where)

@@ -8,6 +8,7 @@ import pytest
 from claimlake.operators import adaptive, bind, firewall, validate
 from claimlake.sources import chat, documents, formats
 from claimlake.streaming import logs
+from pyspark.sql import functions as F
 
 
 def zipped(files):
@@ -134,7 +135,6 @@ def test_streams(spark, tmp_path):
 def test_event_stream_windows_and_sink(spark, sf, tmp_path):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     (tmp_path / "ev").mkdir()
-    from pyspark.sql import functions as F
 
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(str(tmp_path / "ev" / "p"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "ev" / "p")).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -184,7 +184,6 @@ def test_citations_resolve(spark):
 
 
 def test_adaptive_rules(spark):
-    from pyspark.sql import functions as F
 
     w = spark.createDataFrame([("up", i, 1.2) for i in range(3)] + [("down", i, 0.9) for i in range(3)] + [("new", 0, 9.0)], "rule_id string, window long, value double")
     assert {r["rule_id"]: r["recommendation"] for r in adaptive.judge(w, F.lit(1.0)).collect()} == {"up": "promote", "down": "demote", "new": "maintain"}
@@ -225,3 +224,45 @@ def test_a_chain_is_checked_across_batches(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         table = logs.run_once(logs.broken_chain(logs.read_stream(spark, source, schema, "parquet")), str(tmp_path / "run"))
     assert sorted((r["seq"], r["reason"]) for r in table.collect()) == [(3, "hash"), (5, "gap"), (5, "hash")]
+
+
+def test_whole_files_are_put_as_a_whole_or_not_at_all(spark, tmp_path):
+    from claimlake.sources.whole_files import write_files
+
+    rows = spark.range(300).select(F.format_string("d%d/é %d.bin", F.col("id") % 7, "id").alias("path"), F.concat(F.lit("body "), "id").cast("binary").alias("content"), F.concat(F.lit("n"), "id").alias("note")).repartition(5)
+    target, notes = tmp_path / "deep" / "files", tmp_path / "notes"
+    write_files(rows, str(target), str(notes))
+    read = lambda: {str(p.relative_to(target)): p.read_bytes() for p in target.rglob("*") if p.is_file()}
+    assert read() == {f"d{i % 7}/é {i}.bin": f"body {i}".encode() for i in range(300)}
+    assert sorted(json.loads(x) for x in notes.read_text().splitlines()) == sorted(f"n{i}" for i in range(300))
+    before = read()
+    for bad in ("../out", "/abs", "a/../../b", None):  # an unsafe path, then no content: nothing changes, nothing is left beside it
+        write_files(rows.withColumn("path", F.when(F.col("note") == "n7", F.lit(bad)).otherwise(F.col("path"))), str(target))
+        assert read() == before and [p.name for p in target.parent.iterdir()] == ["files"]
+    write_files(rows.withColumn("content", F.when(F.col("note") != "n9", F.col("content"))), "file:" + str(target))
+    assert read() == before and [p.name for p in target.parent.iterdir()] == ["files"]
+    write_files(rows.where("note = 'n9'"), "file:" + str(target))  # replaces all
+    assert list(read()) == ["d2/é 9.bin"]
+    write_files(rows.where("note = 'none'"), str(target))
+    assert read() == {} and target.is_dir()
+
+
+def test_a_file_task_that_runs_twice_or_fails_leaves_the_same(tmp_path):
+    from claimlake.sources.whole_files import FilesWriter
+
+    rows = [{"path": f"a/{i}", "content": bytes([i]) * 10, "note": str(i)} for i in range(4)]
+
+    def failing():
+        yield from rows[:2]
+        raise RuntimeError("lost")
+
+    writer = FilesWriter(str(tmp_path / "t"), None)
+    with pytest.raises(RuntimeError):
+        writer.write(failing())
+    first = writer.write(iter(rows))
+    again = writer.write(iter(rows))
+    writer.commit([first if len(first.notes) > len(again.notes) else again, None])
+    assert {p.name: p.read_bytes() for p in (tmp_path / "t" / "a").iterdir()} == {str(i): bytes([i]) * 10 for i in range(4)}
+    other = FilesWriter(str(tmp_path / "u"), None)
+    other.abort([other.write(iter(rows))])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
