@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import context_similarity, improvement_pct
 from claimlake.operators import openers
+from claimlake.operators.blocks import block_join
+from claimlake.runtime import written
 
 #: Thresholds of adoption, promotion and shadow tests.
 CONTEXT_AT_LEAST, IMPROVEMENT_AT_LEAST, SAMPLES = 0.6, 0.1, 10
@@ -15,24 +19,79 @@ WINDOW_SECONDS, RECENT, PROMOTE, DEMOTE = 300, 5, 0.1, -0.05
 SHADOWS, SHADOW_SAMPLES, RING = 5, 50, 100
 
 
+#: The part of a context's score that an overlap of tags gives beside equal domain and equal scenario.
+PARTS = 3
+#: What bounds give way for rounding; scores are held to the threshold itself.
+SLACK = 1e-9
+
+
+def _overlapping(b: DataFrame, t: DataFrame, same: list[str], least: float) -> DataFrame:
+    """Pairs of tagged contexts that are equal in ``same`` and whose tags have a Jaccard overlap of ``least`` (above 0) or more.
+
+    A prefix join: both sides order their tags from the rarest on, and two sets of that overlap have one in common among the
+    first n - ceil(least * n) + 1 of each. What they have left after that tag must still suffice, and their sizes must be near."""
+    def tags(df: DataFrame, side: str) -> DataFrame:
+        return df.select(f"_{side}", *[F.col(f"{side}_{c}").alias(c) for c in same], F.explode(f"{side}_tags").alias("_tag"))
+
+    seen = tags(b, "b").select("_tag").unionByName(tags(t, "t").select("_tag")).groupBy("_tag").agg(F.count("*").alias("_df"))
+
+    def prefix(df: DataFrame, side: str) -> DataFrame:
+        # A null tag is a tag; it joins as a struct, which is not null.
+        ranked = tags(df, side).join(seen.withColumnRenamed("_tag", "_known"), F.col("_tag").eqNullSafe(F.col("_known")))
+        keys = ranked.groupBy(f"_{side}", *same).agg(F.array_sort(F.collect_list(F.struct("_df", F.struct("_tag").alias("_key")))).alias("_keys")).withColumn(f"_n{side}", F.size("_keys"))
+        kept = F.col(f"_n{side}") - F.ceil(least * F.col(f"_n{side}") - SLACK) + 1
+        return keys.select(f"_{side}", *same, f"_n{side}", F.posexplode(F.slice("_keys", F.lit(1), kept.cast("int"))).alias(f"_at{side}", "_x")).withColumn("_key", F.col("_x._key")).drop("_x")
+
+    met = block_join(written(prefix(b, "b"), "prefix_b"), written(prefix(t, "t"), "prefix_t"), [*same, "_key"])
+    ahead = F.least(F.col("_nb") - F.col("_atb"), F.col("_nt") - F.col("_att"))  # tags from this one on
+    enough = ahead >= F.ceil(least / (1 + least) * (F.col("_nb") + F.col("_nt")) - SLACK)
+    near = F.least("_nb", "_nt") >= least * F.greatest("_nb", "_nt") - SLACK
+    first = met.groupBy("_b", "_t").agg(F.min(F.struct("_atb", enough.alias("_ok"))).alias("_first"), F.first(near).alias("_near"))
+    return first.where("_first._ok and _near").select("_b", "_t")
+
+
 def context_fit(bundles: DataFrame, targets: DataFrame, least: float = CONTEXT_AT_LEAST, skip_self: bool = True) -> DataFrame:
     """bundles (bundle_id, domain, scenario, tags, source) x targets (target_id, domain, scenario, tags) -> pairs whose
-    contexts are alike, ``least`` being above 0. Joined on domain, on scenario and, where ``least`` is not above the third
-    that tags alone can give, on a common tag; pairs that have none of the three score 0 and are not made."""
+    contexts are alike, ``least`` being above 0; a context without domain or scenario is like none.
+
+    Equal contexts are one: distinct contexts meet, then their rows. How much overlap of tags a pair needs follows from what else
+    is equal: nothing more (then it is joined on that), all (joined on that and on rare tags, ``_overlapping``), or more than there can be
+    (then it is not made). So a domain that all contexts share makes no pairs but those of its answers and of its rare tags, and keys
+    that are hot on both sides are cut into blocks."""
     if least <= 0:
         raise ValueError("least has to be above 0: at 0 every pair is alike")
-    b = bundles.select("bundle_id", "source", *[F.col(c).alias(f"b_{c}") for c in ("domain", "scenario", "tags")])
-    t = targets.select("target_id", *[F.col(c).alias(f"t_{c}") for c in ("domain", "scenario", "tags")])
-    same_domain, same_scenario = (F.coalesce(F.col(f"b_{c}") == F.col(f"t_{c}"), F.lit(False)) for c in ("domain", "scenario"))
-    by_domain = b.join(t, F.col("b_domain") == F.col("t_domain"))
-    by_scenario = b.join(t, F.col("b_scenario") == F.col("t_scenario")).where(~same_domain)
-    pairs = by_domain.unionByName(by_scenario)
-    if least <= 1 / 3:
-        tagged = b.withColumn("_tag", F.explode(F.array_distinct("b_tags"))).join(t.withColumn("_other", F.explode(F.array_distinct("t_tags"))), F.col("_tag") == F.col("_other"))
-        first = F.array_min(F.array_intersect("b_tags", "t_tags")) == F.col("_tag")  # a pair once, under its first common tag
-        pairs = pairs.unionByName(tagged.where(~same_domain & ~same_scenario & first).drop("_tag", "_other"))
+
+    def contexts(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        tags = F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast(df.schema["tags"].dataType))))
+        rows = df.where("domain is not null and scenario is not null").withColumn("_tags", tags).withColumn(f"_{side}", F.sha2(F.to_json(F.struct("domain", "scenario", F.transform("_tags", lambda x: F.struct(x.alias("x"))).alias("tags"))), 256))
+        rows = written(rows, f"contexts_{side}")
+        first = rows.groupBy(f"_{side}").agg(*[F.first(c).alias(f"{side}_{c.strip('_')}") for c in ("domain", "scenario", "_tags")])
+        return rows, written(first, f"distinct_{side}")
+
+    b_rows, b = contexts(bundles, "b")
+    t_rows, t = contexts(targets, "t")
+    tagged = {side: F.size(f"{side}_tags") > 0 for side in "bt"}
+    found = []
+    for same in (["domain", "scenario"], ["domain"], ["scenario"], []):
+        other = [F.col(f"b_{c}") != F.col(f"t_{c}") for c in ("domain", "scenario") if c not in same]
+        unlike = reduce(Column.__and__, other, F.lit(True))
+        need = PARTS * least - len(same)
+        if need <= SLACK:
+            plain = [(b, t)]
+        else:  # without tags on a side, half of what is equal must do
+            plain = [(b, t.where(~tagged["t"])), (b.where(~tagged["b"]), t.where(tagged["t"]))] if len(same) / 2 >= least else []
+        keyed = lambda df, side: df.select(f"_{side}", *[F.col(f"{side}_{c}").alias(c) for c in same], *[f"{side}_{c}" for c in ("domain", "scenario")])
+        found += [block_join(keyed(x, "b"), keyed(y, "t"), same).where(unlike).select("_b", "_t") for x, y in plain]
+        if SLACK < need <= 1 + SLACK:
+            pairs = _overlapping(b.where(tagged["b"]), t.where(tagged["t"]), same, min(need, 1.0))
+            sides = [df.select(f"_{side}", *[f"{side}_{c}" for c in ("domain", "scenario")]) for df, side in ((b, "b"), (t, "t"))]
+            found.append(pairs.join(sides[0], "_b").join(sides[1], "_t").where(unlike).select("_b", "_t") if other else pairs)
     score = context_similarity(*[{c: F.col(f"{side}_{c}") for c in ("domain", "scenario", "tags")} for side in "bt"])
-    pairs = pairs.withColumn("score", score).where(F.col("score") >= least)
+    if not found:  # least is above 1
+        return b_rows.join(t_rows, F.lit(False)).selectExpr("bundle_id", "target_id", "0d as score")
+    alike = reduce(DataFrame.unionByName, found).join(b, "_b").join(t, "_t").withColumn("score", score).where(F.col("score") >= least).select("_b", "_t", "score")
+    alike = written(alike, "alike")
+    pairs = block_join(block_join(b_rows.select("_b", "bundle_id", "source"), alike, ["_b"]), t_rows.select("_t", "target_id"), ["_t"])
     return (pairs.where("not (source <=> target_id)") if skip_self else pairs).select("bundle_id", "target_id", "score")
 
 
