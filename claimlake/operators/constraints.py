@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions.scalar import within_validity
+from claimlake.operators.blocks import block_join
 from claimlake.operators.closure import follow
 from claimlake.runtime import written
 
@@ -23,14 +24,35 @@ def constraint_kind(subject: Column, obj: Column) -> Column:
     return F.coalesce(*named, F.lit(PRECEDENCE[-1]))
 
 
+#: Lengths of the character runs by which strings meet.
+RUNS = (1, 2, 4, 8, 16, 32, 64)
+
+
 def containing(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
-    """Distinct strings (n) and (h) -> the pairs (n, h) in which h contains n. Joined by equality: a needle's first three
-    characters are among the character runs of up to three of what contains it; the empty needle is in all."""
+    """Distinct strings (n) and (h) -> the pairs (n, h) in which h contains n; the empty needle is in all.
+
+    A needle's key is its head or its tail of the greatest length of ``RUNS`` that it has, at least half of it up to 128
+    characters, and whichever of the two fewer haystacks have: a common head does not make it meet all that begin so. Of the
+    haystacks' runs of those lengths only those that are some needle's head or tail are kept (by hash; the strings are compared
+    when they meet), and a needle of which one is nowhere is in nothing. What is left of hot keys is joined in blocks."""
+    n = needles.select("n").where("n is not null").distinct()
+    length = F.greatest(*[F.when(F.length("n") >= k, F.lit(k)) for k in RUNS], F.lit(0))
+    n = written(n.withColumn("_length", length).withColumn("_keys", F.array_distinct(F.array(F.xxhash64(F.left("n", "_length")), F.xxhash64(F.right("n", "_length"))))), "needles")
+    lengths = sorted(n.agg(F.collect_set("_length")).first()[0])  # at most eight
     h = haystacks.select("h").where("h is not null").distinct()
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("h"), F.lit(1))), lambda i: F.substr("h", i, k))))
-    keyed = h.select("h", F.explode(F.array_distinct(F.array_append(runs, F.lit("")))).alias("_key"))
-    n = needles.select("n", F.left("n", F.lit(3)).alias("_key")).where("n is not null").distinct()
-    return n.join(keyed, "_key").where(F.col("h").contains(F.col("n"))).select("n", "h")
+
+    def runs_of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("h") - k + 1)
+        return F.when(F.length("h") >= k, F.transform(starts, lambda i: F.xxhash64(F.substr("h", i, F.lit(k)))) if k else F.array(F.xxhash64(F.lit(""))))
+
+    runs = [runs_of(k) for k in lengths]
+    runs = F.array_distinct(F.concat(*[F.coalesce(r, F.array().cast("array<bigint>")) for r in runs])) if runs else F.array().cast("array<bigint>")
+    asked = n.select(F.explode("_keys").alias("_key")).distinct()
+    keyed = written(h.select("h", F.explode(runs).alias("_key")).join(asked, "_key", "left_semi"), "runs")
+    seen = keyed.groupBy("_key").agg(F.count("*").alias("_df"))
+    rare = n.select("n", F.explode("_keys").alias("_key")).join(seen, "_key", "left").groupBy("n").agg(F.min(F.struct("_df", "_key")).alias("_least"), F.count_if(F.col("_df").isNull()).alias("_nowhere"))
+    rare = written(rare.where("_nowhere = 0").select("n", F.col("_least._key").alias("_key")), "rare")
+    return block_join(rare, keyed, ["_key"]).where(F.col("h").contains(F.col("n"))).select("n", "h")
 
 
 def matches(requests: DataFrame, claims: DataFrame, *, now: Column | None = None) -> DataFrame:

@@ -73,3 +73,24 @@ def test_a_hot_domain_makes_few_pairs(spark):
 
     found = adaptive.context_fit(side("bundle_id", 20_000), side("target_id", 20_000).drop("source"), 0.6)
     assert found.count() == 20_000 and found.where("bundle_id <> target_id or abs(score - 2 / 3) > 1e-9").isEmpty()
+
+
+def test_containing_is_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(constraints, "block_join", lambda left, right, on: block_join(left, right, on, 10))
+    r = random.Random(4)
+    words = ["", "a", "aa", "é", "😀x", "prefix shared by all " * 8, *["".join(r.choice("abé") for _ in range(r.randint(1, 9))) for _ in range(60)]]
+    hay = [*words, *["prefix shared by all " * 8 + w for w in words], *["".join(r.choice("ab😀") for _ in range(r.randint(0, 200))) for _ in range(40)]]
+    needles = [*words, *[h[i : i + r.randint(1, 150)] for h in hay[:120] for i in (0, len(h) // 3)]]
+    n = spark.createDataFrame([(x,) for x in [*needles, None]], "n string").repartition(3)
+    h = spark.createDataFrame([(x,) for x in [*hay, *hay[:5], None]], "h string").repartition(3)
+    wanted = {(x, y): 1 for x in needles for y in hay if x in y}
+    assert rows_of(constraints.containing(n, h)) == Counter(wanted)
+    assert constraints.containing(n.limit(0), h).count() == constraints.containing(n, h.limit(0)).count() == 0
+
+
+def test_a_common_head_is_no_meeting_place(spark):
+    """20,000 rules and requests that begin alike: they meet by their tails."""
+    n = spark.range(20_000).select(F.format_string("the movement of unit %05d", "id").alias("n"))
+    h = spark.range(20_000).select(F.format_string("the movement of unit %05d", "id").alias("h"))
+    found = constraints.containing(n, h)
+    assert found.count() == 20_000 and found.where("n <> h").isEmpty()
