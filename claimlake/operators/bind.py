@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType, StructField
 from pyspark.sql.window import Window
 
 from claimlake.functions.scalar import ACRONYM, is_garbage_entity, object_type, occurrences
+from claimlake.operators.asking import ask
 from claimlake.operators.beside import beside_text, found_in, slices
 from claimlake.operators.scan import ordered_scan
 from claimlake.runtime import written
@@ -172,21 +173,25 @@ def ask_report(said: DataFrame) -> DataFrame:
     )
 
 
-def ask_model(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
+def ask_model(prompts: DataFrame, model: Callable[[str], str], folder: str | None = None) -> DataFrame:
     """The claims of ``model_claims`` whose sentence ids lie, at least in part, in their batch."""
-    return model_claims(prompts, model).where("size(sentence_ids) > 0").drop("ids_said")
+    return model_claims(prompts, model, folder).where("size(sentence_ids) > 0").drop("ids_said")
 
 
-def model_claims(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
+def model_claims(prompts: DataFrame, model: Callable[[str], str], folder: str | None = None) -> DataFrame:
     """prompts (doc_id, batch_start, ids array<int>, prompt) through an injected callable, Arrow batch by batch ->
     claim rows whose text is not blank, with the ids that were said and those of them that lie in the batch; a batch
-    without claims is a row without text."""
+    without claims is a row without text. With a ``folder`` answers are kept there (``asking.ask``): a prompt is asked once, over
+    reads, lost executors and runs."""
+    if folder is not None:
+        replies = ask(prompts, model, folder)
+        prompts = prompts.withColumn("prompt_key", F.sha2("prompt", 256)).join(replies, "prompt_key").drop("prompt_key")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples():
-                reply = parse_reply(model(row.prompt))
+                reply = parse_reply(model(row.prompt) if folder is None else row.reply)
                 claims = reply.get("claims", []) if isinstance(reply, dict) else []
                 found = [c for c in claims if isinstance(c, dict) and (c.get("claim_text") or "").strip()]
                 for c in found or [{}]:

@@ -3,10 +3,12 @@ logs. The SQL says what has to come back."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from claimlake import registry
-from claimlake.operators import derive, emit, extract
+from claimlake.operators import asking, derive, emit, extract
 from claimlake.plans import tables
 from claimlake.plans.projections import read
 from claimlake.plans.registered import ORACLES, register
@@ -147,6 +149,27 @@ def chat_exports(spark, sf):
     return chat.turns(_exports(spark, sf)).select("path", "format", "title", F.col("pos").cast("int").alias("pos"), "role", "text", "ts")
 
 
+# --- answers that are kept --------------------------------------------------------------------------------------------
+def _line_model(text: str) -> str:
+    """A stand-in for a model: of a text's first and last lines a claim each, and one whose quote is not in the text."""
+    ls = text.split("\n")
+    return json.dumps({"claims": [{"subject": "first", "quote": ls[0]}, {"subject": "last", "quote": ls[-1], "confidence": 0.75}, {"subject": "none", "quote": text + "x"}]})
+
+
+@register(
+    """with c as (select doc_id, text, unnest([{'s': 'first', 'q': string_split(text, chr(10))[1], 'p': 0.5}, {'s': 'last', 'q': string_split(text, chr(10))[-1], 'p': 0.75}], recursive := true) from documents where length(text) >= 50),
+t as (select *, regexp_replace(q, '^\\s+|\\s+$', '', 'g') as quote from c)
+select doc_id, s as subject, 'related_to' as predicate, p as confidence, quote, strpos(text, quote) - 1 as start, strpos(text, quote) - 1 + length(quote) as end, ((length(text) - length(replace(text, quote, ''))) // length(quote))::bigint as n_found from t where quote <> ''"""
+)
+def extracted_quotes(spark, sf):
+    """Whole texts are asked about in two runs on one folder: the second asks what the first has not."""
+    docs = read(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_id"), "text")
+    folder = f"{scratch(spark)}/answers"
+    asking.ask(docs.where("doc_id % 2 = 0 and length(text) >= 50").select(F.col("text").alias("prompt")), _line_model, folder)
+    found = asking.extracted(docs, _line_model, folder)
+    return found.select("doc_id", "subject", "predicate", "confidence", "quote", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_found").cast("long").alias("n_found"))
+
+
 # --- logs and extensions ------------------------------------------------------------------------------------------------
 def _log(spark, sf) -> str:
     path = f"{scratch(spark)}/log"
