@@ -97,8 +97,14 @@ def context_fit(bundles: DataFrame, targets: DataFrame, least: float = CONTEXT_A
 
 def evaluate(bundles: DataFrame, shadows: DataFrame) -> DataFrame:
     """bundles (bundle_id, context_score, baseline, improved) and shadows (bundle_id, improvement) -> recommendation.
-    Without shadow results the reported improvement counts, at stability one half."""
-    seen = shadows.groupBy("bundle_id").agg(F.count("*").alias("n"), F.avg("improvement").alias("mean"), F.var_pop("improvement").alias("variance"))
+    Without shadow results the reported improvement counts, at stability one half.
+
+    A mean may lie on the threshold, and sums of doubles go by the order of their rows; so improvements are summed as decimals of 18
+    places, exactly, and only a bundle with one that is none (from 1e10 on, infinite, not a number) by its doubles."""
+    exact = F.col("improvement").try_cast("decimal(28,18)")
+    inexact = F.count_if(F.col("improvement").isNotNull() & exact.isNull()) > 0
+    mean = F.when(inexact, F.avg("improvement")).otherwise(F.avg(exact).cast("double"))
+    seen = shadows.groupBy("bundle_id").agg(F.count("*").alias("n"), mean.alias("mean"), F.var_pop("improvement").alias("variance"))
     df = bundles.join(seen, "bundle_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     improvement = F.coalesce("mean", improvement_pct(F.col("baseline"), F.col("improved")) / 100)
     stability = F.when(F.col("n") > 0, 1 / (1 + F.col("variance"))).otherwise(F.lit(0.5))
