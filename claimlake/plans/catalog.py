@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from claimlake.functions import ids, scalar
 from claimlake.operators import adaptive, bind, chunk, constraints, decisions, derive, extract, firewall, graph, nlq, resolve, validate, vector
 from claimlake.plans import projections as p
-from claimlake.plans.projections import read
+from claimlake.plans.projections import read, seconds
 from claimlake.plans.registered import ORACLES, QUERIES, register, rows  # noqa: F401
 from claimlake.runtime import scratch
 from claimlake.sources import chat, documents, shards
@@ -341,7 +341,7 @@ w(rule_id, i, until, num) as (select rule_id, i, ts + 86400, 0 from o where i =
 select o.rule_id, w.num::bigint as "window", count(*) as n, sum(o.value) as total from w join o on o.rule_id = w.rule_id and o.i = w.i group by o.rule_id, w.num"""
 )
 def rule_windows(spark, sf):
-    e = read(spark, sf, "events").select(F.col("user_id").alias("rule_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("ts"), (F.col("event_id") % 7).cast("double").alias("value"))
+    e = read(spark, sf, "events").select(F.col("user_id").alias("rule_id"), seconds("ts").alias("ts"), (F.col("event_id") % 7).cast("double").alias("value"))
     return adaptive.windows_from_first(e, 86400).groupBy("rule_id", "window").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -387,7 +387,7 @@ select o.rule_id, w.num::bigint as "window", count(*) as n, sum(o.value) as tota
 )
 def stream_rule_windows(spark, sf):
     """The events arrive in two parts; the second starts anew from the first one's checkpoint."""
-    ts = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
+    ts = seconds("ts")
     e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("rule_id"), ts.alias("ts"), (F.col("event_id") % 7).cast("double").alias("value"))
     half = e.agg(((F.min("ts") + F.max("ts")) / 2).alias("half"))
     e = e.crossJoin(F.broadcast(half))  # one row

@@ -17,6 +17,11 @@ def _short(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24))
 
 
+def seconds(c: str) -> Column:
+    """Seconds since 1970 with their fraction, of a timestamp with or without a zone."""
+    return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+
+
 def _text(c: str) -> Column:
     return F.col(c).cast("string")
 

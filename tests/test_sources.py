@@ -266,3 +266,29 @@ def test_a_file_task_that_runs_twice_or_fails_leaves_the_same(tmp_path):
     other = FilesWriter(str(tmp_path / "u"), None)
     other.abort([other.write(iter(rows))])
     assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_seconds_keep_their_fraction(spark, tmp_path):
+    """Events of one user within a second of a limit, of a day's end and of a bound; the SQL of the queries says what is right."""
+    import duckdb
+    from claimlake.plans import catalog
+
+    at = "2024-01-05 23:59:59.7", "2024-01-06 00:00:00.2", "2024-01-06 01:39:59.8", "2024-01-07 00:00:00.1", "2024-01-10 23:59:59.9", "2024-01-20 00:00:00.4", "2024-01-21 00:00:00.3", "2024-01-25 00:00:00.0"
+    events = spark.createDataFrame([(2 * i, t, 7) for i, t in enumerate(at)], "event_id long, ts string, user_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("rate_limit", "rule_windows", "rule_judgement", "instants"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(tuple(r) for r in con.sql(f"select {', '.join(df.columns).replace('window', '"window"')} from ({catalog.ORACLES[name]})").fetchall()), name
+
+
+def test_a_mean_on_the_threshold_is_not_below_it(spark):
+    """0.06 and 0.14 and so on: their doubles add up to less or more, as they are ordered."""
+    bundles = spark.createDataFrame([("b", 0.9, 1.0, 1.1)], "bundle_id string, context_score double, baseline double, improved double")
+    values = [0.01, 0.19, 0.02, 0.18, 0.03, 0.17, 0.04, 0.16, 0.07, 0.13, 0.06, 0.14]
+    for order in (values, values[::-1], sorted(values), sorted(values, reverse=True), values[::2] + values[1::2]):
+        shadows = spark.createDataFrame([("b", v) for v in order], "bundle_id string, improvement double").coalesce(1)
+        assert [tuple(r) for r in adaptive.evaluate(bundles, shadows).select("improvement", "recommendation").collect()] == [(0.1, "adopt")]
+    odd = spark.createDataFrame([("b", v) for v in (1e30, 0.5)], "bundle_id string, improvement double")
+    assert adaptive.evaluate(bundles, odd).first()["improvement"] == 5e29
