@@ -70,15 +70,19 @@ class _Windows(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "ts double, value double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = None
+        first = None
         for frame in rows:
             for ts, value in zip(frame["ts"], frame["value"], strict=True):
                 self.waiting.appendValue((float(ts), float(value)))
-                last = float(ts) if last is None else max(last, float(ts))
-        if last is not None:
-            self.handle.registerTimer(math.floor(last * 1000))
+                first = float(ts) if first is None else min(first, float(ts))
+        if first is not None:
+            self._wait_for(first)
         yield from ()
 
+    def _wait_for(self, ts: float) -> None:
+        """A timer for the first record that waits; watermarks are whole milliseconds."""
+        self.handle.registerTimer(math.ceil(ts * 1000))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() / 1000
         n, start, count, total, is_open = self.window.get() if self.window.exists() else (0, 0.0, 0, 0.0, False)
@@ -98,6 +102,8 @@ class _Windows(StatefulProcessor):
         self.window.update((n, start, count, total, is_open))
         if due:
             self.waiting.put([(float(t), float(v)) for t, v in waiting[len(due) :]]) if len(waiting) > len(due) else self.waiting.clear()
+            if len(waiting) > len(due):
+                self._wait_for(float(waiting[len(due)][0]))
         if is_open:
             self.handle.registerTimer(math.floor((start + self.seconds) * 1000) + 1)
         yield pd.DataFrame(out, columns=["rule_id", "window", "start", "n", "total"])
@@ -111,7 +117,7 @@ def rule_windows(stream: DataFrame, seconds: float = 300, late: str = "10 minute
     opened by the first record after the last one expired, and closed by the first record behind its end or by the watermark,
     which follows the latest record by ``late``. Records may come in any order within that time, in any batches; later ones
     are dropped. What a rule holds are its open window and the records that the watermark has not passed."""
-    at = F.timestamp_millis(F.floor(F.col("ts") * 1000).cast("long"))
+    at = F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("long"))
     timed = with_state_store(stream.select("rule_id", "ts", "value")).withColumn("at", at).withWatermark("at", late)
     return timed.groupBy("rule_id").transformWithStateInPandas(_Windows(seconds), "rule_id string, window long, start double, n long, total double", "append", "EventTime")
 

@@ -209,6 +209,15 @@ def test_windows_over_batches_with_a_restart_late_rows_and_timers(spark, tmp_pat
     assert arrive(("a", 10), ("a", 550), ("a", 700), ("c", 1000)) == [("a", 0, 0.0, 3), ("a", 1, 301.0, 3), ("b", 0, 50.0, 1)]
 
 
+def test_records_behind_the_watermark_do_not_wait_for_the_latest_one(spark, tmp_path):
+    """The latest record is a fraction of a millisecond ahead of the watermark, those before it are behind."""
+    source, schema = str(tmp_path / "in"), "rule_id string, ts double, value double"
+    for rows in ([0.0001, 50.0002], [50.0004, 400.0005, 1000.00025]):
+        spark.createDataFrame([("a", 1000 + t, 1.0) for t in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        table = logs.run_once(logs.rule_windows(logs.read_stream(spark, source, schema, "parquet"), 300, "0 seconds"), str(tmp_path / "run"))
+    assert sorted((r["window"], r["n"]) for r in table.collect()) == [(0, 3), (1, 1)]
+
+
 def test_a_chain_is_checked_across_batches(spark, tmp_path):
     import hashlib
 
