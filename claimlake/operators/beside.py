@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ PART_BYTES, ROW_BYTES = 2 << 20, 64
 #: Parts of the candidates that have no document.
 NO_ID = 1024
 
+#: Up to so many different strings are looked for one by one.
+FEW = 4
+
 #: (text or None, a list for each used column) -> a list for each result.
 Compute = Callable[..., tuple[list, ...]]
 
@@ -51,7 +55,7 @@ def _met(batches: Iterator[pa.RecordBatch], use: list[str], compute: Compute, re
     for piece in whole_keys(batches, ["doc_id", "_part"]):
         at = list(zip(piece["doc_id"].to_pylist(), piece["_part"].to_pylist(), strict=True))
         text, is_text = piece["_text"].to_pylist(), piece["_is_text"].to_pylist()
-        columns = [piece[f"_use_{c}"].to_pylist() for c in use]
+        columns = [pc.struct_field(piece["_row"], c).to_pylist() for c in use]
         rows: list[int] = []
         found: list[list] = [[] for _ in result]
         i = 0
@@ -82,7 +86,7 @@ def beside_text(candidates: DataFrame, docs: DataFrame, use: list[str], result:
     sizes = candidates.where("doc_id is not null").groupBy("doc_id").agg(F.sum(weight).alias("_bytes")).where(F.col("_bytes") > part_bytes)
     large = written(sizes.select("doc_id", F.ceil(F.col("_bytes") / part_bytes).cast("int").alias("_parts")), "large")
     others = [c for c in candidates.columns if c != "doc_id"]
-    row = candidates.select("doc_id", F.struct(*others).alias("_row"), *[F.col(c).alias(f"_use_{c}") for c in use])
+    row = candidates.select("doc_id", F.struct(*others).alias("_row"))
     texts = docs.where("doc_id is not null").select("doc_id", F.col("text").alias("_text"))
     apart = F.pmod(F.xxhash64("_row"), F.when(F.col("doc_id").isNull(), NO_ID))  # rows without an id meet no text anywhere
     if large.isEmpty():
@@ -104,6 +108,13 @@ def found_in(text: str | None, needles: list[str | None]) -> tuple[list, list]:
     string is nowhere; null, or any in no text, is not known."""
     if text is None:
         return [None] * len(needles), [None] * len(needles)
+    distinct = {x for x in needles if x}
+    if len(distinct) <= FEW:
+        known: dict[str | None, tuple] = {"": (0, 0), None: (None, None)}
+        for x in distinct:
+            at = text.find(x)
+            known[x] = (text.count(x), 0 if at < 0 else 1 if text.find(x, at + 1) < 0 else 2)
+        return tuple([known[x][i] for x in needles] for i in (0, 1))
     automaton, slots, sizes = ahocorasick.Automaton(), {}, []
     for needle in needles:
         if needle and needle not in slots:

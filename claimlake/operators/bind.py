@@ -31,8 +31,9 @@ def canonical_forms(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     """labels (doc_id, pos, label) -> doc_id, key, canonical: of a document's forms that differ by case only, the most
     frequent after acronyms are expanded; of equally frequent ones the one that got there first."""
     named = labels.withColumn("s", F.trim("label")).where("s <> ''").join(aliases.withColumnRenamed("acronym", "s"), ["doc_id", "s"], "left")
-    forms = named.select("doc_id", "pos", F.coalesce("full_name", "s").alias("form")).groupBy("doc_id", "form").agg(F.count("*").alias("n"), F.max("pos").alias("reached"))
-    return forms.groupBy("doc_id", F.lower("form").alias("key")).agg(F.max_by("form", F.struct(F.col("n"), -F.col("reached"))).alias("canonical"))
+    dealt = named.select("doc_id", "pos", F.coalesce("full_name", "s").alias("form")).withColumn("key", F.lower("form")).repartition("doc_id", "key")
+    forms = dealt.groupBy("doc_id", "key", "form").agg(F.count("*").alias("n"), F.max("pos").alias("reached"))  # where it was dealt, as is the next
+    return forms.groupBy("doc_id", "key").agg(F.max_by("form", F.struct(F.col("n"), -F.col("reached"))).alias("canonical"))
 
 
 def resolve(df: DataFrame, column: str, aliases: DataFrame, canonical: DataFrame, out: str) -> DataFrame:
@@ -60,31 +61,40 @@ def contiguous(ids: DataFrame, sentences: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "pos", "island").agg(F.min("index").alias("first"), F.max("index").alias("last"), F.min("page").alias("page")).drop("island")
 
 
-def bind(raw: DataFrame, sentences: DataFrame, source: DataFrame) -> DataFrame:
-    """raw (doc_id, pos, claim_text, subject, predicate, object, sentence_ids, progress) over the documents' sentences
-    (doc_id, index, byte_start, byte_end, page) and ``source`` (doc_id, text) -> byte-bound candidates, each document
-    for itself.
+def bound_spans(raw: DataFrame, sentences: DataFrame, source: DataFrame) -> DataFrame:
+    """What ``bind`` gives, without the evidence: which claims stay, and where.
 
-    Progress rows and claims without a known sentence are skipped, claims about a vague subject too; a vague object is
-    a literal. One candidate a run of sentences; the first of equal (claim, span) stays."""
+    Joins are of narrow rows; a claim's text, which is as long as the source, is joined to those that stay, once, and a digest
+    of it tells claims apart before."""
     claims = raw.where("not coalesce(progress, false)")
-    aliases = acronyms(source)
+    aliases = written(acronyms(source), "aliases")  # few as a rule: Spark knows how many, and sends them to the claims
     subjects = claims.select("doc_id", (2 * F.col("pos")).alias("pos"), F.col("subject").alias("label"))
     objects = claims.where(object_type(F.coalesce("object", F.lit(""))) == "entity").select("doc_id", (2 * F.col("pos") + 1).alias("pos"), F.col("object").alias("label"))
     canonical = canonical_forms(subjects.unionByName(objects), aliases)
     c = claims.withColumns({"claim_text": _or("claim_text", F.lit("Unknown")), "raw_subject": _or("subject", F.lit("Unknown")), "raw_predicate": _or("predicate", F.lit("relates to"))})
-    c = c.withColumn("raw_object", _or("object", F.col("claim_text")))
+    c = c.select("doc_id", "pos", "raw_subject", F.lower("raw_predicate").alias("predicate"), _or("object", F.col("claim_text")).alias("raw_object"), F.unhex(F.sha2("claim_text", 256)).alias("_said"))
     c = resolve(resolve(c, "raw_subject", aliases, canonical, "s"), "raw_object", aliases, canonical, "o").withColumn("kind", object_type(F.col("raw_object")))
     c = c.withColumn("o", F.when(F.col("kind") == "entity", F.col("o")).otherwise(F.col("raw_object"))).where(~is_garbage_entity(F.col("s")))
-    c = c.withColumn("kind", F.when((F.col("kind") == "entity") & is_garbage_entity(F.col("o")), "literal:string").otherwise(F.col("kind")))
+    c = c.withColumn("kind", F.when((F.col("kind") == "entity") & is_garbage_entity(F.col("o")), "literal:string").otherwise(F.col("kind"))).drop("raw_subject", "raw_object")
     starts = sentences.select("doc_id", F.col("index").alias("first"), "byte_start")
     ends = sentences.select("doc_id", F.col("index").alias("last"), "byte_end")
-    bound = c.join(contiguous(claims.select("doc_id", "pos", "sentence_ids"), sentences), ["doc_id", "pos"]).join(starts, ["doc_id", "first"]).join(ends, ["doc_id", "last"])
-    once = Window.partitionBy("doc_id", "claim_text", "byte_start", "byte_end").orderBy("pos")
+    runs = contiguous(claims.select("doc_id", "pos", "sentence_ids"), sentences).join(starts, ["doc_id", "first"]).join(ends, ["doc_id", "last"])
+    bound = c.join(runs, ["doc_id", "pos"])
+    once = Window.partitionBy("doc_id", "_said", "byte_start", "byte_end").orderBy("pos")
     bound = bound.withColumn("k", F.row_number().over(once)).where("k = 1")
-    bound = bound.select(
-        "doc_id", "pos", F.col("s").alias("subject"), F.lower("raw_predicate").alias("predicate"), F.col("o").alias("object"), F.col("kind").alias("object_type"), F.lit(3).alias("tier"), "byte_start", "byte_end", F.col("page").alias("source_page"), "claim_text"
-    )
+    return bound.select("doc_id", "pos", F.col("s").alias("subject"), "predicate", F.col("o").alias("object"), F.col("kind").alias("object_type"), F.lit(3).alias("tier"), "byte_start", "byte_end", F.col("page").alias("source_page"), "_said")
+
+
+def bind(raw: DataFrame, sentences: DataFrame, source: DataFrame) -> DataFrame:
+    """raw (doc_id, pos, claim_text, subject, predicate, object, sentence_ids, progress) over the documents' sentences
+    (doc_id, index, byte_start, byte_end, page) and ``source`` (doc_id, text) -> byte-bound candidates, each document
+    for itself.
+
+    Progress rows and claims without a known sentence are skipped, claims about a vague subject too; a vague object is
+    a literal. One candidate a run of sentences; the first of equal (claim, span) stays."""
+    said = raw.where("not coalesce(progress, false)").select("doc_id", "pos", _or("claim_text", F.lit("Unknown")).alias("claim_text"))
+    said = said.withColumn("_said", F.unhex(F.sha2("claim_text", 256))).dropDuplicates(["doc_id", "pos", "_said"])
+    bound = bound_spans(raw, sentences, source).join(said, ["doc_id", "pos", "_said"]).drop("_said")
     return beside_text(bound, source, ["byte_start", "byte_end"], [("evidence", "string", pa.string())], slices)
 
 

@@ -242,3 +242,34 @@ def test_cursor(spark):
     assert chunk.resume_cursor(p).first()["cursor"] == 30
     assert chunk.resume_cursor(p.where("last_sent_idx < 0")).first()["cursor"] == 0
     assert chunk.resume_cursor(spark.createDataFrame([(2,)], "last_sent_idx int")).first()["cursor"] == 0
+
+
+def test_binding_joins_a_claims_text_once(spark):
+    """What tells which claims stay, and where, holds no text of a claim; it does not go through a document's text."""
+    from claimlake.operators import bind
+
+    raw = spark.createDataFrame([("d", 0, "Acme said so.", "Acme", "says", "so much", [0], False), ("d", 0, "Acme said so.", "ACME", "says", "so much", [0], False), ("d", 1, "Acme said so.", "Acme", "says", "more", [0], False), ("d", 2, "x", "Acme", "says", "it", [9], False)], "doc_id string, pos int, claim_text string, subject string, predicate string, object string, sentence_ids array<int>, progress boolean")
+    sentences = spark.createDataFrame([("d", 0, 0, 13, 0)], "doc_id string, index int, byte_start long, byte_end long, page int")
+    docs = spark.createDataFrame([("d", "Acme said so.")], "doc_id string, text string")
+    spans = bind.bound_spans(raw, sentences, docs)
+    assert "claim_text" not in spans.columns and spans.count() == 1
+    found = bind.bind(raw, sentences, docs).collect()
+    assert [(r["doc_id"], r["pos"], r["subject"], r["object"], r["claim_text"], r["evidence"]) for r in found] == [("d", 0, "Acme", "so much", "Acme said so.", "Acme said so.")]
+
+
+def test_votes_are_counted_in_one_shuffle(spark):
+    from claimlake.operators import bind
+
+    labels = spark.createDataFrame([(1, i, w) for i, w in enumerate(["a", "A", "A", "b", "B", " "])], "doc_id long, pos int, label string")
+    votes = bind.canonical_forms(labels, spark.createDataFrame([], "doc_id long, acronym string, full_name string").limit(0))
+    assert sorted(map(tuple, votes.collect())) == [(1, "a", "A"), (1, "b", "b")]
+    assert votes._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+
+
+def test_few_strings_are_found_as_many_are():
+    from claimlake.operators import beside
+
+    text, needles = "aaa bab aaa", ["aa", "bab", "", None, "zz", "aa"]
+    few = beside.found_in(text, needles)
+    many = beside.found_in(text, [*needles, "q1", "q2", "q3", "q4"])
+    assert few == tuple(x[: len(needles)] for x in many) == ([2, 1, 0, None, 0, 2], [2, 1, 0, None, 0, 2])
