@@ -20,17 +20,17 @@ def citations(text: Column) -> Column:
     return F.array_sort(F.array_distinct(numbers))
 
 
-def sentences(answers: DataFrame) -> DataFrame:
-    """answers (answer_id, answer) -> answer_id, pos, sentence; sentences end in . ! or ?"""
+def sentences(answers: DataFrame, *keep: str) -> DataFrame:
+    """answers (answer_id, answer) -> answer_id, pos, sentence and the columns ``keep`` of the answer; sentences end in . ! or ?"""
     parts = F.split("answer", r"(?<=[.!?])\s+", -1)
-    rows = answers.select("answer_id", F.posexplode(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))).alias("pos", "sentence"))
+    rows = answers.select("answer_id", *keep, F.posexplode(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))).alias("pos", "sentence"))
     return rows.where("sentence <> ''")
 
 
 def check(answers: DataFrame) -> DataFrame:
     """answers (answer_id, answer, valid_ids array<int>) -> each sentence with cites, invalid and status: verified,
     fabricated (cites what is not in the context), uncited (states a fact without a source) or pass."""
-    s = sentences(answers).join(answers.select("answer_id", "valid_ids"), "answer_id").withColumn("cites", citations(F.col("sentence")))
+    s = sentences(answers.where("answer_id is not null"), "valid_ids").withColumn("cites", citations(F.col("sentence")))
     s = s.withColumn("invalid", F.array_except("cites", "valid_ids"))
     exempt = (F.length("sentence") < SHORT) | F.col("sentence").endswith("?") | reduce(Column.__or__, [F.lower("sentence").startswith(p) for p in SAFE])
     cited = F.size("cites") > 0
