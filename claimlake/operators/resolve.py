@@ -33,7 +33,13 @@ def provenance_chain(claims: DataFrame, entities: DataFrame, provenance: DataFra
     span = spans.select("source_hash", "byte_start", "byte_end", F.col("text").alias("evidence"), *(["span_id"] if locators is not None else []))
     out = named.join(proof, "claim_id").join(span, ["source_hash", "byte_start", "byte_end"])
     if locators is not None:
-        out = out.join(locators.select("span_id", "kind", "page_index", "paragraph_index"), "span_id", "left")
+        # What locates a span goes to its place, where the chain is already; so the chain's texts are not dealt out again.
+        at = locators.select("span_id", F.struct("span_id", "kind", "page_index", "paragraph_index").alias("_at"))
+        places = spans.select("span_id", "source_hash", "byte_start", "byte_end").distinct().join(at, "span_id")
+        places = places.groupBy("source_hash", "byte_start", "byte_end").agg(F.collect_list("_at").alias("_at"))
+        out = out.join(places, ["source_hash", "byte_start", "byte_end"], "left")
+        out = out.withColumn("_at", F.explode_outer(F.filter("_at", lambda x: x["span_id"] == F.col("span_id"))))
+        out = out.select("*", "_at.kind", "_at.page_index", "_at.paragraph_index")
     extra = ["kind", "page_index", "paragraph_index"] if locators is not None else []
     return out.select("claim_id", "subject", "predicate", "object", "tier", "source_hash", "byte_start", "byte_end", "evidence", *extra)
 

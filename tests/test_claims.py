@@ -273,3 +273,28 @@ def test_few_strings_are_found_as_many_are():
     few = beside.found_in(text, needles)
     many = beside.found_in(text, [*needles, "q1", "q2", "q3", "q4"])
     assert few == tuple(x[: len(needles)] for x in many) == ([2, 1, 0, None, 0, 2], [2, 1, 0, None, 0, 2])
+
+
+def test_locators_go_to_the_place_of_their_span(spark):
+    """Repeated spans and locators, two spans of one place, and one without a locator."""
+    from claimlake.operators import resolve
+
+    claims = spark.createDataFrame([("c", "s", "p", "o", "literal:string", 0)], "claim_id string, subject string, predicate string, object string, object_type string, tier int")
+    entities = spark.createDataFrame([("s", "S")], "entity_id string, label string")
+    proof = spark.createDataFrame([("c", "h", 0, 1), ("c", "h", 5, 6)], "claim_id string, source_hash string, byte_start long, byte_end long")
+    spans = spark.createDataFrame([("s1", "h", 0, 1, "a"), ("s1", "h", 0, 1, "a"), ("s2", "h", 0, 1, "b"), ("s3", "h", 5, 6, "c")], "span_id string, source_hash string, byte_start long, byte_end long, text string")
+    locators = spark.createDataFrame([("s1", "text", 0, 7), ("s1", "text", 0, 7), ("s2", "page", 1, 8)], "span_id string, kind string, page_index int, paragraph_index int")
+    chain = resolve.provenance_chain(claims, entities, proof, spans, locators)
+    got = sorted((r["evidence"], r["kind"] or "", r["paragraph_index"] or -1) for r in chain.collect())
+    assert got == [("a", "text", 7)] * 4 + [("b", "page", 8), ("c", "", -1)]
+    plan = chain._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan  # the chain's texts are not joined by span_id
+
+
+def test_answers_are_not_joined_to_themselves(spark):
+    from claimlake.operators import firewall
+
+    answers = spark.createDataFrame([(1, "Its price is one [1]. Its weight is two of them [2].", [1]), (2, None, [1])], "answer_id int, answer string, valid_ids array<int>")
+    checked = firewall.check(answers)
+    assert "Join" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["answer_id"], r["pos"], r["status"]) for r in checked.collect()) == [(1, 0, "verified"), (1, 1, "fabricated")]
