@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 from claimlake.functions.scalar import DATE, MONEY, header_predicate
 from claimlake.operators.beside import beside_text, found_in
 from claimlake.operators.prefix import running
+from claimlake.runtime import written
 
-#: Line ends that are appended to one another before they are put away.
+#: Running sums that are appended to one another before they are put away.
 PART = 64
 COLUMNS = ("doc_id", "subject", "predicate", "object", "object_type", "evidence", "tier", "extraction_method")
 #: Patterns of statute sections, case citations, quotes, headings and references.
@@ -44,21 +45,25 @@ def structured_lift(table: DataFrame, subject_col: str | None = None) -> DataFra
     return kept.select("subject", "predicate", "object", F.lit("literal:string").alias("object_type"), evidence.alias("evidence"), F.lit(0).alias("tier"))
 
 
-def lines(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, pos, line, byte_start, byte_end of every line, empty ones too, and the columns ``keep`` of its document.
-    Offsets add up within the row's own array of lines, so nothing is shuffled."""
-    split = docs.select("doc_id", *keep, F.split("text", "\n", -1).alias("ls"))
-    sizes = F.transform("ls", lambda x: F.octet_length(x).cast("long"))
+def sums(sizes: Column) -> Column:
+    """The running sums of an array of longs. Appending copies an array, so they are gathered in short parts, and the parts in
+    an array."""
     none, nested = F.array().cast("array<bigint>"), F.array().cast("array<array<bigint>>")
 
     def add(acc: Column, n: Column) -> Column:
-        """Appending copies an array, so ends are gathered in short parts, and the parts in an array."""
-        end = acc["end"] + 1 + n
+        end = acc["end"] + n
         full = F.size(acc["part"]) >= PART
         return F.struct(end.alias("end"), F.array_append(F.when(full, none).otherwise(acc["part"]), end).alias("part"), F.when(full, F.array_append(acc["all"], acc["part"])).otherwise(acc["all"]).alias("all"))
 
-    start = F.struct(F.lit(-1).cast("long").alias("end"), none.alias("part"), nested.alias("all"))
-    ends = F.aggregate(sizes, start, add, lambda acc: F.flatten(F.array_append(acc["all"], acc["part"])))
+    start = F.struct(F.lit(0).cast("long").alias("end"), none.alias("part"), nested.alias("all"))
+    return F.aggregate(sizes, start, add, lambda acc: F.flatten(F.array_append(acc["all"], acc["part"])))
+
+
+def lines(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, pos, line, byte_start, byte_end of every line, empty ones too, and the columns ``keep`` of its document.
+    Offsets add up within the row's own array of lines, so nothing is shuffled."""
+    split = docs.select("doc_id", *keep, F.split("text", "\n", -1).alias("ls"))
+    ends = F.transform(sums(F.transform("ls", lambda x: F.octet_length(x).cast("long") + 1)), lambda x: x - 1)
     flat = split.withColumn("ends", ends).select("doc_id", *keep, F.posexplode(F.arrays_zip("ls", "ends")).alias("pos", "z"))
     return flat.select("doc_id", "pos", F.col("z.ls").alias("line"), (F.col("z.ends") - F.octet_length("z.ls")).alias("byte_start"), F.col("z.ends").alias("byte_end"), *keep)
 
@@ -77,12 +82,11 @@ def matches(docs: DataFrame, pattern: str, *groups: int) -> DataFrame:
     """One row for each match: doc_id, text, k (from 0), g0 (the match), g<n>, at (character offset of the match)."""
     found = {f"_g{g}": F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, *groups)}
     df = docs.select("doc_id", "text").where(F.col("text").rlike(pattern)).withColumns(found)
-    gaps = F.split("text", pattern, -1)  # what lies between the matches tells where they begin
-    df = df.withColumn("_gaps", F.transform(gaps, lambda x: F.length(x)))
-    df = df.select("doc_id", "text", "_gaps", F.posexplode(F.arrays_zip(*found)).alias("k", "m"), F.col("_g0").alias("_all"))
-    before = F.aggregate(F.slice("_gaps", F.lit(1), F.col("k") + 1), F.lit(0), lambda a, x: a + x)
-    own = F.aggregate(F.transform(F.slice("_all", F.lit(1), F.col("k")), lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
-    return df.select("doc_id", "text", "k", *[F.col(f"m._g{g}").alias(f"g{g}") for g in (0, *groups)], (before + own).alias("at"))
+    gaps = F.transform(F.split("text", pattern, -1), lambda x: F.length(x).cast("long"))  # what lies between the matches tells where they begin
+    sizes = F.zip_with(gaps, F.concat(F.array(F.lit(0)), F.transform("_g0", lambda x: F.length(x))), lambda gap, match: gap + match)
+    df = df.withColumn("_at", F.slice(F.transform(sums(sizes), lambda x: x.cast("int")), F.lit(1), F.size("_g0")))  # the last sum is behind all
+    df = df.select("doc_id", "text", F.posexplode(F.arrays_zip(*found, "_at")).alias("k", "m"))
+    return df.select("doc_id", "text", "k", *[F.col(f"m._g{g}").alias(f"g{g}") for g in (0, *groups)], F.col("m._at").alias("at"))
 
 
 def sentence_around(text: Column, at: Column, size: Column, reach: int = 200) -> Column:
@@ -178,7 +182,9 @@ def mentions(chunks: DataFrame) -> DataFrame:
 
 
 def in_source(candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates whose evidence occurs in their document."""
+    """Candidates whose evidence occurs in their document. They are written first, since their sizes are asked for before they are
+    dealt out and patterns cost more than a table."""
+    candidates = written(candidates, "candidates")
     counts = [("_apart", "int", pa.int32()), ("_places", "int", pa.int32())]
     found = beside_text(candidates, docs, ["evidence"], counts, found_in)
     return found.where("_places > 0 or (evidence = '' and _places is not null)").drop("_apart", "_places")

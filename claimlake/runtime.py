@@ -77,3 +77,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly to two tasks a core, or to as many as it has: for work that costs far more than reading the rows. Small
+    files make few scan tasks, and row groups go whole to one."""
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(tasks, df.rdd.getNumPartitions()))
