@@ -208,5 +208,5 @@ PASSES = {"tier0_markdown": 3, "tier0_statutory": 1, "tier0_cases": 1, "tier0_bl
 
 @register(" union all ".join(f"select '{name}' as generator, {i} as pass, {n} * count(*)::bigint as n from part" for i, (name, n) in enumerate(PASSES.items())))
 def generators(spark, sf):
-    found = registry.run(view(spark, sf, "part", tables.MARKDOWN), list(PASSES))
+    found = registry.run(view(spark, sf, "part", tables.MARKDOWN, deal=True), list(PASSES))
     return found.groupBy("generator", F.col("pass")).agg(F.count("*").alias("n"))

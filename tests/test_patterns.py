@@ -2,8 +2,9 @@
 
 import re
 
+from claimlake import registry
 from claimlake.operators import extract
-from claimlake.plans import tables
+from claimlake.plans import stores, tables
 from pyspark.sql import functions as F
 
 
@@ -40,3 +41,10 @@ def test_candidates_are_found_once(spark):
     docs = spark.createDataFrame([(i, f"{i:03} here") for i in range(rows)], "doc_id long, text string")
     got = extract.in_source(docs.select("doc_id", evidence("text").alias("evidence")), docs)
     assert sorted(r["evidence"] for r in got.collect()) == [f"{i:03}" for i in range(rows)] and runs.value == rows
+
+
+def test_generators_run_over_documents_dealt_out(spark, sf, monkeypatch):
+    parts = []
+    monkeypatch.setattr(registry, "run", lambda docs, enabled: parts.append(docs.rdd.getNumPartitions()) or docs.withColumns({"generator": F.lit("x"), "pass": F.lit(0)}))
+    stores.generators(spark, sf)
+    assert parts[0] >= 2 * spark.sparkContext.defaultParallelism
