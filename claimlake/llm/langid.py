@@ -2,12 +2,13 @@
 
 A text is the L2-normalised TF-IDF vector of its byte bigrams and trigrams (letters only: digits, punctuation and
 white space become one space; grams are hashed to ``DIMENSIONS``). Document frequencies cover every training row.
-Each language has up to ``CLUSTERS`` centroids from spherical k-means over a sample of its training rows that a hash
-of the text draws. A text takes the language of the centroid with the largest cosine.
+Each language has up to ``CLUSTERS`` centroids from spherical k-means over all its training rows; k-means has to start
+somewhere, and starts from the centroids of some rows that a hash of the text draws. A text takes the language of the
+centroid with the largest cosine.
 
 Rejection is by distance, under a law for each centroid: the cosine that a text must reach depends on how many different
 grams it has, since short and repetitive texts of a language lie farther from its centroids than long ones. The law
-comes from windows of many lengths cut out of the sample.
+comes from windows of many lengths cut out of every training row.
 """
 
 from __future__ import annotations
@@ -26,10 +27,16 @@ from claimlake.llm.common import drop, held_out, table, text_bytes
 from claimlake.llm.textkit import chunks
 
 DIMENSIONS, CLUSTERS = 4096, 4
-#: Training rows whose vectors the centroids are fitted on, shared evenly by the languages. Each language has one at least,
-#: so driver and workers hold 16 KB for max(SAMPLE_ROWS, languages) rows, however large the table.
+#: Training rows that k-means starts from, shared evenly by the languages. Each language has one at least, so driver and
+#: workers hold 16 KB for max(SAMPLE_ROWS, languages) rows, however large the table.
 SAMPLE_ROWS = 2000
-#: A centroid that holds a smaller share of its language's sample stands for outliers and is left out.
+#: Rounds of k-means over all training rows, fewer if no centroid moves farther than this cosine from where it was.
+ROUNDS, STILL = 5, 1 - 1e-6
+#: Vectors are added up in whole numbers of this part of one, so sums do not depend on the order of rows.
+UNIT = 1 << 20
+#: Cosines of windows are counted in this many steps.
+STEPS = 10_000
+#: A centroid that holds a smaller share of its language's rows stands for outliers and is left out.
 LEAST_SHARE = 0.01
 #: Bytes of the windows that the law of rejection is learned from; the bands of different grams that it knows; and the
 #: windows of a band that a centroid needs for a law of its own.
@@ -142,28 +149,78 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def _window_cosines(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """How many windows of a batch have a centroid, band and cosine, as one number."""
     for batch in batches:
-        for text in batch["b"]:
-            for counts in gram_counts(pa.array(windows(text.as_py()), pa.binary())):
+        keys = [np.zeros(0, np.int64)]
+        for a in range(0, batch.num_rows, BLOCK):
+            cut = [w for text in batch["b"].slice(a, BLOCK).to_pylist() for w in windows(text)]
+            for counts in gram_counts(pa.array(cut, pa.binary())):
                 top, score = model.value.nearest(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(band(counts)), pa.array(score.astype(np.float64))], names=["centroid", "band", "score"])
-
-
-def law_of(centroid: np.ndarray, at: np.ndarray, score: np.ndarray, number: int) -> np.ndarray:
-    """The least cosine by centroid and band, from the windows nearest to each centroid; a band where a centroid has few
-    has that of all windows. Never falls with the band; bands without windows take the next lower one's."""
-    near = np.clip(np.round(at), 0, BANDS - 1).astype(np.int64)
+                near = np.clip(np.round(band(counts)), 0, BANDS - 1).astype(np.int64)
+                keys.append((top * BANDS + near) * (STEPS + 1) + np.rint(score.astype(np.float64) * STEPS).astype(np.int64))
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        step = [key // (STEPS + 1) // BANDS, key // (STEPS + 1) % BANDS, key % (STEPS + 1), n]
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in step], names=["centroid", "band", "step", "n"])
+
+
+def law_of(rows: DataFrame, model: Model) -> np.ndarray:
+    """The least cosine by centroid and band, from the windows of all ``rows`` (b), nearest to each centroid; a band where a
+    centroid has few has that of all windows. Never falls with the band; bands without windows take the next lower one's."""
+    shipped, number = rows.sparkSession.sparkContext.broadcast(model), len(model.centroids)
+    seen = rows.select("b").mapInArrow(partial(_window_cosines, model=shipped), "centroid long, band long, step long, n long")
+    seen = table(seen.groupBy("centroid", "band", "step").agg(F.sum("n").alias("n")), "windows")
+    least = [F.sum("n").alias("n"), (F.percentile("step", 0.01, F.col("n")) / STEPS).alias("least")]  # of STEPS + 1 values a group at most
     law = np.zeros((number, BANDS))
-    for k in range(BANDS):
-        every = score[near == k]
-        law[:, k] = np.quantile(every, 0.01) if len(every) >= 20 else 0
-        for c in range(number):
-            own = score[(near == k) & (centroid == c)]
-            if len(own) >= OWN_LAW:
-                law[c, k] = np.quantile(own, 0.01)
+    for r in seen.groupBy("band").agg(*least).where("n >= 20").collect():
+        law[:, r["band"]] = r["least"]
+    for r in seen.groupBy("centroid", "band").agg(*least).where(F.col("n") >= OWN_LAW).collect():
+        law[r["centroid"], r["band"]] = r["least"]
+    drop(seen)
+    shipped.destroy()
     return REJECT_FRACTION * np.maximum.accumulate(law, 1)
 
 
+def _cluster_sums(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """What a partition adds to each centroid: sums by gram, and under -1 its rows. Texts without a gram belong to none."""
+    model = model.value
+    number = {lang: i for i, lang in enumerate(model.languages)}
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        lang = np.array([number[x] for x in batch["lang"].to_pylist()], np.int64)
+        done = 0
+        for counts in gram_counts(batch["b"]):
+            x = vectors(counts, model.idf)
+            own = np.where(model.language_of == lang[done : done + len(x), None], x @ model.centroids.T, -2).argmax(1)
+            done += len(x)
+            own[~counts.any(1)] = -1
+            x = np.rint(x * np.float32(UNIT))
+            for c in np.unique(own[own >= 0]).tolist():
+                mine = own == c
+                sums = total.setdefault(c, np.zeros(DIMENSIONS + 1))
+                sums[:-1] += x[mine].sum(0, dtype=np.float64)  # whole numbers below 2 ** 53, so exact
+                sums[-1] += mine.sum()
+    for c, sums in total.items():
+        gram = np.flatnonzero(sums)
+        n = sums[gram].astype(np.int64)
+        gram[gram == DIMENSIONS] = -1
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), c)), pa.array(gram), pa.array(n)], names=["centroid", "gram", "n"])
+
+
+def refined(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids after a round of k-means over all ``rows`` (lang, b), and how many rows each was the nearest of its language
+    to. Partitions add up; the sums of a centroid, not its rows, go to the driver."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    found = rows.select("lang", "b").mapInArrow(partial(_cluster_sums, model=shipped), "centroid long, gram long, n long")
+    found = found.groupBy("centroid", "gram").agg(F.sum("n").alias("n")).toArrow()
+    shipped.destroy()
+    centroid, gram, n = (found[c].to_numpy() for c in ("centroid", "gram", "n"))
+    total, held = np.zeros(model.centroids.shape), np.zeros(len(model.centroids), np.int64)
+    total[centroid[gram >= 0], gram[gram >= 0]] = n[gram >= 0]
+    held[centroid[gram < 0]] = n[gram < 0]
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+    return np.where(held[:, None] > 0, total, model.centroids).astype(np.float32), held
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from the row nearest the mean and rows drawn by their distance from the centres so far; draws
     are seeded and the order of rows decides ties."""
@@ -186,7 +243,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS) -> Model:
     """Learns from text and language of the rows of ``docs`` that have both; every language that occurs is learned.
-    Languages and the bounded sample go to the driver, nothing else."""
+    Languages, the bounded rows that k-means starts from and sums go to the driver, nothing else."""
     spark = docs.sparkSession
     text = text_bytes(F.col(text_col))
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -214,15 +271,21 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *, samp
     for number, lang in enumerate(languages):
         x = vectors(np.array([np.frombuffer(p, np.uint16) for p in by_lang[lang]]), idf)
         x = x[np.abs(x).sum(1) > 0] if (np.abs(x).sum(1) > 0).any() else x
-        c = kmeans(x, clusters)
-        held = np.bincount((x @ c.T).argmax(1), minlength=len(c))
-        c = c[held >= min(LEAST_SHARE * len(x), held.max())]
-        centroids.append(c)
-        owner += [number] * len(c)
-    model = Model(languages, idf, np.concatenate(centroids), np.array(owner), np.zeros((len(owner), BANDS)))
-    seen = sample.mapInArrow(partial(_window_cosines, model=spark.sparkContext.broadcast(model)), "centroid long, band double, score double").toPandas()
+        centroids.append(kmeans(x, clusters))
+        owner += [number] * len(centroids[-1])
     drop(sample)
-    model.law = law_of(seen["centroid"].to_numpy(), seen["band"].to_numpy(), seen["score"].to_numpy(), len(owner))
+    model = Model(languages, idf, np.concatenate(centroids), np.array(owner), np.zeros((len(owner), BANDS)))
+    for _ in range(ROUNDS):
+        before = model.centroids
+        model.centroids, held = refined(rows, model)
+        if ((before * model.centroids).sum(1) >= STILL * (before * before).sum(1)).all():
+            break
+    every, most = np.zeros(len(languages)), np.zeros(len(languages))
+    np.add.at(every, model.language_of, held)
+    np.maximum.at(most, model.language_of, held)
+    kept = held >= np.minimum(LEAST_SHARE * every, most)[model.language_of]
+    model.centroids, model.language_of = model.centroids[kept], model.language_of[kept]
+    model.law = law_of(rows, model)
     return model
 
 
