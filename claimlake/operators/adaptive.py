@@ -95,15 +95,22 @@ def context_fit(bundles: DataFrame, targets: DataFrame, least: float = CONTEXT_A
     return (pairs.where("not (source <=> target_id)") if skip_self else pairs).select("bundle_id", "target_id", "score")
 
 
-def evaluate(bundles: DataFrame, shadows: DataFrame) -> DataFrame:
+def evaluate(bundles: DataFrame, shadows: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """bundles (bundle_id, context_score, baseline, improved) and shadows (bundle_id, improvement) -> recommendation.
     Without shadow results the reported improvement counts, at stability one half.
 
     A mean may lie on the threshold, and sums of doubles go by the order of their rows; so improvements are summed as decimals of 18
-    places, exactly, and only a bundle with one that is none (from 1e10 on, infinite, not a number) by its doubles."""
-    exact = F.col("improvement").try_cast("decimal(28,18)")
-    inexact = F.count_if(F.col("improvement").isNotNull() & exact.isNull()) > 0
-    mean = F.when(inexact, F.avg("improvement")).otherwise(F.avg(exact).cast("double"))
+    places, exactly, and only a bundle with one that is none (from 1e10 on, infinite, not a number) by its doubles. With ``order``,
+    columns of shadows, a bundle's doubles are added one by one in that order instead, as an average over rows in turn does: a bundle's rows are
+    sorted by one task, which spills."""
+    if order:
+        turn = Window.partitionBy("bundle_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        shadows = shadows.select("bundle_id", "improvement", F.sum("improvement").over(turn).alias("_sum"), F.row_number().over(turn).alias("_turn"))
+        mean = F.try_divide(F.max_by("_sum", "_turn"), F.count("improvement"))
+    else:
+        exact = F.col("improvement").try_cast("decimal(28,18)")
+        inexact = F.count_if(F.col("improvement").isNotNull() & exact.isNull()) > 0
+        mean = F.when(inexact, F.avg("improvement")).otherwise(F.avg(exact).cast("double"))
     seen = shadows.groupBy("bundle_id").agg(F.count("*").alias("n"), mean.alias("mean"), F.var_pop("improvement").alias("variance"))
     df = bundles.join(seen, "bundle_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     improvement = F.coalesce("mean", improvement_pct(F.col("baseline"), F.col("improved")) / 100)

@@ -328,10 +328,12 @@ select b.bundle_id, b.context_score, coalesce(s.n, 0)::bigint as n, case when b.
  case when s.n > 0 then round(1 / (1 + s.variance), 9) else 0.5 end as stability from b left join s on s.user_id = b.bundle_id"""
 )
 def bundle_evaluation(spark, sf):
+    """Doubles are added in the order of the table's rows, as the SQL's average takes them: means of just the threshold go by it."""
     e = read(spark, sf, "events")
     b = e.select(F.col("user_id").alias("bundle_id")).distinct().withColumns({"context_score": (F.col("bundle_id") % 10).cast("double") / 10, "baseline": F.lit(1.0), "improved": F.lit(1.1)})
-    shadows = e.select(F.col("user_id").alias("bundle_id"), ((F.col("event_id") % 20).cast("double") / 100).alias("improvement"))
-    return adaptive.evaluate(b, shadows).select("bundle_id", "context_score", "n", "recommendation", F.round("stability", 9).alias("stability"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    shadows = e.select(F.col("user_id").alias("bundle_id"), ((F.col("event_id") % 20).cast("double") / 100).alias("improvement"), *place)
+    return adaptive.evaluate(b, shadows, ("file", "row")).select("bundle_id", "context_score", "n", "recommendation", F.round("stability", 9).alias("stability"))
 
 
 @register(

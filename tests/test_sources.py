@@ -301,3 +301,22 @@ def test_a_mean_on_the_threshold_is_not_below_it(spark):
         assert [tuple(r) for r in adaptive.evaluate(bundles, shadows).select("improvement", "recommendation").collect()] == [(0.1, "adopt")]
     odd = spark.createDataFrame([("b", v) for v in (1e30, 0.5)], "bundle_id string, improvement double")
     assert adaptive.evaluate(bundles, odd).first()["improvement"] == 5e29
+
+
+def test_a_mean_goes_by_the_rows_in_turn_where_the_sql_does(spark, tmp_path):
+    """Means of just the threshold, in one file: the SQL's answer is that of its rows in turn, whatever the threads."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from claimlake.plans import catalog
+
+    values = [1, 19, 2, 18, 3, 17, 4, 16, 7, 13, 6, 14]
+    orders = [values, values[::-1], sorted(values), sorted(values, reverse=True), values[::2] + values[1::2], sorted(values, key=lambda v: v * 7 % 11)]
+    rows = [(1000 - 20 * user + v, 10 * user + 9) for user, order in enumerate(orders) for v in order]  # ids do not ascend
+    pq.write_table(pa.table({"event_id": [r[0] for r in rows], "user_id": [r[1] for r in rows]}), f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    df = catalog.bundle_evaluation(spark, str(tmp_path))
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(con.sql(f"select {', '.join(df.columns)} from ({catalog.ORACLES['bundle_evaluation']})").fetchall())
+    assert {r[df.columns.index("recommendation")] for r in got} == {"reject", "adopt"}
