@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters of an object that go with its claim's id.
+SHORT = 64
+
+
 def object_label(object_type, label, obj):
     """An entity object reads as its label, a literal as itself."""
     return F.when(object_type == "entity", label).otherwise(obj)
@@ -44,6 +48,31 @@ def provenance_chain(claims: DataFrame, entities: DataFrame, provenance: DataFra
     return out.select("claim_id", "subject", "predicate", "object", "tier", "source_hash", "byte_start", "byte_end", "evidence", *extra)
 
 
+def said_once(claims: DataFrame, entities: DataFrame, provenance: DataFrame, spans: DataFrame) -> DataFrame:
+    """claim_id, source_hash, byte_start, byte_end of provenance, without the rows whose chain has the subject, predicate, object, bytes
+    and evidence of another's; of one shard whose spans hold what lies at their bytes. Texts meet as digests, so none is shuffled to be made
+    distinct. Beside them subject, predicate, _short (an object of at most ``SHORT`` characters) and _own: whether the object reads as the evidence."""
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    short = F.when(F.length("object") <= SHORT, F.col("object"))
+    named = claims_resolved(claims, entities, strict=True).select("claim_id", "subject", "predicate", short.alias("_short"), digest("object").alias("_object"))
+    said = spans.select("source_hash", "byte_start", "byte_end", digest("text").alias("_said"))
+    proof = provenance.select("claim_id", "source_hash", "byte_start", "byte_end").join(named, "claim_id").join(said, ["source_hash", "byte_start", "byte_end"])
+    one = F.min(F.struct("claim_id", "source_hash", "_short")).alias("_one")
+    first = proof.groupBy("subject", "predicate", "_object", "_said", "byte_start", "byte_end").agg(one)
+    return first.select("_one.*", "byte_start", "byte_end", "subject", "predicate", F.coalesce(F.col("_object") == F.col("_said"), F.lit(False)).alias("_own"))
+
+
+def evidence_once(once: DataFrame, claims: DataFrame, entities: DataFrame, spans: DataFrame) -> DataFrame:
+    """subject, predicate, object, byte_start, byte_end, evidence of the rows of ``said_once``, a table. Only claims whose object is neither
+    short nor their evidence are asked for it again, if there are any."""
+    columns = "subject", "predicate", "object", "byte_start", "byte_end", "evidence"
+    near = F.col("_short").isNotNull() | F.col("_own")
+    said = spans.select("source_hash", "byte_start", "byte_end", F.col("text").alias("evidence"))
+    out = once.where(near).join(said, ["source_hash", "byte_start", "byte_end"]).withColumn("object", F.coalesce("_short", "evidence")).select(*columns)
+    far = once.where(~near)
+    return out if far.isEmpty() else out.unionByName(provenance_chain(claims, entities, far, spans).select(*columns))
+
+
 def numbered_context(chain: DataFrame, most: int = 20) -> DataFrame:
     """The first ``most`` links, numbered from 1 for citation."""
     from pyspark.sql.window import Window

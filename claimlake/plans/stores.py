@@ -8,12 +8,13 @@ import json
 from pyspark.sql import functions as F
 
 from claimlake import registry
-from claimlake.operators import asking, derive, emit, extract
+from claimlake.functions import ids
+from claimlake.operators import asking, derive, emit, extract, resolve
 from claimlake.plans import tables
 from claimlake.plans.projections import read
 from claimlake.plans.registered import ORACLES, register
 from claimlake.plans.tables import text, view
-from claimlake.runtime import scratch
+from claimlake.runtime import delete, scratch, tidy, written
 from claimlake.session import Session
 from claimlake.sources import chat, documents, envelope, shards
 
@@ -64,16 +65,29 @@ def mounted_tables(spark, sf):
 
 @register(f", {SAID} select distinct subject, predicate, object, byte_start, byte_end, line as evidence from said", "dl")
 def envelope_claims(spark, sf):
-    """A shard of all lines, sealed under two colours, opened again, verified and mounted."""
-    docs = read(spark, sf, "documents")
-    ls = extract.lines(docs, "lang", "source").where("line <> ''")
-    said = ls.select("doc_id", *_claims(), F.col("line").alias("evidence"), "byte_start", "byte_end", (F.col("pos") % 4).alias("tier"))
+    """A shard of all lines, sealed under two colours, opened again, verified and mounted. What the next step has taken over is
+    removed, table by table, so the shard is on disk once, and beside it the table that is sealed or opened."""
+    docs, secret = read(spark, sf, "documents").withColumn("source_hash", ids.source_hash(F.col("text"))), b"a secret of this query"
+    ls = extract.lines(docs, "lang", "source", "source_hash").where("line <> ''")
+    said = ls.select("doc_id", "source_hash", *_claims(), F.col("line").alias("evidence"), "byte_start", "byte_end", (F.col("pos") % 4).alias("tier"))
     folder = scratch(spark)
-    shards.compile_shard(said, docs.select("doc_id", "text"), f"{folder}/shard", namespace="lines")
-    envelope.seal(spark, f"{folder}/shard", f"{folder}/sealed", b"a secret of this query", {"content/": "Red"})
-    session = Session(spark)
-    session.mount(f"{folder}/sealed", b"a secret of this query", f"{folder}/open")
-    return session.provenance().select("subject", "predicate", "object", "byte_start", "byte_end", "evidence").distinct()
+    with tidy(spark):
+        shards.compile_shard(said, docs.select("doc_id", "text"), f"{folder}/shard", namespace="lines")
+        envelope.seal(spark, f"{folder}/shard", f"{folder}/sealed", secret, {"content/": "Red"}, consume=True)
+        delete(spark, f"{folder}/shard")
+        opened = envelope.open_envelope(spark, f"{folder}/sealed", secret, f"{folder}/open", consume=True)
+        delete(spark, f"{folder}/sealed")
+        session = Session(spark)
+        mount = session.mount(opened)
+        delete(spark, f"{opened}/content")  # spans are checked against it by now
+        claims, entities, provenance, spans = (session.table(t) for t in ("claims", "entities", "provenance", "spans"))
+        # Hashes of sources go as bytes, half their digits, with each text that meets them.
+        narrow = lambda df: df.withColumn("source_hash", F.unhex("source_hash"))
+        once = written(resolve.said_once(claims, entities, narrow(provenance), narrow(spans)), "once")
+        answer = resolve.evidence_once(once, claims, entities, narrow(spans))
+    session.unmount(mount.mount_id)
+    delete(spark, f"{opened}/graph/provenance.parquet")  # ``once`` has taken it over
+    return answer
 
 
 # --- files ---------------------------------------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ import atexit
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +81,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting to remove an execution's shuffle files when it ends, not when the driver happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go with the job that wrote them; for steps none of whose frames runs twice."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before) if before is not None else spark.conf.unset(TIDY)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """``df`` dealt out evenly to two tasks a core, or to as many as it has: for work that costs far more than reading the rows. Small
     files make few scan tasks, and row groups go whole to one."""

@@ -47,37 +47,67 @@ def _topology(spark: SparkSession, path: str) -> str:
     return topology_hash(edges(spark.read.parquet(f"{path}/graph/claims.parquet"))).first()["topology_hash"]
 
 
-def _put(files: DataFrame, target: str, what: str) -> None:
+def _part(name: str) -> str:
+    """The folder of a file that is sealed and opened at once, where those of a shard go in turn: a table's, or the file itself."""
+    return "/".join(name.split("/")[:2])
+
+
+def _put(files: DataFrame, target: str, what: str, add: bool = False) -> None:
     """files (path, content, problem) below ``target``; the first path by name with a problem raises, and then nothing is left."""
     seen = Observation(f"put_{uuid.uuid4().hex}")
     files = files.observe(seen, F.min(F.when(F.col("content").isNull(), F.struct("path", "problem"))).alias("first"))
-    write_files(files.select("path", "content"), target)
+    write_files(files.select("path", "content"), target, add=add)
     if (first := seen.get["first"]) is not None:
         raise ShardError("MERKLE", f"{what} {first['path']}: {first['problem']}")
 
 
-def _blobs(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
-    """entries (name, hash, ...) with the blob of that hash, read where the task is; a missing one raises."""
-    blobs = spark.read.format("binaryFile").load(f"{path}/blobs").select(F.element_at(F.split("path", "/"), -1).alias("hash"), F.col("content").alias("blob"))
+def _blobs(spark: SparkSession, path: str, entries: DataFrame, hashes: list[str] | None = None) -> DataFrame:
+    """entries (name, hash, ...) with the blob of that hash, read where the task is; a missing one raises. Entries, which
+    the header on the driver holds, go to the blobs, so no blob is shuffled. ``hashes``: those
+    of all entries, so that no other blob is read."""
+    there = None if hashes is None else [f"{path}/blobs/{h}" for h in sorted({*hashes} & {*store.names(spark, f"{path}/blobs")})]
+    blobs = spark.read.format("binaryFile").load(there or f"{path}/blobs").select(F.element_at(F.split("path", "/"), -1).alias("hash"), F.col("content").alias("blob"))
     gone = entries.join(blobs.select("hash"), "hash", "left_anti").agg(F.min("name")).first()[0]
     if gone is not None:
         raise ShardError("MERKLE", f"{gone}: its blob is missing")
-    return blobs.join(entries, "hash")
+    return blobs.join(F.broadcast(entries), "hash")
 
 
-def seal(spark: SparkSession, path: str, out: str, secret: bytes, colour_of: dict[str, str] | None = None, default: str = "Green") -> dict:
+def seal(spark: SparkSession, path: str, out: str, secret: bytes, colour_of: dict[str, str] | None = None, default: str = "Green", consume: bool = False) -> dict:
     """Encrypts every file of a shard, manifest and signature too. ``colour_of``: path prefix -> colour. Files are read,
     encrypted and written in one pass of tasks; the header is written last and holds names and hashes alone.
 
     A nonce is a digest of the file's name: keys are new with every salt and names differ, so none comes twice under a key, and
-    a task that runs again writes the same blob."""
+    a task that runs again writes the same blob. ``consume``: tables are sealed in turn and each is removed when its blobs are written,
+    so a shard is never there twice; for a shard that can be made again, as a failure leaves a part of it."""
     colour_of = colour_of or {}
     bad = {c for c in [*colour_of.values(), default] if c not in COLOURS}
     if bad:
         raise ShardError("LAYOUT", f"no such colours: {sorted(bad)}")
     root, topology = store.qualified(spark, path).rstrip("/"), _topology(spark, path)
     salt = os.urandom(16)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    parts = [""]
+    if consume:
+        tops = [n for n in store.names(spark, path) if n[0] not in "._"]
+        parts = [p for top in tops for p in ([top] if store.is_file(spark, f"{path}/{top}") else [f"{top}/{n}" for n in store.names(spark, f"{path}/{top}")])]
+    entries = []
+    for i, part in enumerate(parts):
+        blobs = _sealed(spark, root, part, secret, salt, topology, colour_of, default)
+        listing = f"{scratch(spark)}/listing"
+        write_files(blobs, f"{out}/blobs", listing, add=i > 0)
+        entries += [json.loads(json.loads(line)) for line in store.read_bytes(spark, listing).decode().splitlines()]
+        if consume:
+            delete(spark, f"{path}/{part}")
+    listed = sorted(entries, key=lambda f: f["path"])
+    head = {"version": "2.0", "topology_hash": topology, "salt": base64.b64encode(salt).decode(), "files": listed, "files_digest": hashlib.sha256(canonical(listed).encode()).hexdigest()}
+    head["mac"] = hmac.new(hkdf(secret, salt, b"header"), canonical(head).encode(), "sha256").hexdigest()
+    store.write_bytes(spark, f"{out}/envelope.json", canonical(head).encode())
+    return head
+
+
+def _sealed(spark: SparkSession, root: str, part: str, secret: bytes, salt: bytes, topology: str, colour_of: dict[str, str], default: str) -> DataFrame:
+    """The blobs (path, content) of a shard's files below ``part``, each with its entry in the header as note."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{part}".rstrip("/"))
     files = files.select(F.substring("path", len(root) + 2, 1 << 30).alias("name"), "content")
     chosen = F.coalesce(*[F.when(F.col("name").startswith(p), c) for p, c in sorted(colour_of.items(), key=lambda x: -len(x[0]))], F.lit(default))
     key = F.coalesce(*[F.when(F.col("colour") == c, F.lit(hkdf(secret, salt, f"{c}:{topology}".encode()))) for c in COLOURS])
@@ -85,14 +115,7 @@ def seal(spark: SparkSession, path: str, out: str, secret: bytes, colour_of: dic
     sealed = F.aes_encrypt(F.col("content"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce, F.concat_ws(":", "colour", "name"))
     files = files.withColumn("colour", chosen).withColumn("sealed", sealed)
     note = F.struct(F.col("name").alias("path"), "colour", classification(F.col("colour")).alias("classification"), F.sha2("content", 256).alias("plain_hash"), F.sha2("sealed", 256).alias("blob"))
-    blobs = files.withColumn("entry", note).select(F.col("entry.blob").alias("path"), F.col("sealed").alias("content"), F.to_json("entry").alias("note"))
-    listing = f"{scratch(spark)}/listing"
-    write_files(blobs, f"{out}/blobs", listing)
-    listed = sorted((json.loads(json.loads(line)) for line in store.read_bytes(spark, listing).decode().splitlines()), key=lambda f: f["path"])
-    head = {"version": "2.0", "topology_hash": topology, "salt": base64.b64encode(salt).decode(), "files": listed, "files_digest": hashlib.sha256(canonical(listed).encode()).hexdigest()}
-    head["mac"] = hmac.new(hkdf(secret, salt, b"header"), canonical(head).encode(), "sha256").hexdigest()
-    store.write_bytes(spark, f"{out}/envelope.json", canonical(head).encode())
-    return head
+    return files.withColumn("entry", note).select(F.col("entry.blob").alias("path"), F.col("sealed").alias("content"), F.to_json("entry").alias("note"))
 
 
 def _open_first(spark: SparkSession, path: str, head: dict, version: str, secret: bytes, into: str) -> str:
@@ -128,8 +151,9 @@ def _open_first(spark: SparkSession, path: str, head: dict, version: str, secret
     return target
 
 
-def open_envelope(spark: SparkSession, path: str, secret: bytes, into: str, colours: tuple[str, ...] = COLOURS) -> str:
-    """Checks and decrypts; returns the shard's folder. Wrong secret, changed header, blobs, names or topology raise."""
+def open_envelope(spark: SparkSession, path: str, secret: bytes, into: str, colours: tuple[str, ...] = COLOURS, consume: bool = False) -> str:
+    """Checks and decrypts; returns the shard's folder. Wrong secret, changed header, blobs, names or topology raise. ``consume``:
+    tables are opened in turn and the blobs of each removed when they are, so a failure leaves neither (version 2.0 only)."""
     head = json.loads(store.read_bytes(spark, f"{path}/envelope.json"))
     other = next((str(v) for k, v in head.items() if k.endswith("_version")), None)
     if other is not None and "version" not in head:
@@ -148,17 +172,34 @@ def open_envelope(spark: SparkSession, path: str, secret: bytes, into: str, colo
         if not safe(f["path"]):
             raise ShardError("LAYOUT", f"unsafe path {f['path']}")
         rows.append((f["path"], f["colour"], f["plain_hash"], f["blob"], bytearray(hkdf(secret, salt, f"{f['colour']}:{head['topology_hash']}".encode()))))
+    parts = sorted({_part(r[0]) for r in rows}) if consume else [None]
+    if consume:
+        delete(spark, target)
+    for part in parts:
+        own = [r for r in rows if part in (None, _part(r[0]))]
+        try:
+            _open(spark, path, own, target, consume)
+        except Exception:
+            if consume:
+                delete(spark, target)
+            raise
+        for r in own if consume else []:
+            delete(spark, f"{path}/blobs/{r[3]}")
+    if set(colours) == set(COLOURS) and _topology(spark, target) != head["topology_hash"]:
+        delete(spark, target)
+        raise ShardError("MERKLE", "the graph is not the one that the keys are bound to")
+    return target
+
+
+def _open(spark: SparkSession, path: str, rows: list[tuple], target: str, add: bool) -> None:
+    """Decrypts the files of ``rows`` (name, colour, hash of the plain file, hash of the blob, key) below ``target``."""
     df = spark.createDataFrame(rows, "name string, colour string, plain string, hash string, key binary")
     whole = F.sha2("blob", 256) == F.col("hash")
     plain = F.try_aes_decrypt(F.col("blob"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws(":", "colour", "name").cast("binary"))
-    df = _blobs(spark, path, df).withColumn("content", F.when(whole, plain))
+    df = _blobs(spark, path, df, [r[3] for r in rows] if add else None).withColumn("content", F.when(whole, plain))
     problem = F.when(~whole, "the blob was changed").otherwise("the content is not what was sealed")
     right = F.sha2("content", 256) == F.col("plain")
-    _put(df.select(F.col("name").alias("path"), F.when(right, F.col("content")).alias("content"), problem.alias("problem")), target, "file")
-    if set(colours) == set(COLOURS) and _topology(spark, target) != head["topology_hash"]:
-        delete(spark, target)
-        raise ShardError("MERKLE", "the graph is not the one that the keys are bound to")
-    return target
+    _put(df.select(F.col("name").alias("path"), F.when(right, F.col("content")).alias("content"), problem.alias("problem")), target, "file", add)
 
 
 def keep_secret(spark: SparkSession, secret: str, password: str, rounds: int = 600_000) -> str:

@@ -109,11 +109,11 @@ def root_of(spark: SparkSession, path: str) -> str:
 def compile_shard(candidates: DataFrame, sources: DataFrame, out: str, *, namespace: str = "default", extensions: dict[str, DataFrame] | None = None, key: bytes | None = None) -> dict:
     """candidates (doc_id, subject, predicate, object, object_type, evidence, byte_start, byte_end, tier) over sources
     (doc_id, text) -> a sealed shard; the manifest is returned. Tables are sorted by key; extensions are derived
-    before the seal, so the root covers them."""
+    before the seal, so the root covers them. Candidates with the source_hash of their text are not joined to the sources for it."""
     spark = candidates.sparkSession
     ns = F.lit(namespace)
     hashed = sources.select("doc_id", ids.source_hash(F.col("text")).alias("source_hash"), "text")
-    c = candidates.join(hashed.select("doc_id", "source_hash"), "doc_id")
+    c = candidates if "source_hash" in candidates.columns else candidates.join(hashed.select("doc_id", "source_hash"), "doc_id")
     c = c.withColumn("s_id", ids.entity_id(ns, F.col("subject")))
     o_id = F.when(F.col("object_type") == "entity", ids.entity_id(ns, F.col("object"))).otherwise(F.col("object"))
     c = c.withColumn("o_id", o_id).withColumn("claim_id", ids.claim_id(F.col("s_id"), F.col("predicate"), F.col("o_id"), F.col("object_type")))
@@ -194,13 +194,15 @@ def verify(spark: SparkSession, path: str, key: bytes | None = None) -> None:
     bad = validate.span_bounds(spans, sources).first()
     if bad:
         raise ShardError("BOUNDS", f"{bad['reason']} {bad['source_hash']} {bad['byte_start']}..{bad['byte_end']}")
-    texts = sources.select("source_hash", F.col("text").alias("_source"))
-    # Bounds hold by now; a digest of what a span says meets its source in its place.
-    said = spans.select("span_id", "source_hash", "byte_start", "byte_end", F.unhex(F.sha2("text", 256)).alias("_said"))
+    texts = sources.select(F.unhex("source_hash").alias("_hash"), F.col("text").alias("_source"))
+    # Bounds hold by now; a digest of what a span says meets its source in its place. Hashes are bytes here, half their digits.
+    said = spans.select(F.unhex("source_hash").alias("_hash"), "byte_start", "byte_end", F.unhex(F.sha2("text", 256)).alias("_said"))
     cut = F.substr(F.col("_source").cast("binary"), F.col("byte_start").cast("int") + 1, (F.col("byte_end") - F.col("byte_start")).cast("int"))
-    unlike = said.join(texts, "source_hash").where(~F.coalesce(F.unhex(F.sha2(cut, 256)) == F.col("_said"), F.lit(False))).first()
+    unlike = said.join(texts, "_hash").where(~F.coalesce(F.unhex(F.sha2(cut, 256)) == F.col("_said"), F.lit(False))).first()
     if unlike:
-        raise ShardError("BOUNDS", f"span {unlike['span_id']} is not what its source says")
+        at = (F.unhex("source_hash") == F.lit(unlike["_hash"])) & (F.col("byte_start") == unlike["byte_start"]) & (F.col("byte_end") == unlike["byte_end"])
+        found = spans.where(at & (F.unhex(F.sha2("text", 256)) == F.lit(unlike["_said"]))).first()
+        raise ShardError("BOUNDS", f"span {found['span_id']} is not what its source says")
     if root_of(spark, path) != manifest["integrity"]["merkle_root"]:
         raise ShardError("MERKLE", "the files do not give the manifest's root")
     if key:

@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(where))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return bool(fs.exists(where)) and bool(fs.getFileStatus(where).isFile())
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path as file tables name it, with its scheme."""
     fs, where = _at(spark, path)

@@ -41,8 +41,8 @@ class Written(WriterCommitMessage):
 
 
 class FilesWriter(DataSourceWriter):
-    def __init__(self, target: str, notes: str | None):
-        self.target, self.notes = target.rstrip("/"), notes
+    def __init__(self, target: str, notes: str | None, add: bool = False):
+        self.target, self.notes, self.add = target.rstrip("/"), notes, add
         self.staging = f"{self.target}.staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> Written:
@@ -81,6 +81,16 @@ class FilesWriter(DataSourceWriter):
             notes_system.create_dir(posixpath.dirname(notes), recursive=True)
             with notes_system.open_output_stream(notes) as stream:
                 stream.write("".join(f"{json.dumps(n)}\n" for m in done for n in m.notes).encode())
+        if self.add:
+            for info in system.get_file_info(arrow_fs.FileSelector(staging, recursive=True)):
+                if info.type == arrow_fs.FileType.File:
+                    at = f"{target}/{posixpath.relpath(info.path, staging)}"
+                    system.create_dir(posixpath.dirname(at), recursive=True)
+                    if system.get_file_info(at).type != arrow_fs.FileType.NotFound:
+                        system.delete_file(at)
+                    system.move(info.path, at)
+            system.delete_dir(staging)
+            return
         old = f"{staging}.old"
         if system.get_file_info(target).type != arrow_fs.FileType.NotFound:
             system.move(target, old)
@@ -103,14 +113,15 @@ class WholeFiles(DataSource):
         return SCHEMA
 
     def writer(self, schema: StructType, overwrite: bool) -> FilesWriter:
-        return FilesWriter(self.options["path"], self.options.get("notes"))
+        return FilesWriter(self.options["path"], self.options.get("notes"), self.options.get("add") == "true")
 
 
-def write_files(rows: DataFrame, target: str, notes: str | None = None) -> None:
+def write_files(rows: DataFrame, target: str, notes: str | None = None, add: bool = False) -> None:
     """rows (path, content and, if wanted, note) as files below ``target``, which they replace; a null content or an unsafe path
-    refuses the whole: the caller counts those. ``notes``: a file that takes the notes, a JSON string a line."""
+    refuses the whole: the caller counts those. ``notes``: a file that takes the notes, a JSON string a line.
+    ``add``: files are moved one by one beside those below ``target``."""
     rows.sparkSession.dataSource.register(WholeFiles)
     if "note" not in rows.columns:
         rows = rows.selectExpr("*", "cast(null as string) as note")
-    sink = rows.select("path", "content", "note").write.format("claimlake_files").mode("append").option("path", target)
+    sink = rows.select("path", "content", "note").write.format("claimlake_files").mode("append").option("path", target).option("add", str(add).lower())
     (sink.option("notes", notes) if notes else sink).save()

@@ -298,3 +298,65 @@ def test_answers_are_not_joined_to_themselves(spark):
     checked = firewall.check(answers)
     assert "Join" not in checked._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["answer_id"], r["pos"], r["status"]) for r in checked.collect()) == [(1, 0, "verified"), (1, 1, "fabricated")]
+
+
+def test_a_chain_says_each_thing_once(spark):
+    """Two claims and three sources that say one thing, an entity's label and a literal that read alike, and rows that differ in one part."""
+    from claimlake.operators import resolve
+
+    claims = spark.createDataFrame([("c1", "s", "p", "x", "literal", 0), ("c2", "s", "p", "e", "entity", 0), ("c3", "s", "p", "y", "literal", 1), ("c4", "s", "p", "long" * 20, "literal", 1)], "claim_id string, subject string, predicate string, object string, object_type string, tier int")
+    entities = spark.createDataFrame([("s", "S"), ("e", "x")], "entity_id string, label string")
+    proof = [("c1", "h1", 0, 1), ("c1", "h2", 0, 1), ("c2", "h3", 0, 1), ("c1", "h1", 2, 3), ("c3", "h1", 0, 1), ("c1", "h4", 0, 1), ("none", "h1", 0, 1), ("c4", "h1", 0, 1), ("c4", "h5", 0, 80), ("c4", "h2", 0, 1)]
+    provenance = spark.createDataFrame(proof, "claim_id string, source_hash string, byte_start long, byte_end long")
+    texts = [("h1", 0, 1, "x"), ("h2", 0, 1, "x"), ("h3", 0, 1, "x"), ("h4", 0, 1, "z"), ("h1", 2, 3, "x"), ("h5", 0, 80, "long" * 20)]
+    spans = spark.createDataFrame(texts, "source_hash string, byte_start long, byte_end long, text string")
+    want = resolve.provenance_chain(claims, entities, provenance, spans).select("subject", "predicate", "object", "byte_start", "byte_end", "evidence").distinct()
+    once = resolve.said_once(claims, entities, provenance, spans)
+    got = sorted(map(tuple, resolve.evidence_once(once, claims, entities, spans).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 6
+
+
+def test_an_envelope_leaves_one_copy_of_its_shard(spark, tmp_path, monkeypatch):
+    """What the query has sealed and opened is gone, no text is made distinct in a shuffle, and the setting is as it was."""
+    from claimlake import runtime
+    from claimlake.plans import stores
+
+    made, before = [], spark.conf.get(runtime.TIDY)
+    monkeypatch.setattr(stores, "scratch", lambda _: made.append(str(tmp_path / f"at{len(made)}")) or made[-1])
+    df = stores.envelope_claims(spark, "/root/testdata/sf0.001")
+    left = sorted(str(p.relative_to(at)).split("/", 2)[2] for at in made for p in Path(at).glob("*/*/**/*.parquet") if p.is_dir())
+    assert left == ["evidence/spans.parquet", "graph/claims.parquet", "graph/entities.parquet"] and spark.conf.get(runtime.TIDY) == before
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().replace("Aggregate [entity_id", "")
+
+
+def test_blobs_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "blobs").mkdir()
+    (tmp_path / "blobs" / "a").write_bytes(b"blob")
+    entries = spark.createDataFrame([("n", "a")], "name string, hash string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for blobs of any size
+    try:
+        plan = envelope._blobs(spark, str(tmp_path), entries)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    with pytest.raises(shards.ShardError):
+        envelope._blobs(spark, str(tmp_path), spark.createDataFrame([("n", "b")], "name string, hash string"))
+
+
+def test_an_envelope_that_consumes(spark, shard, tmp_path):
+    """Sealed and opened table by table: the same files, and each goes when the next step has it."""
+    whole, plain = str(tmp_path / "whole"), Path(shutil.copytree(shard, tmp_path / "plain"))
+    kept = {f["path"]: f["plain_hash"] for f in envelope.seal(spark, shard, whole, b"secret", {"content/": "Red"})["files"]}
+    head = envelope.seal(spark, str(plain), str(tmp_path / "sealed"), b"secret", {"content/": "Red"}, consume=True)
+    assert {f["path"]: f["plain_hash"] for f in head["files"]} == kept and not [p for p in plain.rglob("*.parquet") if p.is_file()]
+    blobs = tmp_path / "sealed" / "blobs"
+    assert {p.name for p in blobs.iterdir()} == {f["blob"] for f in head["files"]}
+    damaged = shutil.copytree(tmp_path / "sealed", tmp_path / "damaged")
+    changed = next(damaged.joinpath("blobs").iterdir())
+    changed.write_bytes(changed.read_bytes()[:-1] + b"x")
+    with pytest.raises(shards.ShardError):
+        envelope.open_envelope(spark, str(damaged), b"secret", str(tmp_path / "no"), consume=True)
+    assert not [p for p in (tmp_path / "no").rglob("*") if p.is_file()]
+    opened = envelope.open_envelope(spark, str(tmp_path / "sealed"), b"secret", str(tmp_path / "o"), consume=True)
+    shards.verify(spark, opened, b"k")
+    assert not list(blobs.iterdir())
